@@ -92,9 +92,9 @@ def _vectors(points: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(rows)
 
 
-def _svc(rows: DataFrame, c: float, n: int, weight: str | None = None):
+def _svc(rows: DataFrame, c: float, n: int, weight: str | None = None, iters: int = 25) -> Line:
     from pyspark.ml.classification import LinearSVC
-    svc = LinearSVC(featuresCol="features", labelCol="target", regParam=1 / (c * n), maxIter=100, standardization=False)
+    svc = LinearSVC(featuresCol="features", labelCol="target", regParam=1 / (c * n), maxIter=iters, standardization=False)
     model = (svc.setWeightCol(weight) if weight else svc).fit(rows)
     w = model.coefficients
     return Line(float(w[0]), float(w[1]), float(model.intercept))
@@ -106,24 +106,26 @@ def fit_linear_svc(points: DataFrame, c: float) -> Line:
     return _svc(rows, c, rows.count())
 
 
-def fit_robust_svc(points: DataFrame, c: float, rounds: int = 10, cut_off: float = -1.0) -> Line:
-    """Line for losses that stop growing: points with a margin below ``cut_off`` get weight 0 until the set of
-    them no longer changes."""
+def fit_robust_svc(points: DataFrame, c: float, rounds: int = 3, cut_off: float = -1.0, start: Line | None = None) -> Line:
+    """Line for losses that stop growing: from the hinge line on, points with a margin below ``cut_off`` get weight 0
+    until the set of them no longer changes, at most ``rounds`` times."""
     rows = _vectors(points)
     n = rows.count()
-    line, out = _svc(rows, c, n), None
+    line, out = start or _svc(rows, c, n), None
     for _ in range(rounds):
         low = margin(*line) < cut_off
-        now = rows.agg(F.count_if(low), F.bit_xor(F.when(low, F.xxhash64("x", "y", "label")))).first()
-        kept = rows.withColumn("weight", F.when(low, 0.0).otherwise(1.0))
-        if tuple(now) == out or rows.where(~low).select("target").distinct().count() < 2:
+        now = rows.agg(F.count_if(low), F.bit_xor(F.when(low, F.xxhash64("x", "y", "label"))),
+                       F.count_distinct(F.when(~low, F.col("label")))).first()
+        if tuple(now) == out or now[2] < 2:
             break
         out = tuple(now)
-        line = _svc(kept, c, n, "weight")
+        line = _svc(rows.withColumn("weight", F.when(low, 0.0).otherwise(1.0)), c, n, "weight")
     return line
 
 
 def fit_grid(points: DataFrame, cs: Sequence[float], losses: Sequence[str] = LOSSES) -> list[tuple[str, float, Line]]:
-    """One fitted line per (loss, C), ready for ``grid``."""
-    return [(kind, c, fit_linear_svc(points, c) if kind == "hinge" else fit_robust_svc(points, c, cut_off=-1.0 if kind == "ramp" else 0.0))
+    """One fitted line per (loss, C), ready for ``grid``; the hinge line of a C is where its other losses start."""
+    hinge = {c: fit_linear_svc(points, c) for c in cs}
+    cut_off = {"ramp": -1.0, "hard": 0.0}
+    return [(kind, c, hinge[c] if kind == "hinge" else fit_robust_svc(points, c, cut_off=cut_off[kind], start=hinge[c]))
             for kind in losses for c in cs]

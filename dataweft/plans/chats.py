@@ -22,7 +22,7 @@ BASE = {
         coalesce((SELECT list(coalesce(v.id, 1) ORDER BY s.pos) FROM spread s LEFT JOIN vocab v ON s.token = v.token
                   WHERE s.conv_id = w.conv_id), []) AS ids FROM words w""",
     "padded": f"""SELECT conv_id, n_tokens, list_resize(ids, {MAX_LEN}, 0) AS input_ids,
-        list_resize(list_transform(ids, x -> 1), {MAX_LEN}, 0) AS mask,
+        list_resize([1 FOR x IN ids], {MAX_LEN}, 0) AS mask,
         list_resize(ids, {MAX_LEN}, -100) AS labels FROM coded"""}
 
 

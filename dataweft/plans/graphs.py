@@ -12,7 +12,7 @@ TRIM = r"regexp_replace({0}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
 LINE = TRIM.format("value")
 STRICT_SQL = f"""
     SELECT DISTINCT p[1] AS src, p[2] AS dst FROM
-    (SELECT list_filter(list_transform(string_split(replace({LINE}, '+]', ''), '|'), x -> {TRIM.format('x')}), x -> x <> '') AS p
+    (SELECT [y FOR y IN [{TRIM.format('x')} FOR x IN string_split(replace({LINE}, '+]', ''), '|')] IF y <> ''] AS p
      FROM edge_lines) WHERE len(p) = 2"""
 
 
@@ -28,7 +28,7 @@ def parse_edges_strict(spark, d):
 
 @query("q_parse_edges_loose", f"""
     SELECT p[1] AS src, p[2] AS dst, CAST(count(*) AS BIGINT) AS n FROM
-    (SELECT list_transform(string_split(regexp_replace(regexp_replace({LINE}, '\\+$', ''), '\\|+$', ''), '|'), x -> {TRIM.format('x')}) AS p
+    (SELECT [{TRIM.format('x')} FOR x IN string_split(regexp_replace(regexp_replace({LINE}, '\\+$', ''), '\\|+$', ''), '|')] AS p
      FROM edge_lines) WHERE len(p) = 2 GROUP BY ALL""", inputs=("edge_lines",))
 def parse_edges_loose(spark, d):
     return _counted(spark, d, "loose")

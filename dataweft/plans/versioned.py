@@ -19,7 +19,7 @@ def two_versions(spark, d) -> str:
     """Version 0: listings with an id; version 1: the same rows added once more with shifted ids."""
     path = work_path(spark, "versions")
     rows = with_row_id(listings(spark, d).select(*LISTING_KEY, "price", "brand"), LISTING_KEY)
-    versions.commit(rows.select("id", "price", "brand"), path, "create")
+    versions.create(rows.select("id", "price", "brand"), path)
     base = versions.read_version(spark, path, 0)
     shifted = base.select("brand", (F.col("id") + 1_000_000_000).alias("id"), "price")
     versions.commit(io.append(base.limit(0), shifted), path, "insert", add=True)
@@ -67,7 +67,7 @@ def changes(spark, d):
     """Version 1 fills the damage, drops cheap rows and brings in dear ones."""
     path = work_path(spark, "changes")
     rows = listings(spark, d).withColumn("damage", F.col("notRepairedDamage")).select(*LISTING_KEY, "price", "damage")
-    versions.commit(rows.where("price < 100000").drop("price"), path, "create")
+    versions.create(rows.where("price < 100000").drop("price"), path)
     filled = clean.update(rows, {"damage": F.lit("ja")}, F.col("damage").isNull())
     versions.commit(filled.where("price > 1500").drop("price"), path, "overwrite")
     feed = versions.changes(versions.read_version(spark, path, 0), versions.read_version(spark, path, 1), LISTING_KEY)

@@ -24,31 +24,29 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY).parquet(_history_path(path))
 
 
-def _latest(spark: SparkSession, path: str):
-    try:
-        return history(spark, path).orderBy(F.desc("version")).first()
-    except Exception as e:  # the first commit finds no history yet
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-
-
-def commit(df: DataFrame, path: str, operation: str, add: bool = False) -> int:
-    """Write the next version: a whole snapshot, or with ``add`` the rows of ``df`` on top of the last version."""
+def _write(df: DataFrame, path: str, version: int, operation: str, base: Sequence[str]) -> int:
     spark = df.sparkSession
-    last = _latest(spark, path)
-    version = 0 if last is None else last["version"] + 1
     folder = f"rows/{version}-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(os.path.join(path, folder))
-    folders = [*(last["folders"] if add and last is not None else []), folder]
     spark.range(1).select(
         F.lit(version).alias("version"), F.current_timestamp().alias("committed"), F.lit(operation).alias("operation"),
-        F.lit(seen.get["n"]).alias("n_rows"), F.array(*[F.lit(f) for f in folders]).alias("folders")
-    ).write.mode("append").parquet(_history_path(path))
+        F.lit(seen.get["n"]).alias("n_rows"), F.array(*[F.lit(f) for f in [*base, folder]]).alias("folders")
+    ).write.mode("append" if version else "errorifexists").parquet(_history_path(path))
     return version
 
 
+def create(df: DataFrame, path: str, operation: str = "create") -> int:
+    """Write version 0; it is an error if the table exists."""
+    return _write(df, path, 0, operation, [])
+
+
+def commit(df: DataFrame, path: str, operation: str, add: bool = False) -> int:
+    """Write the next version: a whole snapshot, or with ``add`` the rows of ``df`` on top of the last version."""
+    last = history(df.sparkSession, path).orderBy(F.desc("version")).first()
+    return _write(df, path, last["version"] + 1, operation, last["folders"] if add else [])
+
+
 def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
     """The table as of a version; only its own folders are read."""
     row = history(spark, path).where(F.col("version") == version).first()
