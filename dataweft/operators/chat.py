@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dataweft.functions.scalars import fit_length
 from dataweft.operators.ordering import with_row_id
 from dataweft.operators.rel import collect_ordered
+from dataweft.session import cut
 
 PAD_ID, UNKNOWN_ID = 0, 1
 MASKED = -100
@@ -42,8 +43,9 @@ def build_vocab(df: DataFrame, text: str, size: int) -> DataFrame:
     """(token, id) of the most frequent tokens; the first ids are reserved for padding and unknown tokens."""
     counts = df.select(F.explode(tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(size)
-    return with_row_id(top, [F.desc("n"), F.col("token")], "_id").select(
-        "token", "n", (F.col("_id") + UNKNOWN_ID).cast("int").alias("id"))
+    # the window runs over at most ``size`` rows, which the limit has gathered already
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
+    return cut(top.select("token", "n", (place + UNKNOWN_ID).cast("int").alias("id")))
 
 
 def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len: int = 1000, vocab_size: int = 100_000) -> DataFrame:

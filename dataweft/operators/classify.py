@@ -92,9 +92,10 @@ def _vectors(points: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(rows)
 
 
-def _svc(rows: DataFrame, c: float, n: int, weight: str | None = None, iters: int = 25) -> Line:
+def _svc(rows: DataFrame, c: float, n: int, weight: str | None = None, iters: int = 12) -> Line:
     from pyspark.ml.classification import LinearSVC
-    svc = LinearSVC(featuresCol="features", labelCol="target", regParam=1 / (c * n), maxIter=iters, standardization=False)
+    svc = LinearSVC(featuresCol="features", labelCol="target", regParam=1 / (c * n), maxIter=iters, tol=1e-3,
+                    standardization=False)
     model = (svc.setWeightCol(weight) if weight else svc).fit(rows)
     w = model.coefficients
     return Line(float(w[0]), float(w[1]), float(model.intercept))

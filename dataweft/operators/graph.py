@@ -57,29 +57,27 @@ def pagerank(edges: DataFrame, iters: int = 10, damping: float = 0.85, group: Se
     Links are partitioned by source once; a round moves only the partial sums. The links of a source with more than
     ``slice_edges`` of them are spread over slices, and its rank is sent to each slice.
     """
-    keys = [*group, "src"]
-    spark = edges.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = edges.groupBy(*group, "src", "dst").agg((F.lit(1) if distinct else F.count("*")).cast("long").alias("times"))
-    sources = links.groupBy(*keys).agg(F.sum("times").alias("degree"), F.count("*").alias("rows"))
-    sources = sources.withColumn("slices", F.ceil(F.col("rows") / slice_edges).cast("int")).drop("rows")
-    hot = sources.agg(F.max("slices")).first()[0] or 1
-    if hot > 1:
-        sources = sources.persist(StorageLevel.MEMORY_AND_DISK)
-        links = attach(links, sources, keys).withColumn("slice", F.pmod(F.xxhash64("dst"), F.col("slices")).cast("int"))
-        links = links.drop("slices").repartition(tasks, *keys, "slice")
-    else:
-        links = attach(links, sources, keys).drop("slices").repartition(tasks, *keys)
-    links = links.persist(StorageLevel.MEMORY_AND_DISK)
+    keys = on = [*group, "src"]
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = edges.groupBy(*group, "src", "dst").agg((F.lit(1) if distinct else F.count("*")).cast("long").alias("times"))
+    once = once.persist(StorageLevel.MEMORY_AND_DISK)
+    sources = once.groupBy(*keys).agg(F.sum("times").alias("degree"), F.count("*").alias("_rows"))
+    sources = cut(sources.withColumn("slices", F.ceil(F.col("_rows") / slice_edges).cast("int")).drop("_rows"))
+    hot = (sources.agg(F.max("slices")).first()[0] or 1) > 1
+    links = attach(once, sources, keys)
+    if hot:
+        links = links.withColumn("slice", F.pmod(F.xxhash64("dst"), F.col("slices")).cast("int"))
+        on = [*keys, "slice"]
+    links = links.drop("slices").repartition(tasks, *on).sortWithinPartitions(*on).persist(StorageLevel.MEMORY_AND_DISK)
+    links.count()  # only a filled cache tells the planner how it is partitioned and sorted
+    once.unpersist()
 
     ranks = sources.select(*group, F.col("src").alias("page"), F.lit(1.0).alias("rank"))
     for i in range(iters):
         out = ranks.withColumnRenamed("page", "src")
-        on = list(keys)
-        if hot > 1:
+        if hot:
             out = out.join(sources.select(*keys, "slices"), keys)
             out = out.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-            on.append("slice")
         shares = links.join(out, on).select(*group, "dst", (F.col("rank") / F.col("degree") * F.col("times")).alias("share"))
         ranks = (shares.groupBy(*group, F.col("dst").alias("page")).agg(F.sum("share").alias("_c"))
                  .select(*group, "page", (F.lit(1 - damping) + F.lit(damping) * F.col("_c")).alias("rank")))
@@ -87,8 +85,6 @@ def pagerank(edges: DataFrame, iters: int = 10, damping: float = 0.85, group: Se
             ranks = cut(ranks)
     ranks = cut(ranks)
     links.unpersist()
-    if hot > 1:
-        sources.unpersist()
     return ranks
 
 
@@ -125,7 +121,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     hands them back is an equi-join whose hot keys adaptive execution splits, and no neighbour list is ever built.
     """
     pairs = edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo"))
-    nodes = cut(pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct())
+    nodes = pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
     stars = cut(pairs.where("hi <> lo").distinct())
     for _ in range(max_rounds):
         # large star: every larger neighbour of u moves to the smallest node around u

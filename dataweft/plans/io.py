@@ -99,10 +99,12 @@ def partitioned_scan(spark, d):
        inputs=("listings",), ctes={"conformed": CONFORMED_SQL})
 def append(spark, d):
     base = _plain_times(conformed(listings(spark, d))).select("id", "dateCreated", "price", "brand", "lastSeen", "department")
-    shifted = base.select((F.col("id") + 1_000_000).alias("id"), "dateCreated", "price", "brand", "department", "lastSeen")
     path = work_path(spark, "append")
-    io.write_table(base, path)
-    return io.write_table(io.append(base.limit(0), shifted), path, mode="append")
+    stored = io.write_table(base, path)
+    # the new rows list two columns the other way round: names decide, not places
+    shifted = stored.select((F.col("id") + 1_000_000).alias("id"), "dateCreated", "price", "brand", "department", "lastSeen")
+    io.write_table(shifted, path, mode="append")
+    return io.read_table(spark, path, base.schema)
 
 
 @query("q_chat_nested", """

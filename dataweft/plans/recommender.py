@@ -171,10 +171,10 @@ def recall_at_k(spark, d):
     return recsys.recall_at_k(scores, test, 10).select(F.round("recall", 6).alias("recall"))
 
 
-@query("q_user_auc", """SELECT "user", round(auc, 6) AS auc FROM auc_test""", inputs=("scored",), ctes=METRICS)
+@query("q_user_auc", """SELECT "user", auc FROM auc_test""", inputs=("scored",), ctes=METRICS)
 def user_auc(spark, d):
     scores, _, test = _sets(spark, d)
-    return recsys.auc_per_user(scores, test).withColumn("auc", F.round("auc", 6))
+    return recsys.auc_per_user(scores, test)
 
 
 @query("q_eval_table", """

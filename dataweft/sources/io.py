@@ -44,7 +44,12 @@ def write_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """Create the table from a query and read it back."""
     df.write.mode(mode).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return read_table(df.sparkSession, path, df.schema)
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Read a parquet table with a declared schema, columns matched by name."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def write_partitioned(df: DataFrame, path: str, cols: Sequence[str], mode: str = "overwrite") -> DataFrame:
@@ -53,7 +58,7 @@ def write_partitioned(df: DataFrame, path: str, cols: Sequence[str], mode: str =
     Rebalancing groups each value's rows to avoid many small files and splits a value that holds most rows.
     """
     df.hint("rebalance", *cols).write.mode(mode).partitionBy(*cols).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return read_table(df.sparkSession, path, df.schema)
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
