@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dataweft.operators.ordering import top_per_group
 
 LOSSES = ("hinge", "ramp", "hard")
+ROWS_PER_TASK = 100_000
 
 
 class Line(NamedTuple):
@@ -94,6 +95,7 @@ def _vectors(points: DataFrame) -> DataFrame:
 
 def _svc(rows: DataFrame, c: float, n: int, weight: str | None = None, iters: int = 12) -> Line:
     from pyspark.ml.classification import LinearSVC
+    rows = rows.coalesce(n // ROWS_PER_TASK + 1)  # every iteration is a job, so no task should be tiny
     svc = LinearSVC(featuresCol="features", labelCol="target", regParam=1 / (c * n), maxIter=iters, tol=1e-3,
                     standardization=False)
     model = (svc.setWeightCol(weight) if weight else svc).fit(rows)

@@ -330,6 +330,7 @@ def evaluate(scores: DataFrame, train: DataFrame, test: DataFrame, k_precision:
              mask_train: bool = False) -> DataFrame:
     """One row per set (train, test) with precision, recall and AUC; known items stay in unless masked."""
     rows = []
+    scores, train, test = cut(scores.select("user", "item", "score")), cut(train), cut(test)  # each is read several times
     for name, truth in (("train", train), ("test", test)):
         used = rel.anti(scores, train, ["user", "item"]) if mask_train and name == "test" else scores
         precision = precision_at_k(used, truth, k_precision).scalar()

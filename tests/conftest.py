@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = get_spark("local[8]", "tests", 4, **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-                                                   "spark.driver.memory": "8g"})
+                                                   "spark.driver.memory": "8g", "spark.sql.maxMetadataStringLength": "2000"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
