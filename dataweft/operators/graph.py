@@ -124,14 +124,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
     stars = cut(pairs.where("hi <> lo").distinct())
     for _ in range(max_rounds):
-        # large star: every larger neighbour of u moves to the smallest node around u
-        both = stars.select(F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")),
-                                              F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))).alias("e")).select("e.*")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")).join(low, "u")
-                 .groupBy(F.col("v").alias("hi"), F.col("m").alias("lo"))
-                 .agg(F.max(F.col("m") != F.col("u")).alias("moved")))
-        large = cut(large)
+        # large star: every larger neighbour of u moves to the smallest node around u, which is u itself
+        # unless u has a smaller neighbour
+        low = stars.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m"))
+        large = (stars.join(low, "lo", "left")
+                 .groupBy("hi", F.coalesce("m", "lo").alias("lo")).agg(F.max(F.col("m").isNotNull()).alias("moved")))
         # small star: u and its smaller neighbours move to the smallest of them
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         kept = large.join(least, "hi")

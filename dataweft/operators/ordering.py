@@ -22,10 +22,14 @@ def _cols(order: Sequence[str | Column]) -> list[Column]:
 
 
 def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Range-partition and sort, keep the task number and the row's place in the task."""
+    """Range-partition and sort, keep the task number and the row's place in the task.
+
+    The source task is the last sort key, so that copies of one row, equal in all other keys, need not share a task.
+    """
     place = F.monotonically_increasing_id()
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return cut(ordered.select("*", F.shiftright(place, 33).cast("int").alias("_task"),
+    by = [*order, F.col("_from")]
+    ordered = df.withColumn("_from", F.spark_partition_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    return cut(ordered.select(*df.columns, F.shiftright(place, 33).cast("int").alias("_task"),
                               place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")))
 
 

@@ -69,3 +69,15 @@ def test_quantiles_equal_numpy(skewed, small, keys):
 def test_top_per_group_breaks_ties_by_order(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "w"), ("a", 0, "z"), ("b", 5, "q")], "k string, s int, i string")
     assert rows(top_per_group(df, ["k"], [F.desc("s"), F.col("i")], 1), "k", "i") == [("a", "w"), ("b", "q")]
+
+
+def test_copies_of_one_row_are_split(spark):
+    from dataweft.operators.ordering import _ranged
+    df = spark.range(4000, numPartitions=8).select(F.lit("same").alias("k"), F.lit(1).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in _ranged(df, [F.col("k"), F.col("v")]).groupBy("_task").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 4000 and max(sizes) <= 2000
+    assert rows(with_group_position(df, ["k"], ["v"], "p"), "p") == [(i + 1,) for i in range(4000)]
