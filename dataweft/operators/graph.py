@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from dataweft.functions.scalars import remove_literal, strip_one, trim_all
 from dataweft.operators.ordering import attach, top_per_group
 from dataweft.operators.rel import collect_ordered
-from dataweft.session import cut
+from dataweft.session import cut, shuffle_partitions
+
+LINKS_PER_TASK = 2_000_000
 
 
 def parse_edges(lines: DataFrame, mode: str = "strict", c: str = "value") -> DataFrame:
@@ -58,32 +60,36 @@ def pagerank(edges: DataFrame, iters: int = 10, damping: float = 0.85, group: Se
     ``slice_edges`` of them are spread over slices, and its rank is sent to each slice.
     """
     keys = on = [*group, "src"]
-    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = edges.sparkSession
     once = edges.groupBy(*group, "src", "dst").agg((F.lit(1) if distinct else F.count("*")).cast("long").alias("times"))
-    once = once.persist(StorageLevel.MEMORY_AND_DISK)
-    sources = once.groupBy(*keys).agg(F.sum("times").alias("degree"), F.count("*").alias("_rows"))
-    sources = cut(sources.withColumn("slices", F.ceil(F.col("_rows") / slice_edges).cast("int")).drop("_rows"))
-    hot = (sources.agg(F.max("slices")).first()[0] or 1) > 1
-    links = attach(once, sources, keys)
-    if hot:
-        links = links.withColumn("slice", F.pmod(F.xxhash64("dst"), F.col("slices")).cast("int"))
-        on = [*keys, "slice"]
-    links = links.drop("slices").repartition(tasks, *on).sortWithinPartitions(*on).persist(StorageLevel.MEMORY_AND_DISK)
-    links.count()  # only a filled cache tells the planner how it is partitioned and sorted
-    once.unpersist()
-
-    ranks = sources.select(*group, F.col("src").alias("page"), F.lit(1.0).alias("rank"))
-    for i in range(iters):
-        out = ranks.withColumnRenamed("page", "src")
+    once = cut(once)  # read twice below
+    sources = once.groupBy(*keys).agg(F.sum("times").alias("degree"), F.count("*").alias("n_links"))
+    sources = cut(sources.withColumn("slices", F.ceil(F.col("n_links") / slice_edges).cast("int")))
+    slices, n_links = sources.agg(F.max("slices"), F.sum("n_links")).first()
+    sources, hot = sources.drop("n_links"), (slices or 1) > 1
+    # one number of tasks for links and ranks, by the number of links, so that rounds line up without moving links
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(n_links or 0) // LINKS_PER_TASK))
+
+    with shuffle_partitions(spark, tasks):
+        links = attach(once, sources, keys)
         if hot:
-            out = out.join(sources.select(*keys, "slices"), keys)
-            out = out.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-        shares = links.join(out, on).select(*group, "dst", (F.col("rank") / F.col("degree") * F.col("times")).alias("share"))
-        ranks = (shares.groupBy(*group, F.col("dst").alias("page")).agg(F.sum("share").alias("_c"))
-                 .select(*group, "page", (F.lit(1 - damping) + F.lit(damping) * F.col("_c")).alias("rank")))
-        if (i + 1) % cut_every == 0 and i + 1 < iters:
-            ranks = cut(ranks)
-    ranks = cut(ranks)
+            links = links.withColumn("slice", F.pmod(F.xxhash64("dst"), F.col("slices")).cast("int"))
+            on = [*keys, "slice"]
+        links = links.drop("slices").repartition(tasks, *on).sortWithinPartitions(*on).persist(StorageLevel.MEMORY_AND_DISK)
+        links.count()  # only a filled cache tells the planner how it is partitioned and sorted
+
+        ranks = sources.select(*group, F.col("src").alias("page"), F.lit(1.0).alias("rank"))
+        for i in range(iters):
+            out = ranks.withColumnRenamed("page", "src")
+            if hot:
+                out = out.join(sources.select(*keys, "slices"), keys)
+                out = out.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+            shares = links.join(out, on).select(*group, "dst", (F.col("rank") / F.col("degree") * F.col("times")).alias("share"))
+            ranks = (shares.groupBy(*group, F.col("dst").alias("page")).agg(F.sum("share").alias("_c"))
+                     .select(*group, "page", (F.lit(1 - damping) + F.lit(damping) * F.col("_c")).alias("rank")))
+            if (i + 1) % cut_every == 0 and i + 1 < iters:
+                ranks = cut(ranks)
+        ranks = cut(ranks)
     links.unpersist()
     return ranks
 
