@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +27,23 @@ def crc_mod(n: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(id_text(doc_id).cast("binary")) % F.lit(n)
 
 
-def slices(texts: list[str | None], chars: int = 1 << 20):
-    """Ranges of rows whose texts hold about ``chars`` characters, so that what a range makes stays small."""
+def slices(lengths: list[int | None], most: int = 1 << 20):
+    """Ranges of rows whose texts are about ``most`` long together, so that what a range makes stays small."""
     start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= chars:
+    for i, n in enumerate(lengths):
+        total += n or 0
+        if total >= most:
             yield start, i + 1
             start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def lengths(column: pa.Array) -> list[int | None]:
+    """Bytes of each text."""
+    return pc.binary_length(column).to_pylist()
+
+
+def fields(df: DataFrame, names: Iterable[str]) -> str:
+    """The columns' part of a schema in DDL."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
