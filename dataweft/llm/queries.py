@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("q_mixing", "q_byte_bpe")
+MODULES = ("q_mixing", "q_byte_bpe", "q_token_counts")
 
 
 def query(name: str, sql: str | None = None):
