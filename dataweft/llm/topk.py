@@ -94,13 +94,17 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: float =
                                               F.min(F.col("theta") / F.col("length")).alias("need"))
         return packed.select(F.col("r.vec_id").alias("query_ids"), F.col("r.v").alias("queries"), F.col("r.theta").alias("theta"), "need")
 
-    # The first bucket holds at most BUCKET vectors, which bounds what is broadcast.
-    first = blocks(queries.withColumn("theta", F.lit(float("-inf")))).join(F.broadcast(buckets.where("bucket = 0").drop("longest")), F.lit(True))
+    def meet(blocks: DataFrame, first: int, last: int) -> DataFrame:
+        """Every block of the stated queries beside the buckets that are long enough for one of its queries."""
+        to = blocks.withColumn("to", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        pairs = to.join(buckets, (F.col("to") == F.col("bucket")) & (F.col("longest") * (1 + 1e-9) >= F.coalesce("need", F.lit(0.0))))
+        return pairs.select("query_ids", "queries", "theta", "vec_ids", "vecs")
+
+    first = meet(blocks(queries.withColumn("theta", F.lit(float("-inf")))), 0, 0)
     head = cut(first.mapInArrow(_search(k, dims), schema))
     kth = head.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("theta"))
     known = queries.join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf"))))
-    # Every block of the stated queries goes to the buckets that are long enough for one of its queries.
-    wanted = blocks(known).withColumn("to", F.explode(F.sequence(F.lit(1), F.lit(n_buckets)))).where(F.col("to") < n_buckets)
-    pairs = wanted.join(buckets.where("bucket > 0"), (F.col("to") == F.col("bucket")) & ((F.col("longest") * (1 + 1e-9) >= F.col("need")) | F.col("need").isNull()))
-    rest = pairs.select("query_ids", "queries", "theta", "vec_ids", "vecs").mapInArrow(_search(k, dims), schema)
+    if n_buckets == 1:
+        return top_ranks(head, k)
+    rest = meet(blocks(known), 1, n_buckets - 1).mapInArrow(_search(k, dims), schema)
     return top_ranks(head.unionByName(rest), k)
