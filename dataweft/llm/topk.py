@@ -91,7 +91,7 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: float =
 
     def blocks(queries: DataFrame) -> DataFrame:
         packed = queries.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v", "theta", "length")).alias("r"),
-                                              F.min(F.col("theta") / F.col("length")).alias("need"))
+                                              F.min(F.when(F.col("length") > 0, F.col("theta") / F.col("length")).otherwise(float("-inf"))).alias("need"))
         return packed.select(F.col("r.vec_id").alias("query_ids"), F.col("r.v").alias("queries"), F.col("r.theta").alias("theta"), "need")
 
     def meet(blocks: DataFrame, first: int, last: int) -> DataFrame:
