@@ -17,7 +17,6 @@ rows with and without an id are handled alike; an empty table gives an empty res
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 from collections.abc import Iterator
 
@@ -77,69 +76,85 @@ def regions(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return h[at[first]].view(np.int64), first, np.diff(np.append(first, len(at)))
 
 
-def text_key(text: bytes) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(text, seed=42)).view(np.int64))
+def _occurrences(length: int, across: bool):
+    """Rows (key, bytes, anchor, region, starts, at): a unit's places of one region.
 
-
-def _occurrences(length: int):
-    """Rows (key, bytes, anchor, region, start, starts). A task shows no text more than twice: copies only have to be seen."""
+    A task shows no unit more than twice (once if only other units count): copies only have to be seen.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            texts = batch.column(0)
-            for a, b in slices(lengths(texts)):
-                parts = []
-                for t in texts.slice(a, b - a):
-                    raw = t.as_buffer()
+            for i, j in slices(lengths(batch.column(1))):
+                rows: list[tuple] = []
+                for key, d in zip(batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i), strict=True):
+                    raw = d.as_buffer()
                     if raw is None or raw.size < length:
                         continue
-                    key = text_key(raw)
                     seen[key] = seen.get(key, 0) + 1
-                    if seen[key] > 2:
+                    if seen[key] > (1 if across else 2):
                         continue
-                    anchor, start, starts = regions(np.frombuffer(raw, np.uint8), length)
-                    view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
-                    name = np.fromiter((digest(view[s : s + n + length - 1]) for s, n in zip(start.tolist(), starts.tolist(), strict=True)), np.uint64, len(start))
-                    parts.append((np.full(len(start), key), np.full(len(start), raw.size), anchor, name.view(np.int64), start, starts))
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(zip(*parts, strict=True), ("i8", "i8", "i8", "i8", "i4", "i2"), strict=True)],
-                                                     names=["key", "bytes", "anchor", "region", "start", "starts"])
+                    view, found = memoryview(raw), {}
+                    for a, s, n in zip(*(x.tolist() for x in regions(np.frombuffer(raw, np.uint8), length)), strict=True):
+                        found.setdefault((a, digest(view[s : s + n + length - 1]), n), []).append(s)
+                    rows += [(key, raw.size, a, r, n, at) for (a, r, n), at in found.items()]
+                if rows:
+                    key, size, a, r, n, at = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(np.array(r, np.uint64).view(np.int64)),
+                                                      pa.array(n, pa.int16()), pa.array(at, pa.list_(pa.int32()))], names=["key", "bytes", "anchor", "region", "starts", "at"])
     return work
 
 
 def _cut_out(length: int):
-    """The bytes of the wanted regions of texts that stand by key; copies that follow each other are looked at once."""
+    """The bytes of the wanted regions of units that stand by key; copies that follow each other are looked at once."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             rows: list[tuple] = []
-            for key, n, text, wanted in zip(batch.column("key").to_pylist(), batch.column("bytes").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
+            for key, n, data, wanted in zip(batch.column("key").to_pylist(), batch.column("bytes").to_pylist(), batch.column("data"), batch.column("wanted"), strict=True):
                 if (key, n) == last or not wanted.is_valid:
                     continue
-                last, raw = (key, n), text.as_buffer()
-                rows += [(w["anchor"], w["region"], w["starts"], bytes(raw[w["start"] : w["start"] + w["starts"] + length - 1])) for w in wanted.as_py()]
-            columns = zip(*rows, strict=True) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
-                                             names=["anchor", "region", "starts", "raw"])
+                last, raw = (key, n), data.as_buffer()
+                rows += [(key, w["anchor"], w["region"], w["starts"], w["many"], bytes(raw[w["start"] : w["start"] + w["starts"] + length - 1])) for w in wanted.as_py()]
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)],
+                                             names=["owner", "anchor", "region", "starts", "many", "raw"])
     return work
 
 
-def repeated_starts(texts: list[bytes], starts: list[int], length: int, folder: str) -> list[np.ndarray]:
-    """For each region the starts, from its own beginning, whose strings also start elsewhere among the regions."""
-    sizes = np.array([len(x) + 1 for x in texts], np.int64)
+PART = "owner long, anchor long, region long, starts int, many boolean, raw binary"
+
+
+def repeated_starts(parts: list[bytes], starts: list[int], length: int, folder: str, owners: list[int] | None = None,
+                    many: list[bool] | None = None) -> list[np.ndarray]:
+    """For each region the starts, from its own beginning, whose strings also start elsewhere among the regions.
+
+    With ``owners`` only strings of two owners count; a region of ``many`` has two.
+    """
+    sizes = np.array([len(x) + 1 for x in parts], np.int64)
     begin = np.cumsum(sizes) - sizes
-    t = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)  # no byte of UTF-8 is 255, so 0 parts the regions
-    own = np.zeros(len(t), bool)
+    # No byte is 255, so that it parts the regions.
+    data = b"\xff".join(parts) + b"\xff"
+    own = np.zeros(len(data), bool)
     for b, n in zip(begin.tolist(), starts, strict=True):
         own[b : b + n] = True
+    t = np.frombuffer(data, np.uint8) + np.uint8(1)
     order, common = induced.suffix_array(t, 256, length, folder)
-    # Suffixes between two starts only lower what these have in common, so whole stretches of common prefixes are one string.
-    same = common >= length
-    stretch = np.cumsum(~same)
-    mine = own[order]
-    count = np.bincount(stretch[mine], minlength=stretch[-1] + 1)
+    # Suffixes between two starts only lower what these have in common, so a stretch of long common prefixes is one string.
+    stretch = np.cumsum(common < length)
+    mine = np.flatnonzero(own[order])
+    at, stretch = order[mine], stretch[mine]
+    if owners is None:
+        often = np.bincount(stretch) > 1
+    else:
+        place = np.searchsorted(begin, at, side="right") - 1
+        who, more = np.array(owners)[place], np.array(many)[place]
+        edge = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1]))) if len(stretch) else np.zeros(0, np.int64)
+        often = np.zeros(stretch[-1] + 1 if len(stretch) else 0, bool)
+        if len(edge):
+            often[stretch[edge]] = (np.minimum.reduceat(who, edge) != np.maximum.reduceat(who, edge)) | np.logical_or.reduceat(more, edge)
     hit = np.zeros(len(t), bool)
-    hit[order[mine & (count[stretch] > 1)]] = True
+    hit[at[often[stretch]]] = True
     return [np.flatnonzero(hit[b : b + n]) for b, n in zip(begin.tolist(), starts, strict=True)]
 
 
@@ -154,38 +169,38 @@ def _runs(at: np.ndarray) -> list[dict]:
 RUNS = pa.list_(pa.struct([("first", pa.int32()), ("number", pa.int32())]))
 
 
-def _shards(length: int):
+def _shards(length: int, across: bool):
     """Sort each shard; its rows follow each other."""
-    def solve(rows: dict[tuple[int, int], tuple[int, bytes]]) -> pa.RecordBatch:
-        keys = list(rows)
+    def solve(rows: dict[tuple[int, int], tuple]) -> pa.RecordBatch:
+        starts, raw, owner, many = zip(*rows.values(), strict=True)
         with tempfile.TemporaryDirectory(prefix="sort-") as folder:  # scratch of this sort alone, gone when it ends
-            hits = repeated_starts([rows[k][1] for k in keys], [rows[k][0] for k in keys], length, folder)
-        found = [(k, _runs(h)) for k, h in zip(keys, hits, strict=True) if len(h)]
+            hits = repeated_starts(raw, starts, length, folder, *((owner, many) if across else ()))
+        found = [(k, _runs(h)) for k, h in zip(rows, hits, strict=True) if len(h)]
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in found], pa.int64()), pa.array([k[1] for k, _ in found], pa.int64()), pa.array([r for _, r in found], RUNS)],
                                           names=["anchor", "region", "runs"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows = None, {}
         for batch in batches:
-            for s, a, r, n, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "anchor", "region", "starts", "raw")), strict=True):
+            for s, a, r, *rest in zip(*(batch.column(c).to_pylist() for c in ("shard", "anchor", "region", "starts", "raw", "owner", "many")), strict=True):
                 if s != shard and rows:
                     yield solve(rows)
                     rows = {}
                 shard = s
-                rows[a, r] = (n, raw)
+                rows[a, r] = rest
         if rows:
             yield solve(rows)
     return work
 
 
 def _strings(length: int):
-    """(anchor, region, start, two halves of the string's hash) of the starts of regions in groups too large for a shard."""
+    """The strings of regions in groups too large for a shard, as two halves of a hash."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, r, n, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "region", "starts", "raw")), strict=True):
+            for o, a, r, n, m, raw in zip(*(batch.column(c).to_pylist() for c in ("owner", "anchor", "region", "starts", "many", "raw")), strict=True):
                 d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)), np.int64).reshape(n, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.full(n, r)), pa.array(np.arange(n, dtype=np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])],
-                                                 names=["anchor", "region", "at", "h", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, o)), pa.array(np.full(n, a)), pa.array(np.full(n, r)), pa.array(np.full(n, m)), pa.array(np.arange(n, dtype=np.int32)),
+                                                  pa.array(d[:, 0]), pa.array(d[:, 1])], names=["owner", "anchor", "region", "many", "place", "h", "g"])
     return work
 
 
@@ -193,7 +208,7 @@ def _removed(length: int, names: list[str], texts_too: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
+            for text, found in zip(batch.column("data"), batch.column("found"), strict=True):
                 raw = text.as_buffer() if text.is_valid else b""
                 raw = b"" if raw is None else raw.to_pybytes() if isinstance(raw, pa.Buffer) else raw
                 edge = np.zeros(len(raw) + 1, np.int64)
@@ -214,44 +229,57 @@ def _removed(length: int, names: list[str], texts_too: bool):
     return work
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",), texts_too: bool = False) -> DataFrame:
-    """``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text of every document.
+def repeats(units: DataFrame, length: int, across: bool = False) -> DataFrame:
+    """(key, bytes, found): the starts of ``length`` bytes of each unit that start elsewhere too, as runs (first, number).
 
-    A character of which a byte was removed leaves ``kept_text`` whole.
+    ``units`` has (key, bytes, data) and perhaps more; units of equal key and size are copies. The bytes of ``data`` lie below 254,
+    as those of UTF-8 do. With ``across`` only strings
+    of two different units count, else also copies and places in one unit.
     """
-    text = F.col("text")
-    own = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    texts = docs.select(*own, text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
-    seen = docs.where(F.octet_length("text") >= length).select("text").mapInArrow(
-        _occurrences(length), "key long, bytes long, anchor long, region long, start int, starts short")
+    seen = units.where(F.col("bytes") >= length).select("key", "data").mapInArrow(
+        _occurrences(length, across), "key long, bytes long, anchor long, region long, starts short, at array<int>")
     group, region = Window.partitionBy("anchor"), Window.partitionBy("anchor", "region")
-    seen = seen.repartition("anchor")
-    seen = seen.withColumn("copies", F.count("*").over(region)).withColumn("low", F.min("region").over(group)).withColumn("high", F.max("region").over(group))
-    met = cut(seen.where("copies > 1 or low < high").select("key", "bytes", "anchor", "region", "start", "starts", (F.col("copies") > 1).alias("twice"), (F.col("low") < F.col("high")).alias("mixed")))
-    wanted = met.where("mixed").groupBy("anchor", "region").agg(F.min(F.struct("key", "bytes", "start", "starts")).alias("w"))
-    wanted = wanted.select("w.key", "w.bytes", F.struct("anchor", "region", "w.start", "w.starts").alias("w")).groupBy("key", "bytes").agg(F.collect_list("w").alias("wanted"))
-    beside = texts.join(wanted, ["key", "bytes"]).select("key", "bytes", "text", "wanted")
-    parts = cut(beside.mapInArrow(_cut_out(length), "anchor long, region long, starts int, raw binary"))
+    often = F.min("key").over(region) < F.max("key").over(region)
+    if not across:
+        often = F.sum(F.size("at")).over(region) > 1
+    seen = seen.repartition("anchor").withColumn("many", often).withColumn("low", F.min("region").over(group)).withColumn("high", F.max("region").over(group))
+    met = cut(seen.where("many or low < high").select("key", "bytes", "anchor", "region", "starts", "at", "many", (F.col("low") < F.col("high")).alias("mixed")))
+    wanted = met.where("mixed").groupBy("anchor", "region").agg(F.min(F.struct("key", "bytes", F.col("at")[0].alias("start"), "starts", "many")).alias("w"))
+    wanted = wanted.select("w.key", "w.bytes", F.struct("anchor", "region", "w.start", "w.starts", "w.many").alias("w")).groupBy("key", "bytes").agg(F.collect_list("w").alias("wanted"))
+    beside = units.join(wanted, ["key", "bytes"]).select("key", "bytes", "data", "wanted")
+    parts = cut(beside.mapInArrow(_cut_out(length), PART))
     sizes = parts.groupBy("anchor").agg(F.sum(F.octet_length("raw")).alias("size"))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // SHARD))
     dealt = parts.join(sizes, "anchor")
     inside = dealt.where(F.col("size") <= GROUP).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).drop("size")
-    sorted_ = inside.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(
-        _shards(length), "anchor long, region long, runs array<struct<first: int, number: int>>")
-    one = dealt.where(F.col("size") > GROUP).dropDuplicates(["anchor", "region"]).select("anchor", "region", "starts", "raw").mapInArrow(
-        _strings(length), "anchor long, region long, at int, h long, g long")
-    often = one.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1")
-    large = one.join(often, ["h", "g"]).select("anchor", "region", F.array(F.struct(F.col("at").alias("first"), F.lit(1).alias("number"))).alias("runs"))
-    runs = cut(sorted_.unionByName(large))
-    whole = met.where("twice").select("key", "bytes", F.col("start").alias("first"), F.col("starts").cast("int").alias("number"))
-    single = met.where("not twice").join(runs, ["anchor", "region"]).select("key", "bytes", "start", F.inline("runs")).select(
-        "key", "bytes", (F.col("start") + F.col("first")).alias("first"), "number")
-    found = whole.unionByName(single).distinct().groupBy("key", "bytes").agg(F.collect_list(F.struct("first", "number")).alias("found"))
-    beside = texts.join(found, ["key", "bytes"], "left")
+    result = "anchor long, region long, runs array<struct<first: int, number: int>>"
+    sorted_ = inside.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_shards(length, across), result)
+    large = dealt.where(F.col("size") > GROUP).dropDuplicates(["anchor", "region"]).drop("size")
+    one = large.mapInArrow(_strings(length), "owner long, anchor long, region long, many boolean, place int, h long, g long")
+    again = (F.min("owner") < F.max("owner")) | F.bool_or("many") if across else F.count("*") > 1
+    twice = one.groupBy("h", "g").agg(again.alias("again")).where("again").drop("again")
+    counted = one.join(twice, ["h", "g"]).select("anchor", "region", F.array(F.struct(F.col("place").alias("first"), F.lit(1).alias("number"))).alias("runs"))
+    runs = cut(sorted_.unionByName(counted))
+    places = met.withColumn("place", F.explode("at"))
+    whole = places.where("many").select("key", "bytes", F.col("place").alias("first"), F.col("starts").cast("int").alias("number"))
+    single = places.where("not many").join(runs, ["anchor", "region"]).select("key", "bytes", "place", F.inline("runs")).select(
+        "key", "bytes", (F.col("place") + F.col("first")).alias("first"), "number")
+    return whole.unionByName(single).distinct().groupBy("key", "bytes").agg(F.collect_list(F.struct("first", "number")).alias("found"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",), texts_too: bool = False) -> DataFrame:
+    """``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text of every document.
+
+    A character of which a byte was removed leaves ``kept_text`` whole.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    texts = docs.select(*own, text.alias("data"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("bytes"))
+    beside = texts.join(repeats(texts, length), ["key", "bytes"], "left")
     names = [f"k{i}" for i in range(len(keep))]
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if texts_too else [])]
     kinds = ["long", "long", "long", "string", "string"]
     schema += "".join(f", c{len(keep) + i} {kinds[i]}" for i in range(len(made)))
-    return beside.select(*names, "text", "found").mapInArrow(_removed(length, names, texts_too), schema).toDF(*keep, *made)
+    return beside.select(*names, "data", "found").mapInArrow(_removed(length, names, texts_too), schema).toDF(*keep, *made)
