@@ -21,7 +21,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from dataweft.llm.common import fields, lengths, slices
+from dataweft.llm.common import lengths, schema, slices
 
 #: Distinct pre-tokens after which a worker's memo starts anew (the last one is kept beside it), and characters of a text taken at a time.
 MEMO, SLICE = 200_000, 1 << 20
@@ -152,16 +152,17 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
-    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
-        """Number of ids, digest of the ids and digest of the decoded bytes of each text."""
+    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str, list[int]]]:
+        """Number of ids, digest of the ids, digest of the decoded bytes and the ids of each text."""
         small = [t or "" if len(t or "") <= SLICE else "" for t in texts]
         for text, ids in zip(texts, self.encode(small), strict=True):
-            n, a, b = 0, hashlib.sha256(), hashlib.sha256()
+            n, a, b, own = 0, hashlib.sha256(), hashlib.sha256(), []
             for got in [ids] if len(text or "") <= SLICE else (self.encode([p])[0] for p in self.parts(text)):
                 a.update(("," * (n > 0 and len(got) > 0) + ",".join(map(self.text_of.__getitem__, got))).encode())
                 b.update(self.decode(got))
                 n += len(got)
-            yield n, a.hexdigest(), b.hexdigest()
+                own = got if not own else own + got
+            yield n, a.hexdigest(), b.hexdigest(), own
 
 
 _CODECS: dict[bytes, Codec] = {}
@@ -176,8 +177,8 @@ def codec(content: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Encode every text and decode its ids: ``keep`` columns, ``n_tokens`` and the two digests."""
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """Encode every text and decode its ids: ``keep`` columns, ``n_tokens``, the two digests and, if asked for, ``ids``."""
     with open(rank_file, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: under a megabyte
 
@@ -186,28 +187,10 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text"
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for a, b in slices(lengths(texts)):
-                rows = list(own.digests(texts.slice(a, b - a).to_pylist()))
-                n, x, y = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), pa.array(n, pa.int64()), pa.array(x), pa.array(y)],
-                                                 names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+                n, x, y, ids = zip(*own.digests(texts.slice(a, b - a).to_pylist()), strict=True)
+                made = [pa.array(n, pa.int64()), pa.array(x), pa.array(y)] + [pa.array(ids, pa.list_(pa.int32()))] * with_ids
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), *made],
+                                                 names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     src = docs.select(*keep, docs[text].alias("__text"))
-    return src.mapInArrow(work, f"{fields(docs, keep)}, {SCHEMA}")
-
-
-def encode_ids(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", name: str = "ids") -> DataFrame:
-    """``docs`` with the ids of every text as an array column; NULL texts have an empty one."""
-    with open(rank_file, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
-    rest = [c for c in docs.columns if c != name]
-    at = rest.index(text)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks.value, pattern)
-        for batch in batches:
-            for a, b in slices(lengths(batch.column(at))):
-                part = batch.slice(a, b - a)
-                ids = [[i for p in own.parts(t or "") for i in own.encode([p])[0]] for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*rest, name])
-
-    return docs.select(*rest).mapInArrow(work, f"{fields(docs, rest)}, `{name}` array<int>")
+    return src.mapInArrow(work, schema(docs, keep, SCHEMA + ", ids array<int>" * with_ids))

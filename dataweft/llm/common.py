@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word: a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +45,6 @@ def lengths(column: pa.Array) -> list[int | None]:
     return pc.binary_length(column).to_pylist()
 
 
-def fields(df: DataFrame, names: Iterable[str]) -> str:
-    """The columns' part of a schema in DDL."""
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+def schema(df: DataFrame, names: Iterable[str], made: str) -> StructType:
+    """The named columns as they are in ``df``, then the columns of ``made`` (DDL)."""
+    return StructType([df.schema[c] for c in names] + StructType.fromDDL(made).fields)

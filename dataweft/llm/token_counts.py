@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from dataweft.llm.common import fields, lengths, slices
+from dataweft.llm.common import lengths, schema, slices
 
 #: Distinct pre-tokens after which a worker's memo starts anew; the last one is kept beside it.
 MEMO = 200_000
@@ -166,4 +166,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
                                                  names=[*keep, "n_bytes", "n_tokens", "over_limit"])
 
     src = docs.select(*keep, docs[text].alias("__text"))
-    return src.mapInArrow(work, f"{fields(docs, keep)}, n_bytes long, n_tokens long, over_limit boolean")
+    return src.mapInArrow(work, schema(docs, keep, "n_bytes long, n_tokens long, over_limit boolean"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataweft.llm.common import fields, id_text, lengths, slices
+from dataweft.llm.common import id_text, lengths, schema, slices
 from dataweft.session import cut
 
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -233,4 +233,4 @@ def score(docs: DataFrame, model: Model, keep: Iterable[str] = ("doc_id",), text
                                                  names=[*keep, "score", "predicted", "evidence"])
 
     src = docs.select(*keep, docs[text].alias("__text"))
-    return src.mapInArrow(work, f"{fields(docs, keep)}, score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
+    return src.mapInArrow(work, schema(docs, keep, "score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>"))
