@@ -10,9 +10,9 @@ Words of less than two shingles say little. A set with more than d stronger ones
 in any pair, so it shows only those; other sets show all. Where one of the two sets is of the first kind, the pair
 meets in a strong word, else in any: nothing is lost.
 
-Pairs are never listed within a word's group. In a first step each class meets one hub of its words; links that hold
-join components; what is left are pairs of different components, and all of those are tested. A test compares the sketches, whose
-Hamming distance is a lower bound of the symmetric difference, and then the sets themselves.
+In a first step each class meets one hub of its words; links that hold join components. Of the members of a word that are
+still in different components, few are paired; many meet in blocks, from which only pairs go out whose sketches are close. The
+Hamming distance of two sketches is a lower bound of the symmetric difference; pairs that it lets through have their sets compared.
 
 Defined results: texts without words and NULL texts have an empty set, no links and themselves as component; texts of fewer
 words than a shingle have one shingle, all their words; rows without an id count as members of their class but never name a
@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataweft.operators.graph import connected_components
-from dataweft.operators.ordering import with_row_id
 from dataweft.session import cut
 
 #: Ratio of a band's sizes, pieces per allowed difference, shingles that make a word strong, steps that test one hub per class.
-RATIO, SPARE, STRONG, HUB_STEPS = 1.3, 1.2, 2, 2
+RATIO, SPARE, STRONG, HUB_STEPS = 1.3, 1.1, 2, 2
+#: Classes in a block of a word's group, and in a group whose pairs are listed.
+BLOCK, FEW = 1024, 16
 MEMO = 300_000
 
 
@@ -167,6 +168,39 @@ def _near(percent: int):
     return work
 
 
+def _close(percent: int):
+    """The pairs of two blocks that are in different components and whose sketches are close enough."""
+    def rows(block: list[dict]) -> dict[int, dict[str, np.ndarray]]:
+        """By band: what the block has of it, sorted by nothing in particular."""
+        out = {}
+        for band in {r["band"] for r in block}:
+            own = [r for r in block if r["band"] == band]
+            out[band] = {c: np.array([r[c] for r in own]) for c in ("node", "part", "n")} | {
+                c: np.array([np.frombuffer(r[c], np.uint64) for r in own]) for c in ("sketch", "next_sketch")}
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+            for left, right in zip(batch.column("a_rows").to_pylist(), batch.column("b_rows").to_pylist(), strict=True):
+                left, right = rows(left), rows(right)
+                for x, u in left.items():
+                    for y in {x - 1, x, x + 1} & right.keys():
+                        v = right[y]
+                        s, t = u["sketch" if x >= y else "next_sketch"], v["sketch" if y >= x else "next_sketch"]
+                        for i in range(0, len(s), 32):
+                            total = u["n"][i : i + 32, None] + v["n"][None, :]
+                            fits = np.minimum(u["n"][i : i + 32, None], v["n"][None, :]) * 100 >= percent * np.maximum(u["n"][i : i + 32, None], v["n"][None, :])
+                            p, q = np.nonzero(fits & (u["part"][i : i + 32, None] != v["part"][None, :]) & (u["node"][i : i + 32, None] != v["node"][None, :]))
+                            apart = np.concatenate([np.bitwise_count(s[i + p[k : k + 4096]] ^ t[q[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(p), 4096)] or [np.zeros(0, np.int64)])
+                            keep = apart <= total[p, q] * (100 - percent) // (100 + percent)
+                            ends = np.stack((u["node"][i + p[keep]], v["node"][q[keep]]), axis=1)
+                            found.append(np.sort(ends, axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    return work
+
+
 def _linked(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,18 +231,18 @@ def classes_and_links(docs: DataFrame, words: int = 3, percent: int = 90) -> tup
     texts = docs.select("doc_id", "text")
     rows = cut(texts.mapInArrow(_sets(words, percent), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, name binary, keys array<long>"))
     sets = rows.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
-    classes = with_row_id(sets, ["n", "name"], "node")
+    classes = cut(sets.withColumn("node", F.monotonically_increasing_id()))  # numbers stay as they are written
     shown = classes.select("node", F.explode("keys").alias("word"))
     by_word = F.expr("min(node) OVER (PARTITION BY word)"), F.expr("max(node) OVER (PARTITION BY word)")
     groups = cut(shown.select("word", "node", by_word[0].alias("hub"), by_word[1].alias("last")).where("hub < last").drop("last"))
-    met = groups.select("node").distinct()
-    wanted = classes.join(met, "node").select("node", "name", "n", "least")
+    shared = groups.select("node").distinct()
+    wanted = classes.join(shared, "node").select("node", "name", "n", "least")
     # One row of each class that meets another: its text is read again, not carried along.
     again = texts.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
     details = again.mapInArrow(_details(words, percent), "name binary, members binary, band int, sketch binary, next_sketch binary").dropDuplicates(["name"])
     details = cut(details.join(wanted, "name").select("node", "n", "band", "sketch", "next_sketch", "members"))
     links = tested = None
-    parts = met.withColumn("part", F.col("node"))
+    parts = shared.withColumn("part", F.col("node"))
     for _ in range(HUB_STEPS):
         # The class of the least component in a word's group is the hub of the others; each class asks the hub it meets most.
         placed = groups.select("word", "node").join(parts, "node")
@@ -221,13 +255,20 @@ def classes_and_links(docs: DataFrame, words: int = 3, percent: int = 90) -> tup
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = cut(verified(pairs, details, percent))
         links = found if links is None else links.unionByName(found)
-        parts = cut(_parts(links, met))
+        parts = cut(_parts(links, shared))
     placed = groups.select("word", "node").join(parts, "node")
     mixed_words = placed.groupBy("word").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("word")
     rest = placed.join(mixed_words, "word")
-    other = rest.select("word", F.col("node").alias("b"), F.col("part").alias("b_part"))
-    cross = rest.select("word", F.col("node").alias("a"), "part").join(other, "word").where("a < b and part <> b_part").select("a", "b").distinct()
-    cross = cross.join(tested, ["a", "b"], "left_anti")
+    rest = cut(rest.join(rest.groupBy("word").agg(F.count("*").alias("size")), "word"))
+    few, many = rest.where(F.col("size") <= FEW), rest.where(F.col("size") > FEW)
+    other = few.select("word", F.col("node").alias("b"), F.col("part").alias("b_part"))
+    listed = few.join(other, "word").where("node < b and part <> b_part").select(F.col("node").alias("a"), "b")
+    blocks = many.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))).join(details.select("node", "n", "band", "sketch", "next_sketch"), "node")
+    blocks = blocks.groupBy("word", "block").agg(F.collect_list(F.struct("node", "part", "n", "band", "sketch", "next_sketch")).alias("a_rows"))
+    other = blocks.select("word", F.col("block").alias("b_block"), F.col("a_rows").alias("b_rows"))
+    met = blocks.join(other, "word").where("block <= b_block").select("a_rows", "b_rows")
+    close = met.mapInArrow(_close(percent), "a long, b long")
+    cross = listed.unionByName(close).distinct().join(tested, ["a", "b"], "left_anti")
     return rows, classes.select("node", "name", "n", "least"), cut(links.unionByName(verified(cross, details, percent)))
 
 
