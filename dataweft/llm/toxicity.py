@@ -9,9 +9,9 @@ the product of its weights with those maxima; the blocks of the best bounds give
 bound reaches it is scored too, so the k nearest are exact. Their votes, weighted by cosine, go through a logistic
 curve that is fitted on the sample with every example left out of its own neighbours.
 
-Defined results: a NULL, empty or neutral text has no neighbours, its score is the curve's value without votes; labels that are
-NULL or of unknown documents are not learnt from, a document with both labels counts as toxic; if no label of one kind is there,
-every score is the smoothed share of toxic labels; repeated rows give repeated results; an empty table an empty result. Labels,
+Defined results: a NULL or empty text counts as one neutral word, whose nearest examples are those without other terms; labels that are
+NULL or of unknown documents are not learnt from, a document with both labels counts as toxic; if no label of one kind is there
+or no term tells them apart, every score is the smoothed share of toxic labels; repeated rows give repeated results; an empty table an empty result. Labels,
 language, source and ids never enter a score; ids only pick the sample.
 """
 
@@ -96,8 +96,7 @@ class Model:
                 ids = memo[w] = tuple(self.vocabulary[t] for t in terms(w) if t in self.vocabulary)
             if ids:
                 found.update(ids)
-        if words:
-            found[ANY] = len(words)
+        found[ANY] = max(1, len(words))
         return {t: n / (len(words) + PRIOR) for t, n in sorted(found.items())}
 
     def score_blocks(self, t: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
