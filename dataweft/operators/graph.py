@@ -133,11 +133,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         # large star: every larger neighbour of u moves to the smallest node around u, which is u itself
         # unless u has a smaller neighbour
         low = stars.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m"))
-        large = (stars.join(low, "lo", "left")
+        large = (attach(stars, low, ["lo"], "left")
                  .groupBy("hi", F.coalesce("m", "lo").alias("lo")).agg(F.max(F.col("m").isNotNull()).alias("moved")))
         # small star: u and its smaller neighbours move to the smallest of them
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        kept = large.join(least, "hi")
+        kept = attach(large, least, ["hi"])
         small = kept.select(F.explode(F.when(F.col("lo") == F.col("m"), F.array(F.struct("hi", F.col("m").alias("lo"), "moved")))
                                       .otherwise(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo"),
                                                                   F.lit(True).alias("moved"))))).alias("e")).select("e.*")

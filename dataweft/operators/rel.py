@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataweft.operators.ordering import with_group_position
+from dataweft.operators.ordering import attach, with_group_position
 from dataweft.operators.profile import value_counts, value_share
 
 
@@ -42,8 +42,8 @@ def keep_share(df: DataFrame, base: DataFrame, c: str, pct: float) -> DataFrame:
 
 
 def keep_active(df: DataFrame, key: str, n: int) -> DataFrame:
-    """Rows of keys with at least ``n`` rows."""
-    return semi(df, value_counts(df, key, dropna=True).where(F.col("n") >= n).select(key), key)
+    """Rows of keys with at least ``n`` rows; ``attach`` lets adaptive execution split a hot key."""
+    return attach(df, value_counts(df, key, dropna=True).where(F.col("n") >= n).select(key), [key])
 
 
 def stratified_sample(df: DataFrame, c: str, frac: float, order: Sequence[str | Column]) -> DataFrame:
