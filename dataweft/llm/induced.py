@@ -99,43 +99,56 @@ class _Scan:
     """Hands the suffixes before those scanned to their queues, with common prefixes, for one leading symbol at a time."""
 
     def __init__(self, t: np.ndarray, wanted: np.ndarray, queues: Queues, depth: int):
-        self.t, self.wanted, self.queues, self.depth = t, wanted, queues, depth
+        self.queues, self.depth = queues, depth
+        self.none = 255 if t.dtype == np.uint8 else -1  # symbols stay below
+        self.before = np.full(len(t), self.none, t.dtype)  # the symbol before each suffix, where that suffix is wanted
+        self.before[1:] = np.where(wanted[:-1], t[:-1], self.none)
         self.least = np.zeros(len(queues.size), np.int64)
 
     def begin(self) -> None:
         self.least[:] = 0  # suffixes of other leading symbols have nothing in common with those to come
 
     def feed(self, at: np.ndarray, lcp: np.ndarray) -> None:
-        """``lcp``: with the suffix scanned before."""
+        """``lcp``: with the suffix scanned before; not looked at where the depth is 0."""
         if not len(at):
             return
-        before = at - 1
-        use = np.flatnonzero((before >= 0) & self.wanted[before])
-        to = self.t[before[use]]
+        to = self.before[at]
+        use = np.flatnonzero(to != self.none)
+        to = to[use]
         order = np.argsort(to, kind="stable")
         to, use = to[order], use[order]
-        ends = np.flatnonzero(np.append(to[1:] != to[:-1], True)) + 1 if len(to) else np.zeros(0, np.int64)
-        whole, start = int(lcp.min()), 0
-        left = np.minimum(self.least, whole)
-        for end in ends:
+        ends = np.flatnonzero(to[1:] != to[:-1]).tolist() + [len(to)] if len(to) else []
+        start, put = 0, self.queues.put
+        previous = at[use] - 1
+        if self.depth == 0:
+            for k, end in enumerate(ends):
+                end += k < len(ends) - 1
+                part = previous[start:end]
+                put(int(to[start]), part, np.zeros(len(part), np.int32))
+                start = end
+            return
+        left = np.minimum(self.least, int(lcp.min()))
+        size, least, depth, last = self.queues.size, self.least, self.depth, len(at)
+        for k, end in enumerate(ends):
+            end += k < len(ends) - 1
             s, spot = int(to[start]), use[start:end]
-            cuts = np.concatenate(([0], spot + 1))
-            more = cuts[-1] < len(at)
+            cuts = np.empty(len(spot) + 1, np.int64)
+            cuts[0] = 0
+            np.add(spot, 1, out=cuts[1:])
+            more = cuts[-1] < last
             low = np.minimum.reduceat(lcp, cuts if more else cuts[:-1])
-            left[s] = low[-1] if more else self.depth
-            got = low[: len(spot)].astype(np.int64)
-            got[0] = min(got[0], self.least[s])
-            got = np.minimum(got + 1, self.depth)
-            if self.queues.size[s] == 0:
-                got[0] = 0
-            self.queues.put(s, before[spot], got)
+            left[s] = low[-1] if more else depth
+            got = low[: len(spot)] + 1
+            got[0] = min(int(low[0]), int(least[s])) + 1 if size[s] else 0
+            np.minimum(got, depth, out=got)
+            put(s, previous[start:end], got)
             start = end
         self.least = left
 
 
 def _meet(t: np.ndarray, a: int | None, b: int | None, depth: int) -> int:
     """Common prefix of a falling and a rising suffix of one symbol: their shorter run of it."""
-    return 0 if a is None or b is None else int(min(runs(t, np.array([a, b]), depth)))
+    return 0 if a is None or b is None or depth == 0 else int(min(runs(t, np.array([a, b]), depth)))
 
 
 def induce(t: np.ndarray, fall: np.ndarray, turns: np.ndarray, turn_lcp: np.ndarray, symbols: int, depth: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
@@ -184,19 +197,30 @@ def induce(t: np.ndarray, fall: np.ndarray, turns: np.ndarray, turn_lcp: np.ndar
 
 
 def doubling(names: np.ndarray, steps: int) -> np.ndarray:
-    """Order of the suffixes of a short string over names, by as many doublings of the rank as are asked for."""
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
-    n, h = len(rank), 1
-    order = np.argsort(rank, kind="stable")
+    """Order of the suffixes of a short string over names, by as many doublings of the rank as are asked for.
+
+    A rank is the first place of its group in the order; only groups of several suffixes are sorted again.
+    """
+    n, h = len(names), 1
+    order = np.argsort(names, kind="stable")
+    first = np.ones(n, bool)
+    first[1:] = names[order][1:] != names[order][:-1]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     for _ in range(steps):
-        if n == 0 or rank.max() == n - 1:
+        slots = np.flatnonzero(~(first & np.append(first[1:], True)))
+        if not len(slots):
             break
-        after = np.zeros(n, np.int64)
-        after[: n - h] = rank[h:] + 1 if h < n else after[: n - h]
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        rank[order] = np.cumsum(np.concatenate(([0], sorted_[1:] != sorted_[:-1])))
+        at = order[slots]
+        after = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
+        key = rank[at] * (n + 1) + after
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        order[slots] = at[by]
+        change = np.ones(len(slots), bool)
+        change[1:] = key[1:] != key[:-1]
+        first[slots] = change
+        rank[order[slots]] = np.maximum.accumulate(np.where(change, slots, 0))
         h *= 2
     return order
 
@@ -234,17 +258,17 @@ def suffix_array(t: np.ndarray, symbols: int, depth: int, folder: str) -> tuple[
     turns = np.flatnonzero(~fall[1:] & fall[:-1]) + 1
     if len(turns):
         order = _sorted_turns(t, fall, turns, symbols, depth, folder)
-        lcp = np.zeros(len(order), np.int64)
+        lcp = np.zeros(len(order), np.int32)
         lcp[1:] = common(t, order[:-1], order[1:], depth)
     else:
-        order, lcp = turns, turns
+        order, lcp = turns, turns.astype(np.int32)
     return induce(t, fall, order, lcp, symbols, depth, folder)
 
 
 def _sorted_turns(t: np.ndarray, fall: np.ndarray, turns: np.ndarray, symbols: int, depth: int, folder: str) -> np.ndarray:
     """The turning suffixes in order, through their names."""
     by_first = turns[np.argsort(t[turns], kind="stable")]
-    rough, _ = induce(t, fall, by_first, np.zeros(len(turns), np.int64), symbols, 1, folder)
+    rough, _ = induce(t, fall, by_first, np.zeros(len(turns), np.int32), symbols, 0, folder)
     turning = np.zeros(len(t), bool)
     turning[turns] = True
     rough = rough[turning[rough]]
@@ -272,5 +296,5 @@ def _sorted_turns(t: np.ndarray, fall: np.ndarray, turns: np.ndarray, symbols: i
         return turns[np.argsort(reduced)]
     # A turn comes every other symbol at most, so half the depth in names is enough.
     if len(reduced) <= BASE:
-        return turns[doubling(reduced, int(np.ceil(np.log2(depth))))]
+        return turns[doubling(reduced, int(np.ceil(np.log2(max(2, depth / 2 + 2)))))]
     return turns[suffix_array(reduced, int(reduced.max()) + 1, depth, folder)[0]]

@@ -31,7 +31,7 @@ from dataweft.llm.common import lengths, slices
 from dataweft.session import cut
 
 #: Bytes of a gram; bytes of regions in a shard, and in a group that a shard takes.
-GRAM, SHARD, GROUP = 16, 4 << 20, 2 << 20
+GRAM, SHARD, GROUP = 16, 3 << 20, 2 << 20
 TOP, PLACE = np.uint64(0xFFFFFFFFFF000000), np.uint64(0xFFFFFF)
 
 
