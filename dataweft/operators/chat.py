@@ -30,8 +30,10 @@ def reply_text(rows: DataFrame) -> DataFrame:
 
 
 def reply_of_nested(chats: DataFrame) -> DataFrame:
-    """The same from nested chats."""
-    return chats.where("part = 0").select("conv_id", F.get("messages", F.lit(1))["content"].alias("reply"))
+    """The same from nested chats, also where the second message opens the next part."""
+    head = chats.where("part <= 1").select("conv_id", F.struct("part", F.slice("messages", 1, 2).alias("m")).alias("e"))
+    both = head.groupBy("conv_id").agg(F.sort_array(F.collect_list("e")).alias("e"))  # two parts of two messages at most
+    return both.select("conv_id", F.get(F.flatten("e.m"), F.lit(1))["content"].alias("reply"))
 
 
 def tokens(text: Column) -> Column:
@@ -48,19 +50,16 @@ def build_vocab(df: DataFrame, text: str, size: int) -> DataFrame:
     return cut(top.select("token", "n", (place + UNKNOWN_ID).cast("int").alias("id")))
 
 
-def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len: int = 1000, vocab_size: int = 100_000) -> DataFrame:
+def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len: int = 1000) -> DataFrame:
     """(key, n_tokens, input_ids, attention_mask), cut and padded to ``max_len``; ``key`` is unique.
 
-    Text is cut to ``max_len`` tokens before it is spread, so a row stays small. The vocabulary holds at most
-    ``vocab_size`` rows and is broadcast up to that size only; a larger one is left to the planner.
+    Text is cut to ``max_len`` tokens before it is spread, so a row stays small. How the vocabulary is joined is left to the
+    planner's check of its size.
     """
     parts = df.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     parts = parts.select(key, F.size("_t").alias("n_tokens"), F.slice("_t", 1, max_len).alias("_t"))
     words = parts.select(key, "n_tokens", F.posexplode_outer("_t").alias("_pos", "token"))
-    ids = vocab.select("token", "id")
-    if ids.limit(vocab_size + 1).count() <= vocab_size:
-        ids = F.broadcast(ids)
-    found = words.join(ids, "token", "left")
+    found = words.join(vocab.select("token", "id"), "token", "left")
     entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("_id")))
     rows = found.groupBy(key, "n_tokens").agg(F.sort_array(F.collect_list(entry)).alias("_e"))
     input_ids = F.transform("_e", lambda e: e["_id"])
@@ -75,8 +74,9 @@ def lm_labels(df: DataFrame) -> DataFrame:
                                               lambda i, m: F.when(m == 1, i).otherwise(F.lit(MASKED))))
 
 
-def to_prompt(df: DataFrame, c: str, name: str = "prompt") -> DataFrame:
-    """The instruction prompt around a text."""
+def to_prompt(df: DataFrame, c: str, name: str = "prompt", role: str | None = None) -> DataFrame:
+    """The instruction prompt around a text; with ``role`` only around the messages of that role."""
+    df = df if role is None else df.where(F.col("role") == role)
     return df.withColumn(name, F.format_string("### Instruction:\n%s\n\n### Response:\n", F.col(c)))
 
 

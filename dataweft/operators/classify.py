@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -9,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataweft.operators.ordering import top_per_group
+from dataweft.session import cut
 
 LOSSES = ("hinge", "ramp", "hard")
-ROWS_PER_TASK = 100_000
 
 
 class Line(NamedTuple):
@@ -87,48 +88,94 @@ def choose(results: DataFrame) -> DataFrame:
     return top_per_group(results, ["loss"], [F.desc("correct"), F.col("pos")], 1)
 
 
-def _vectors(points: DataFrame) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    rows = points.select("x", "y", "label", F.when(F.col("label") == 1, 1.0).otherwise(0.0).alias("target"))
-    return VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(rows)
+def choose_loss(results: DataFrame) -> DataFrame:
+    """The one (loss, C) with most correct points over all losses (the first on ties)."""
+    return results.orderBy(F.desc("correct"), "pos").limit(1)
 
 
-def _svc(rows: DataFrame, c: float, n: int, weight: str | None = None, iters: int = 12) -> Line:
+class Plane(NamedTuple):
+    """The plane sum(w_i * v_i) + b = 0 over vectors of any length."""
+    w: tuple[float, ...]
+    b: float
+
+
+def plane_margins(points: DataFrame, plane: Plane, vec: str = "vec") -> DataFrame:
+    """Margin of every vector; ``label`` is -1 or 1. Entries without a partner count as 0."""
+    weights = F.array(*[F.lit(float(x)) for x in plane.w])
+    product = F.zip_with(F.col(vec).cast("array<double>"), weights, lambda a, b: F.coalesce(a, F.lit(0.0)) * F.coalesce(b, F.lit(0.0)))
+    total = F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
+    return points.withColumn("margin", F.col("label") * (total + F.lit(float(plane.b))))
+
+
+MAX_ITERS = 1000
+
+
+def _vectors(points: DataFrame, vec: str | None = None) -> DataFrame:
+    """(x, y, label, target, features), evaluated once: every step of a fit reads it."""
+    from pyspark.ml.functions import array_to_vector
+    features = F.array("x", "y") if vec is None else F.col(vec)
+    kept = ["x", "y"] if vec is None else []
+    rows = points.select(*kept, "label", F.when(F.col("label") == 1, 1.0).otherwise(0.0).alias("target"), features.cast("array<double>").alias("f"))
+    return cut(rows).withColumn("features", array_to_vector("f")).drop("f")
+
+
+def _svc(rows: DataFrame, c: float):
+    """(weights, b) of the hinge loss, run to its tolerance; an error if it does not get there."""
     from pyspark.ml.classification import LinearSVC
-    rows = rows.coalesce(n // ROWS_PER_TASK + 1)  # every iteration is a job, so no task should be tiny
-    svc = LinearSVC(featuresCol="features", labelCol="target", regParam=1 / (c * n), maxIter=iters, tol=1e-3,
-                    standardization=False)
-    model = (svc.setWeightCol(weight) if weight else svc).fit(rows)
-    w = model.coefficients
-    return Line(float(w[0]), float(w[1]), float(model.intercept))
+    n = rows.count()
+    model = LinearSVC(featuresCol="features", labelCol="target", regParam=1 / (c * n), maxIter=MAX_ITERS, tol=1e-5, standardization=False).fit(rows)
+    found = [*map(float, model.coefficients), float(model.intercept)]
+    if not all(map(math.isfinite, found)):
+        raise ArithmeticError("the fit has no finite weights")
+    if model.summary().totalIterations >= MAX_ITERS:
+        raise RuntimeError(f"the fit has not settled after {MAX_ITERS} iterations")
+    return tuple(found[:-1]), found[-1]
+
+
+def _line(fitted) -> Line:
+    return Line(*fitted[0], fitted[1])
 
 
 def fit_linear_svc(points: DataFrame, c: float) -> Line:
     """Hinge-loss separating line for one C."""
-    rows = _vectors(points)
-    return _svc(rows, c, rows.count())
+    return _line(_svc(_vectors(points), c))
 
 
-def fit_robust_svc(points: DataFrame, c: float, rounds: int = 3, cut_off: float = -1.0, start: Line | None = None) -> Line:
-    """Line for losses that stop growing: from the hinge line on, points with a margin below ``cut_off`` get weight 0
-    until the set of them no longer changes, at most ``rounds`` times."""
-    rows = _vectors(points)
-    n = rows.count()
-    line, out = start or _svc(rows, c, n), None
-    for _ in range(rounds):
+def fit_plane(points: DataFrame, c: float, vec: str = "vec") -> Plane:
+    """Hinge-loss separating plane over all entries of the vectors."""
+    return Plane(*_svc(_vectors(points, vec), c))
+
+
+def fit_robust_svc(points: DataFrame, c: float, cut_off: float = -1.0, start: Line | None = None) -> Line:
+    """Line for losses that stop growing: from the hinge line on, points with a margin below ``cut_off`` are left out
+    until the set of them has been left out before; a set whose fit fails or that leaves one label keeps the line before."""
+    return _robust(_vectors(points), c, cut_off, start)
+
+
+def _robust(rows: DataFrame, c: float, cut_off: float, start: Line | None) -> Line:
+    line, seen = start or _line(_svc(rows, c)), set()
+    while True:
         low = margin(*line) < cut_off
-        now = rows.agg(F.count_if(low), F.bit_xor(F.when(low, F.xxhash64("x", "y", "label"))),
-                       F.count_distinct(F.when(~low, F.col("label")))).first()
-        if tuple(now) == out or now[2] < 2:
-            break
-        out = tuple(now)
-        line = _svc(rows.withColumn("weight", F.when(low, 0.0).otherwise(1.0)), c, n, "weight")
-    return line
+        now = tuple(rows.agg(F.count_if(low), F.bit_xor(F.when(low, F.xxhash64("x", "y", "label"))), F.count_distinct(F.when(~low, F.col("label")))).first())
+        if now in seen or now[2] < 2 or now[0] == 0:
+            return line
+        seen.add(now)
+        try:
+            line = _line(_svc(rows.where(~low), c))
+        except ArithmeticError:
+            return line
+
+
+CUT_OFF = {"ramp": -1.0, "hard": 0.0}
 
 
 def fit_grid(points: DataFrame, cs: Sequence[float], losses: Sequence[str] = LOSSES) -> list[tuple[str, float, Line]]:
     """One fitted line per (loss, C), ready for ``grid``; the hinge line of a C is where its other losses start."""
-    hinge = {c: fit_linear_svc(points, c) for c in cs}
-    cut_off = {"ramp": -1.0, "hard": 0.0}
-    return [(kind, c, hinge[c] if kind == "hinge" else fit_robust_svc(points, c, cut_off=cut_off[kind], start=hinge[c]))
-            for kind in losses for c in cs]
+    rows = _vectors(points)
+    hinge = {c: _line(_svc(rows, c)) for c in cs}
+    return [(kind, c, hinge[c] if kind == "hinge" else _robust(rows, c, CUT_OFF[kind], hinge[c])) for kind in losses for c in cs]
+
+
+def refit(points: DataFrame, kind: str, c: float) -> Line:
+    """The chosen configuration fitted again, as a rule on a larger set."""
+    return fit_linear_svc(points, c) if kind == "hinge" else fit_robust_svc(points, c, CUT_OFF[kind])

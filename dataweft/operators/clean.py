@@ -26,10 +26,10 @@ def drop_sentinels(df: DataFrame, values: Mapping[str, Sequence[Any]]) -> DataFr
 
 
 def keep_any(df: DataFrame, cols: Sequence[str], absent: str = "None") -> DataFrame:
-    """Keep rows where at least one of the flags is set."""
+    """Keep rows where at least one of the flags is set; a missing flag differs from ``absent`` and so keeps its row."""
     keep = F.lit(False)
     for c in cols:
-        keep = keep | (F.col(c) != absent)
+        keep = keep | ~F.col(c).eqNullSafe(F.lit(absent))
     return df.where(keep)
 
 
@@ -109,18 +109,34 @@ def histogram(df: DataFrame, c: str, edges: Sequence[float]) -> DataFrame:
 
 
 def dense_id(df: DataFrame, c: str, name: str, start: int = 0, missing: int | None = None) -> DataFrame:
-    """Number the distinct values of ``c`` from ``start`` in sorted order and add the number to each row."""
-    codes = with_row_id(df.select(c).where(F.col(c).isNotNull()).distinct(), [c], "_id")
-    codes = codes.select(c, (F.col("_id") - 1 + start).cast("int").alias(name))
-    out = df.join(codes, c, "left").select(*df.columns, name)
-    return out if missing is None else out.fillna({name: missing})
+    """Number the distinct values of ``c`` from ``start`` in sorted order and add the number to each row.
+
+    The input is read for the values and again for the rows, so hand in a table or a ``cut`` frame.
+    """
+    return dense_ids(df, {c: name}, start, missing)
+
+
+def dense_ids(df: DataFrame, names: Mapping[str, str], start: int = 0, missing: int | None = None) -> DataFrame:
+    """``dense_id`` of several columns at once: all values are collected in one pass and numbered together."""
+    values = F.array(*[F.struct(F.lit(i).alias("_i"), *[(F.col(c) if c == d else F.lit(None).cast(df.schema[d].dataType)).alias(f"_v{j}")
+                                                      for j, d in enumerate(names)]) for i, c in enumerate(names)])
+    each = df.select(F.inline(values)).distinct()
+    keys = [f"_v{j}" for j in range(len(names))]
+    each = each.where(" OR ".join(f"{k} IS NOT NULL" for k in keys))
+    numbered = with_row_id(each, ["_i", *keys], "_id")
+    first = numbered.groupBy("_i").agg(F.min("_id").alias("_first"))  # one row per column
+    codes = numbered.join(F.broadcast(first), "_i").withColumn("_n", (F.col("_id") - F.col("_first") + start).cast("int"))
+    out = df
+    for i, (c, name) in enumerate(names.items()):
+        own = codes.where(F.col("_i") == i).select(F.col(f"_v{i}").alias(c), F.col("_n").alias(name))
+        out = out.join(own, c, "left")
+    out = out.select(*df.columns, *names.values())
+    return out if missing is None else out.fillna({n: missing for n in names.values()})
 
 
 def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_Code") -> DataFrame:
     """Integer code of each category in sorted order, -1 where it is missing."""
-    for c in cols:
-        df = dense_id(df, c, f"{c}{suffix}", missing=-1)
-    return df
+    return dense_ids(df, {c: f"{c}{suffix}" for c in cols}, missing=-1)
 
 
 def prefix(c: str | Column, n: int, pad: int | None = None) -> Column:

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from dataweft.session import cut
 
-# Below this many distinct (group, value) rows the built-in percentile fits in any one task.
-SMALL_VALUE_TABLE = 1_000_000
-
 
 def _cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
@@ -82,23 +79,25 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], weig
         *df.columns, (F.col("_local") + F.col("_start")).alias(name))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    small: int = SMALL_VALUE_TABLE) -> DataFrame:
-    """Interpolated quantiles of ``value`` per group, NULL values skipped, one output column per entry.
+def value_table(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, _v, _c): each value of each group and its number of rows, evaluated once."""
+    rows = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
+    return cut(rows.agg(F.count("*").alias("_c")))
 
-    Rows are first reduced to (group, value, count). A small reduced table goes to the built-in
-    ``percentile`` with frequencies; a larger one is ranked by a distributed running total.
-    """
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of ``value`` per group, NULL values skipped, one output column per entry."""
+    return quantiles_of(value_table(df, keys, value), keys, probs)
+
+
+def quantiles_of(counts: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """The same from a ``value_table``. Values are ranked by a distributed running total at every size."""
     keys = list(keys)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-              .agg(F.count("*").alias("_c")))
-    counts = cut(counts)
-    if counts.count() <= small:
-        return counts.groupBy(*keys).agg(*[
-            F.percentile("_v", F.lit(p), F.col("_c")).cast("double").alias(n) for n, p in probs.items()])
     ranked = running_total(counts, keys, ["_v"], "_c", "_cum")
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    joined = attach(ranked, totals, keys)
+    if keys:
+        joined = attach(ranked, counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), keys)
+    else:
+        joined = ranked.withColumn("_n", counts.select(F.sum("_c")).scalar())
 
     def at(index: Column) -> Column:
         hit = (index < F.col("_cum")) & (index >= F.col("_cum") - F.col("_c"))

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataweft.operators.ordering import attach, exact_quantiles
+from dataweft.operators.ordering import attach, quantiles_of, value_table
+from dataweft.session import cut
 
 
 def _melt(one: DataFrame, names: Sequence[str], value: str) -> DataFrame:
@@ -72,22 +73,29 @@ def grouped_summary(df: DataFrame, by: Sequence[str], c: str, where: Column | No
     """The same per group. The median does not hold a group's values in one task."""
     if where is not None:
         df = df.where(where)
-    basic = df.groupBy(*by).agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"),
-                                F.avg(c).alias("avg"))
-    medians = exact_quantiles(df, by, c, {"median": 0.5})
+    by = list(by)
+    groups = cut(df.groupBy(*by, F.col(c).alias("_v")).agg(F.count(c).alias("_c")))  # NULL values keep their groups
+    basic = groups.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), _weighted_mean().alias("avg"))
+    medians = quantiles_of(groups.where("_c > 0"), by, {"median": 0.5})
     if not by:
-        median = medians.select("median").scalar()
-        return basic.withColumn("median", median)
+        return basic.withColumn("median", medians.select("median").scalar()).withColumn("n", F.coalesce("n", F.lit(0)))
     return attach(basic, medians, by, "left")
 
 
+def _weighted_mean() -> Column:
+    """Mean from values and their numbers; NULL without values."""
+    return F.sum(F.col("_v") * F.col("_c")) / F.nullif(F.sum("_c"), F.lit(0)).cast("double")
+
+
 def describe_num(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, sample deviation, min, quartiles and max of each column."""
-    rows = _long(df, cols, "double")
-    basic = rows.groupBy("column_name").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    return basic.join(exact_quantiles(rows, ["column_name"], "value", {"q25": .25, "q50": .5, "q75": .75}), "column_name", "left")
+    rows = value_table(_long(df, cols, "double"), ["column_name"], "value")
+    mean = rows.groupBy("column_name").agg(F.sum("_c").alias("n"), _weighted_mean().alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    spread = attach(rows, mean.select("column_name", "mean"), ["column_name"]).groupBy("column_name").agg(
+        F.sum((F.col("_v") - F.col("mean")) * (F.col("_v") - F.col("mean")) * F.col("_c")).alias("_s"))
+    basic = mean.join(spread, "column_name").select(
+        "column_name", "n", "mean", F.when(F.col("n") > 1, F.sqrt(F.col("_s") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("std"), "min", "max")
+    return basic.join(quantiles_of(rows, ["column_name"], {"q25": .25, "q50": .5, "q75": .75}), "column_name", "left")
 
 
 def describe_cat(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -18,7 +18,7 @@ from dataweft.operators.ordering import running_total, top_per_group
 from dataweft.operators.profile import date_span
 from dataweft.session import cut
 
-# Columns whose combination makes articles interchangeable.
+# Columns whose combination makes articles interchangeable.
 ARTICLE_GROUP = ["product_type_name", "index_group_name", "garment_group_name", "department_name",
                  "perceived_colour_value_name"]
 # The age groups.
@@ -126,20 +126,20 @@ def frequent_articles(articles: DataFrame, min_rows: int = 3, top_groups: int =
 def prepare(tx: DataFrame, customers: DataFrame, articles: DataFrame, windows: Windows = Windows(),
             sample: float = 0.9, sample_order: Sequence[str | Column] | None = None, min_purchases: int = 4) -> DataFrame:
     """The whole preparation of purchases, in its order of steps."""
-    tx = clean.drop_null_keys(tx, ["customer_id", "article_id", "t_dat"])
-    span = date_span(tx, "t_dat")
+    tx = cut(clean.drop_null_keys(tx, ["customer_id", "article_id", "t_dat"]))  # the facts are read once
+    last = date_span(tx, "t_dat").select("last").scalar()
     windowed = clean.exclude_window(tx, "t_dat", *windows.one_off)
     windowed = clean.exclude_yearly(windowed, "t_dat", *windows.yearly, span=tx)
 
     people = clean.keep_any(clean_customers(customers), ["fashion_news_frequency", "club_member_status"]).drop("FN", "Active")
     order = sample_order or [F.xxhash64("customer_id", F.lit(1)), F.col("customer_id")]
     people = rel.stratified_sample(people, "age_group", sample, order)
-    goods = frequent_articles(clean_articles(articles))
+    goods = cut(frequent_articles(cut(clean_articles(articles))))
 
     sellers = best_sellers(windowed, goods).select("article_id")
     bought = cut(rel.semi(windowed, sellers, "article_id"))  # used three times below
     active = rel.keep_active(bought, "customer_id", min_purchases)
-    recent = recent_items(active, span.select("last").scalar())
+    recent = recent_items(active, last)
     kept = rel.semi(active, people.select("customer_id"), "customer_id")
     return merge_full(rel.semi(kept, recent, "article_id"), people, goods)
 
@@ -148,8 +148,8 @@ def prepare(tx: DataFrame, customers: DataFrame, articles: DataFrame, windows: W
 
 def interactions(tx: DataFrame, user: str = "customer_id", item: str = "article_id") -> DataFrame:
     """Purchases per (user, item) with dense ids; repeated purchases add up."""
-    pairs = tx.groupBy(user, item).agg(F.count("*").alias("n"))
-    return clean.dense_id(clean.dense_id(pairs, user, "user_idx"), item, "item_idx")
+    pairs = cut(tx.groupBy(user, item).agg(F.count("*").alias("n")))
+    return clean.dense_ids(pairs, {user: "user_idx", item: "item_idx"})
 
 
 def interaction_shape(tx: DataFrame, user: str = "customer_id", item: str = "article_id") -> DataFrame:
@@ -193,8 +193,8 @@ def score_pairs(pairs: DataFrame, user_vecs: DataFrame, item_vecs: DataFrame, us
     return pairs.join(u, user).join(i, item).withColumn("score", dot(F.col("_u"), F.col("_i"))).drop("_u", "_i")
 
 
-def _blocked(left: DataFrame, left_key: str, right: DataFrame, right_key: str, block: int):
-    """Both sides cut into blocks of about ``block`` rows; each pair of blocks becomes one group."""
+def _cells(left: DataFrame, left_key: str, right: DataFrame, right_key: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides cut into blocks of about ``block`` rows, every row once for each block of the other side."""
     n_left = max(1, math.ceil(left.count() / block))
     n_right = max(1, math.ceil(right.count() / block))
 
@@ -202,8 +202,12 @@ def _blocked(left: DataFrame, left_key: str, right: DataFrame, right_key: str, b
         return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")) \
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
-    a = cells(left, left_key, "_lb", "_rb", n_left, n_right)
-    b = cells(right, right_key, "_rb", "_lb", n_right, n_left)
+    return cells(left, left_key, "_lb", "_rb", n_left, n_right), cells(right, right_key, "_rb", "_lb", n_right, n_left)
+
+
+def _blocked(left: DataFrame, left_key: str, right: DataFrame, right_key: str, block: int):
+    """Each pair of blocks as one group."""
+    a, b = _cells(left, left_key, right, right_key, block)
     return a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb"))
 
 
@@ -215,45 +219,52 @@ def recommend(user_vecs: DataFrame, item_vecs: DataFrame, n: int, known: DataFra
               block: int = 4096, user_type: str = "bigint", item_type: str = "bigint") -> DataFrame:
     """The ``n`` best items of each user over all items, by a matrix product per pair of blocks.
 
-    A task holds two blocks and returns ``n`` rows per user, so the full score table never exists.
-    With ``known`` (user, item) pairs, those items are not recommended.
+    A task holds two blocks and returns ``n`` rows per user, so the full score table never exists. Each user travels
+    once per block of items and each item once per block of users. ``known`` (user, item) pairs go to the blocks of their
+    items, at most one block of them per user, and are masked there.
     """
-    extra = 0
-    if known is not None:  # a user's best n + |known| items contain the best n unknown ones
-        sizes = known.groupBy("user").agg(F.count("*").cast("int").alias("_k"))
-        user_vecs = user_vecs.join(sizes, "user", "left").fillna({"_k": 0})
-        extra = 1
+    n_items = max(1, math.ceil(item_vecs.count() / block))
 
     def best(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(users) and len(items):
-            ids = items["item"].to_numpy()
-            m = _matrix(items["vec"]).T
-            for at in range(0, len(users), 512):
-                chunk = users.iloc[at:at + 512]
-                scores = _matrix(chunk["vec"]) @ m
-                want = chunk["_k"].to_numpy() if extra else np.zeros(len(chunk), dtype=int)
-                for user, row, k in zip(chunk["user"], scores, want):
-                    k = min(n + int(k), len(ids))
-                    floor = np.partition(row, len(row) - k)[len(row) - k]
-                    hit = np.flatnonzero(row >= floor)
-                    hit = hit[np.lexsort((ids[hit], -row[hit]))][:k]
-                    out.append(pd.DataFrame({"user": user, "item": ids[hit], "score": row[hit]}))
-        return pd.concat(out) if out else pd.DataFrame({"user": [], "item": [], "score": []})
-
-    cells = _blocked(user_vecs, "user", item_vecs, "item", block)
-    scores = cells.applyInPandas(best, f"user {user_type}, item {item_type}, score double")
+        found = []
+        ids = items["item"].to_numpy()
+        place = {i: k for k, i in enumerate(ids)}
+        m = _matrix(items["vec"]).T if len(items) else None
+        for at in range(0, len(users) if len(items) else 0, 512):
+            chunk = users.iloc[at:at + 512]
+            scores = _matrix(chunk["vec"]) @ m
+            if "_known" in chunk:
+                for row, own in enumerate(chunk["_known"]):
+                    if own is not None:
+                        scores[row, [place[i] for i in own if i in place]] = -np.inf
+            k = min(n, len(ids))
+            least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+            row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            order = np.lexsort((ids[col], -scores[row, col], row))
+            row, col = row[order], col[order]
+            first = np.searchsorted(row, np.arange(len(chunk)))
+            keep = np.arange(len(row)) - first[row] < k
+            row, col = row[keep], col[keep]
+            found.append((chunk["user"].to_numpy()[row], ids[col], scores[row, col]))
+        parts = zip(*found, strict=True) if found else ([], [], [])
+        return pd.DataFrame({c: np.concatenate(p) if found else p for c, p in zip(("user", "item", "score"), parts, strict=True)})
+
+    a, b = _cells(user_vecs.select("user", "vec"), "user", item_vecs.select("item", "vec"), "item", block)
     if known is not None:
-        scores = scores.join(known.select("user", "item"), ["user", "item"], "left_anti")
+        near = known.select("user", "item").distinct().withColumn("_rb", F.pmod(F.xxhash64("item"), F.lit(n_items)).cast("int"))
+        a = a.join(near.groupBy("user", "_rb").agg(F.collect_list("item").alias("_known")), ["user", "_rb"], "left")
+    scores = a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb")).applyInPandas(best, f"user {user_type}, item {item_type}, score double")
     return top_per_group(scores, ["user"], [F.desc("score"), F.col("item")], n)
 
 
 def auc_all_items(positives: DataFrame, user_vecs: DataFrame, item_vecs: DataFrame, block: int = 4096) -> DataFrame:
-    """AUC per user of positive (user, item) pairs against all other items.
+    """(user, auc, unscored): AUC per user of positive (user, item) pairs against all other items with a vector.
 
-    Each positive is compared with one block of items at a time and only two counts leave the task.
+    Each positive is compared with one block of items at a time and only two counts leave the task. A positive whose user
+    or item has no vector is unscored and counts as a draw, 0.5; no user is lost.
     """
-    rows = score_pairs(positives.select("user", "item"), user_vecs, item_vecs)
+    positives = positives.select("user", "item").distinct()
+    rows = score_pairs(positives, user_vecs, item_vecs)
     rows = rows.join(user_vecs.select("user", "vec"), "user").withColumn("row", F.xxhash64("user", "item"))
 
     def compare(left: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
@@ -279,7 +290,11 @@ def auc_all_items(positives: DataFrame, user_vecs: DataFrame, item_vecs: DataFra
         .withColumn("n", n_items - F.col("p"))
     # the wins among a user's own positives add up to p(p-1)/2
     auc = (F.col("wins") - F.col("p") * (F.col("p") - 1) / 2) / (F.col("p") * F.col("n"))
-    return per_user.select("user", F.when(F.col("n") > 0, auc).otherwise(0.5).alias("auc"))
+    scored = per_user.select("user", "p", F.when(F.col("n") > 0, auc).otherwise(0.5).alias("_auc"))
+    asked = positives.groupBy("user").agg(F.count("*").alias("_all")).join(scored, "user", "left")
+    unscored = F.col("_all") - F.coalesce("p", F.lit(0))
+    mean = (F.coalesce(F.col("_auc") * F.col("p"), F.lit(0.0)) + 0.5 * unscored) / F.col("_all")
+    return asked.select("user", mean.alias("auc"), unscored.alias("unscored"))
 
 
 def overlap_pct(recs: DataFrame, known: DataFrame) -> DataFrame:
@@ -291,6 +306,13 @@ def overlap_pct(recs: DataFrame, known: DataFrame) -> DataFrame:
         "user", "n_known", (F.coalesce("hits", F.lit(0)) * 100 / F.col("n_known")).alias("pct"))
 
 
+def overlap_mean(recs: DataFrame, known: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Mean of ``overlap_pct`` over the chosen users, all of them by default."""
+    rows = overlap_pct(recs, known)
+    rows = rows if users is None else rel.semi(rows, users, "user")
+    return rows.agg(F.avg("pct").alias("mean_pct"), F.count("*").alias("n_users"))
+
+
 # -- ranking metrics --------------------------------------------------------------------------------------------------
 
 def _hits_at_k(scores: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -341,3 +363,40 @@ def evaluate(scores: DataFrame, train: DataFrame, test: DataFrame, k_precision:
     return rows[0].unionByName(rows[1])
 
 
+def evaluate_model(user_vecs: DataFrame, item_vecs: DataFrame, train: DataFrame, test: DataFrame, k_precision: int = 12, k_recall: int = 10) -> DataFrame:
+    """One row per set (train, test) with precision, recall, AUC and the number of users of a factor model."""
+    user_vecs, item_vecs = cut(user_vecs), cut(item_vecs)
+    recs = cut(recommend(user_vecs, item_vecs, max(k_precision, k_recall)))
+    rows = []
+    for name, truth in (("train", train), ("test", test)):
+        truth = cut(truth.select("user", "item").distinct())
+        auc = auc_all_items(truth, user_vecs, item_vecs)
+        rows.append(auc.agg(F.avg("auc").alias("auc"), F.count("*").alias("n_users")).select(
+            F.lit(name).alias("set"), precision_at_k(recs, truth, k_precision).scalar().alias("precision"),
+            recall_at_k(recs, truth, k_recall).scalar().alias("recall"), "auc", "n_users"))
+    return rows[0].unionByName(rows[1])
+
+
+def factor_vectors(model, user: str = "user", item: str = "item") -> tuple[DataFrame, DataFrame]:
+    """(user, vec) and (item, vec) of a fitted model."""
+    pick = lambda df, name: df.select(F.col("id").cast("bigint").alias(name), F.col("features").alias("vec"))
+    return pick(model.userFactors, user), pick(model.itemFactors, item)
+
+
+def factor_grid(inter: DataFrame, train: DataFrame, test: DataFrame, settings: Sequence[dict]) -> DataFrame:
+    """One row per setting of ``fit_implicit`` and set with the metrics of the fitted model, numbered by ``pos``.
+
+    ``inter`` are the training rows (user_idx, item_idx, n); ``train`` and ``test`` are (user, item) pairs.
+    """
+    out = None
+    for pos, setting in enumerate(settings):
+        users, items = factor_vectors(fit_implicit(inter, **setting))
+        rows = cut(evaluate_model(users, items, train, test))
+        rows = rows.select(F.lit(pos).alias("pos"), *[F.lit(v).alias(k) for k, v in setting.items()], *rows.columns)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def best_setting(grid: DataFrame, metric: str = "auc") -> DataFrame:
+    """The test row of the best setting, the first on ties."""
+    return grid.where("set = 'test'").orderBy(F.desc(metric), "pos").limit(1)

@@ -60,16 +60,13 @@ def collect_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], fi
                     max_len: int = 100_000) -> DataFrame:
     """Ordered array of ``fields`` per key, in parts of at most ``max_len`` entries (``part`` 0, 1, ...).
 
-    Groups that fit give one part; when some group does not, positions come from the distributed numbering,
-    so no task ever holds a whole large group and no entry is lost.
+    Positions come from the distributed numbering at every size, so no task ever holds a whole large group and no entry is
+    lost. A group of more than ``max_len`` entries has several rows; ``max_len`` bounds the entries of a row, not their bytes,
+    so choose it for the size of an entry.
     """
     keys = list(keys)
-    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= max_len:
-        placed = df.withColumn("part", F.lit(0).cast("long"))
-    else:
-        placed = with_group_position(df, keys, order, "_pos")
-        placed = placed.withColumn("part", F.floor((F.col("_pos") - 1) / max_len)).drop("_pos")
+    placed = with_group_position(df, keys, order, "_pos")
+    placed = placed.withColumn("part", F.floor((F.col("_pos") - 1) / max_len)).drop("_pos")
     entry = F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*fields).alias("_e"))
     packed = placed.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
     return packed.select(*keys, "part", F.transform("_all", lambda x: x["_e"]).alias(name))

@@ -70,9 +70,9 @@ def lm_labels(spark, d):
 
 @query("q_prompts", """
     SELECT conv_id, turn, concat('### Instruction:', chr(10), content, chr(10), chr(10), '### Response:', chr(10)) AS prompt
-    FROM messages WHERE role = 'user'""", inputs=("messages",))
+    FROM messages""", inputs=("messages",))
 def prompts(spark, d):
-    return chat.to_prompt(messages(spark, d).where("role = 'user'"), "content").select("conv_id", "turn", "prompt")
+    return chat.to_prompt(messages(spark, d), "content").select("conv_id", "turn", "prompt")
 
 
 @query("q_batches", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dataweft.operators import classify
 from dataweft.operators.classify import Line
 from dataweft.plans.registry import query
-from dataweft.sources.inputs import points
+from dataweft.sources.inputs import points, vectors
 
 LINE = Line(1.5, -0.5, 0.02)
 M = "label * (1.5 * x + -0.5 * y + 0.02)"
@@ -93,20 +93,64 @@ def grid_choice(spark, d):
     return classify.choose(classify.grid(points(spark, d), GRID)).select("loss", "c", "correct", F.round("mean_loss", 6).alias("mean_loss"))
 
 
-@query("q_svc_fit")
+@query("q_best_loss", "SELECT loss, c, correct FROM results ORDER BY correct DESC, pos LIMIT 1", inputs=("points",),
+       ctes={"lines": GRID_SQL, "results": RESULT_SQL})
+def best_loss(spark, d):
+    return classify.choose_loss(classify.grid(points(spark, d), GRID)).select("loss", "c", "correct")
+
+
+PLANE = classify.Plane(tuple(round(0.5 - 0.03 * i, 2) for i in range(64)), 0.02)
+WEIGHTS = "[" + ", ".join(map(str, PLANE.w)) + "]::DOUBLE[]"
+
+
+@query("q_plane_margins", f"""
+    SELECT vec_id, round((CASE WHEN label < 5 THEN 1 ELSE -1 END) * (list_inner_product(embedding::DOUBLE[], {WEIGHTS}) + 0.02), 6) AS margin
+    FROM embeddings""")
+def plane_margins(spark, d):
+    """All 64 entries of every vector."""
+    return classify.plane_margins(vectors(spark, d), PLANE).select("vec_id", F.round("margin", 6).alias("margin"))
+
+
+def apart(spark, d):
+    """The points moved apart by their label, so that a line separates them."""
+    return points(spark, d).withColumn("x", F.col("x") + 3 * F.col("label"))
+
+
+@query("q_svc_fit", "SELECT CAST(count(*) AS BIGINT) AS correct, CAST(count(*) AS BIGINT) AS total FROM points", inputs=("points",))
 def svc_fit(spark, d):
-    p = points(spark, d)
+    p = apart(spark, d)
     return classify.correct_count(p, classify.fit_linear_svc(p, 10.0), "margin")
 
 
-@query("q_robust_fit")
+@query("q_plane_fit", "SELECT CAST(count(*) AS BIGINT) AS total, true AS over_half FROM embeddings")
+def plane_fit(spark, d):
+    p = vectors(spark, d)
+    m = classify.plane_margins(p, classify.fit_plane(p, 10.0))
+    return m.agg(F.count("*").alias("total"), (F.count_if(F.col("margin") > 0) * 2 > F.count("*")).alias("over_half"))
+
+
+@query("q_robust_fit", "SELECT CAST(count(*) AS BIGINT) AS correct, CAST(count(*) AS BIGINT) AS total FROM points", inputs=("points",))
 def robust_fit(spark, d):
-    p = points(spark, d)
+    p = apart(spark, d)
     return classify.correct_count(p, classify.fit_robust_svc(p, 10.0), "margin")
 
 
-@query("q_fitted_grid")
+@query("q_fitted_grid", "SELECT * FROM (VALUES ('hinge', true, true), ('ramp', true, true), ('hard', true, true)) t(loss, known_c, over_half)")
 def fitted_grid(spark, d):
     """Fit every (loss, C), then choose the C of each loss."""
     p = points(spark, d)
-    return classify.choose(classify.grid(p, classify.fit_grid(p, (0.1, 10.0)), rule="margin"))
+    best = classify.choose(classify.grid(p, classify.fit_grid(p, CS), rule="margin"))
+    half = p.select(F.count("*") / 2).scalar()
+    return best.select("loss", F.col("c").isin(*CS).alias("known_c"), (F.col("correct") >= half).alias("over_half"))
+
+
+@query("q_refit", """
+    SELECT loss, c, (SELECT CAST(count(*) AS BIGINT) FROM points) AS total, true AS finite FROM results ORDER BY correct DESC, pos LIMIT 1""",
+       inputs=("points",), ctes={"lines": GRID_SQL, "results": RESULT_SQL})
+def refit(spark, d):
+    """The best configuration of the grid, fitted again."""
+    p = points(spark, d)
+    best = classify.choose_loss(classify.grid(p, GRID)).first()
+    line = classify.refit(p, best["loss"], best["c"])
+    finite = all(x == x and abs(x) < float("inf") for x in line)
+    return classify.correct_count(p, line, "margin").select(F.lit(best["loss"]).alias("loss"), F.lit(best["c"]).alias("c"), "total", F.lit(finite).alias("finite"))

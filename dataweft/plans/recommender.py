@@ -37,10 +37,20 @@ def _pairs(spark, d):
     return transactions(spark, d).groupBy("customer_id", "article_id").agg(F.count("*").alias("n"))
 
 
-@query("q_random_split")
+@query("q_random_split", """
+    SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_in_both, CAST(0 AS BIGINT) AS n_in_none, true AS share_fits
+    FROM (SELECT DISTINCT customer_id, article_id FROM transactions)""", inputs=("transactions",))
 def random_split(spark, d):
-    train, test = recsys.random_split(_pairs(spark, d), 0.2, ["customer_id", "article_id"], seed=7)
-    return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+    """The two parts share no row, miss no row, and a fifth of the rows is in the second, give or take five standard errors."""
+    pairs = cut(_pairs(spark, d))
+    train, test = recsys.random_split(pairs, 0.2, ["customer_id", "article_id"], seed=7)
+    placed = pairs.select("customer_id", "article_id", F.lit(0).alias("part")).unionByName(
+        train.select("customer_id", "article_id", F.lit(1).alias("part"))).unionByName(test.select("customer_id", "article_id", F.lit(2).alias("part")))
+    each = placed.groupBy("customer_id", "article_id").agg(F.count_if(F.col("part") == 1).alias("a"), F.count_if(F.col("part") == 2).alias("b"))
+    share = F.avg(F.when(F.col("b") > 0, 1.0).otherwise(0.0))
+    return each.agg(F.count("*").alias("n_rows"), F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("n_in_both"),
+                    F.count_if((F.col("a") == 0) & (F.col("b") == 0)).alias("n_in_none"),
+                    (F.abs(share - 0.2) < 5 * F.sqrt(F.lit(0.16) / F.count("*"))).alias("share_fits"))
 
 
 @query("q_recent_items", """
@@ -252,23 +262,56 @@ def recommend_unknown(spark, d):
 
 # -- factor model -----------------------------------------------------------------------------------------------------
 
-def _model(spark, d):
+def _sides(spark, d):
+    """(training rows, training pairs, test pairs) of a leave-one-out split."""
     inter = cut(recsys.interactions(transactions(spark, d)))
     train, test = recsys.leave_one_out(inter, "user_idx", "item_idx", seed=3)
-    model = recsys.fit_implicit(inter.join(train, ["user_idx", "item_idx"], "left_semi"), rank=8, iters=5)
-    users = model.userFactors.select(F.col("id").cast("bigint").alias("user"), F.col("features").alias("vec"))
-    items = model.itemFactors.select(F.col("id").cast("bigint").alias("item"), F.col("features").alias("vec"))
+    train, test = cut(train), cut(test)
     as_pairs = lambda df: df.select(F.col("user_idx").cast("bigint").alias("user"), F.col("item_idx").cast("bigint").alias("item"))
-    return users, items, as_pairs(train), as_pairs(test)
+    return inter.join(train, ["user_idx", "item_idx"], "left_semi"), as_pairs(train), as_pairs(test)
 
 
-@query("q_als_topn")
+SIDES_SQL = {
+    "pairs": "SELECT DISTINCT customer_id, article_id FROM transactions",
+    "per_user": "SELECT customer_id, count(*) AS n FROM pairs GROUP BY customer_id"}
+
+
+@query("q_als_topn", """
+    SELECT CAST(count(*) AS BIGINT) AS n_users, CAST(12 AS BIGINT) AS least, CAST(12 AS BIGINT) AS most, CAST(0 AS BIGINT) AS n_repeated
+    FROM per_user WHERE n > 1""", inputs=("transactions",), ctes=SIDES_SQL)
 def als_topn(spark, d):
-    users, items, _, _ = _model(spark, d)
-    return recsys.recommend(users, items, 12)
+    """Users of the model, fewest and most recommendations of a user, items that a user gets twice."""
+    rows, _, _ = _sides(spark, d)
+    recs = recsys.recommend(*recsys.factor_vectors(recsys.fit_implicit(rows)), 12)
+    each = recs.groupBy("user").agg(F.count("*").alias("n"), F.count_distinct("item").alias("k"))
+    return each.agg(F.count("*").alias("n_users"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum(F.col("n") - F.col("k")).alias("n_repeated"))
 
 
-@query("q_als_auc")
+@query("q_als_auc", "SELECT CAST(count(*) AS BIGINT) AS n_users, true AS in_range FROM per_user", inputs=("transactions",), ctes=SIDES_SQL)
 def als_auc(spark, d):
-    users, items, _, test = _model(spark, d)
-    return recsys.auc_all_items(test, users, items).agg(F.avg("auc").alias("auc"), F.count("*").alias("n_users"))
+    """No user of the test set is lost, not even without a vector."""
+    rows, _, test = _sides(spark, d)
+    auc = recsys.auc_all_items(test, *recsys.factor_vectors(recsys.fit_implicit(rows)))
+    return auc.agg(F.count("*").alias("n_users"), F.bool_and(F.col("auc").between(0, 1)).alias("in_range"))
+
+
+@query("q_model_eval", """
+    SELECT 'train' AS set, CAST(count(*) AS BIGINT) AS n_users, true AS in_range FROM per_user WHERE n > 1
+    UNION ALL SELECT 'test', CAST(count(*) AS BIGINT), true FROM per_user""", inputs=("transactions",), ctes=SIDES_SQL)
+def model_eval(spark, d):
+    rows, train, test = _sides(spark, d)
+    metrics = recsys.evaluate_model(*recsys.factor_vectors(recsys.fit_implicit(rows)), train, test)
+    fine = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("auc").between(0, 1)
+    return metrics.select("set", "n_users", fine.alias("in_range"))
+
+
+SETTINGS = [{"rank": 8, "reg": 0.05, "iters": 10}, {"rank": 16, "reg": 0.1, "iters": 5}]
+
+
+@query("q_factor_grid", "SELECT * FROM (VALUES " + ", ".join(
+    f"({k}, {s['rank']}, '{part}', true)" for k, s in enumerate(SETTINGS) for part in ("train", "test")) + ") t(pos, rank, set, in_range)")
+def factor_grid(spark, d):
+    rows, train, test = _sides(spark, d)
+    metrics = recsys.factor_grid(cut(rows), train, test, SETTINGS)
+    fine = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("auc").between(0, 1)
+    return metrics.select("pos", "rank", "set", fine.alias("in_range"))

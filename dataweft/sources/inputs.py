@@ -125,6 +125,12 @@ def points(spark: SparkSession, d: str) -> DataFrame:
                     F.when(F.col("label") < 5, 1).otherwise(-1).alias("label"))
 
 
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The same labels over all entries."""
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), F.when(F.col("label") < 5, 1).otherwise(-1).alias("label"))
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Candidate items per user with a score, ties included, and the relevance flags of two sets."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")

@@ -68,11 +68,10 @@ def changes(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return both.select(*keys, F.explode(kinds).alias("e")).select(*keys, "e.change_type", "e.r.*")
 
 
-def compare_versions(spark: SparkSession, path: str, a: int, b: int, aggs: Mapping[str, Column]) -> DataFrame:
-    """Each aggregate in version ``a``, in version ``b`` and the difference a - b, in one row."""
-    one_a = read_version(spark, path, a).agg(*[e.alias(n) for n, e in aggs.items()])
-    one_b = read_version(spark, path, b).agg(*[e.alias(n) for n, e in aggs.items()])
+def compare(new: DataFrame, old: DataFrame, aggs: Mapping[str, Column], names: tuple[str, str] = ("new", "old")) -> DataFrame:
+    """Each aggregate of two states of a table and the difference new - old, in one row."""
+    one_a, one_b = (df.agg(*[e.alias(n) for n, e in aggs.items()]) for df in (new, old))
     sides = one_a.withColumn("_s", F.lit("a")).unionByName(one_b.withColumn("_s", F.lit("b")))
     pick = lambda n, s: F.max(F.when(F.col("_s") == s, F.col(n)))
-    wide = sides.agg(*[pick(n, s).alias(f"{n}_v{v}") for n in aggs for s, v in (("a", a), ("b", b))])
-    return wide.withColumns({f"{n}_difference": F.col(f"{n}_v{a}") - F.col(f"{n}_v{b}") for n in aggs})
+    wide = sides.agg(*[pick(n, s).alias(f"{n}_{v}") for n in aggs for s, v in zip("ab", names, strict=True)])
+    return wide.withColumns({f"{n}_difference": F.col(f"{n}_{names[0]}") - F.col(f"{n}_{names[1]}") for n in aggs})

@@ -82,8 +82,8 @@ def test_vocab_encoding_and_labels(spark):
     replies = chat.reply_text(messages(spark))
     vocab = chat.build_vocab(replies, "reply", 3)
     assert rows(vocab, "id", "token", "n") == [(2, "hello", 3), (3, "!", 1), (4, ",", 1)]
-    for bound in (100, 1):  # broadcast and planner's choice
-        out = chat.lm_labels(chat.encode(replies, "conv_id", "reply", vocab, 5, vocab_size=bound))
+    for _ in range(1):
+        out = chat.lm_labels(chat.encode(replies, "conv_id", "reply", vocab, 5))
         got = {r.conv_id: r for r in out.collect()}
         assert (got[1].input_ids, got[1].attention_mask, got[1].labels) == ([2, 4, 2, 3, 0], [1, 1, 1, 1, 0], [2, 4, 2, 3, -100])
         assert (got[2].input_ids, got[2].labels, got[2].n_tokens) == ([0] * 5, [-100] * 5, 0)

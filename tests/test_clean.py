@@ -118,3 +118,14 @@ def test_scalars(spark):
     row = df.select(trim_all(F.col("s")), strip_one(trim_all(F.col("s")), "+"), remove_literal(F.lit("x+]y+]"), "+]"),
                     fit_length(F.array(F.lit(1), F.lit(2)), 4, 0), fit_length(F.array(F.lit(1), F.lit(2)), 1, 0)).first()
     assert tuple(row) == ("a+", "a", "xy", [1, 2, 0, 0], [1])
+
+
+def test_a_missing_flag_keeps_its_row(spark):
+    df = spark.createDataFrame([(1, None, "None"), (2, "None", "None"), (3, "x", None)], "k int, a string, b string")
+    assert rows(clean.keep_any(df, ["a", "b"]), "k") == [(1,), (3,)]
+
+
+def test_dense_ids_of_two_columns(spark):
+    df = spark.createDataFrame([("b", 3), ("a", None), (None, 1), ("b", 1)], "s string, n int")
+    got = clean.dense_ids(df, {"s": "i", "n": "j"}, missing=-1)
+    assert rows(got) == rows(spark.createDataFrame([("b", 3, 1, 1), ("a", None, 0, -1), (None, 1, -1, 0), ("b", 1, 1, 0)], "s string, n int, i int, j int"))

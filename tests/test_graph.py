@@ -124,3 +124,40 @@ def test_adjacency_parts(spark, max_len):
     out = graph.adjacency(spark.createDataFrame(EDGES, "src string, dst string"), max_len=max_len)
     assert rows(out.where("src = 'a'"), "part", "neighbours") == [(0, ["b", "c"])]
     assert rows(graph.out_degree(spark.createDataFrame(EDGES, "src string, dst string")))[0] == ("a", 2)
+
+
+@pytest.fixture
+def skew_settings(spark):
+    """Small thresholds, no broadcast: joins of a hot key must show a split."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_keys_are_split(spark, skew_settings, monkeypatch):
+    from dataweft.operators import rel
+    df = spark.range(600_000).selectExpr("CASE WHEN id < 500000 THEN 0 ELSE id END AS k", "id")
+    kept = rel.keep_active(df, "k", 2)
+    assert kept.count() == 500_000
+    kept.write.format("noop").mode("overwrite").save()
+    split = kept.groupBy().agg(F.sum("id"))
+    split.collect()
+    assert "skew=true" in split._jdf.queryExecution().executedPlan().toString()
+    plans = []
+    real = graph.cut
+
+    def cut(frame):
+        out = real(frame)
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(graph, "cut", cut)
+    star = spark.range(1, 300_000).selectExpr("0L AS src", "id AS dst")
+    assert graph.connected_components(star).where("component <> 0").count() == 0
+    assert any("skew=true" in p for p in plans)

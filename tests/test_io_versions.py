@@ -64,7 +64,7 @@ def test_versions(spark):
     assert [versions.read_version(spark, path, v).count() for v in (0, 1, 2)] == [2, 4, 1]
     assert rows(versions.history(spark, path), "version", "operation", "n_rows") == [
         (0, "create", 2), (1, "insert", 2), (2, "overwrite", 1)]
-    both = versions.compare_versions(spark, path, 1, 0, {"avg": F.avg("price"), "n": F.count("price")})
+    both = versions.compare(versions.read_version(spark, path, 1), versions.read_version(spark, path, 0), {"avg": F.avg("price"), "n": F.count("price")}, ("v1", "v0"))
     assert both.first().asDict() == {"avg_v1": 20.0, "avg_v0": 20.0, "n_v1": 4, "n_v0": 2, "avg_difference": 0.0, "n_difference": 2}
     assert "Cartesian" not in plan(both) and "NestedLoop" not in plan(both)
     with pytest.raises(ValueError):

@@ -76,8 +76,43 @@ def test_auc_over_all_items_equals_brute_force(spark, block):
         p = [j for a, j in pos if a == i]
         wins = [float(s[i, a] > s[i, b]) + 0.5 * (s[i, a] == s[i, b]) for a in p for b in range(15) if b not in p]
         want[i] = np.mean(wins)
-    got = dict(rows(recsys.auc_all_items(spark.createDataFrame(pos, "user bigint, item bigint"), users, items, block)))
+    auc = recsys.auc_all_items(spark.createDataFrame(pos, "user bigint, item bigint"), users, items, block)
+    got = dict(rows(auc, "user", "auc"))
     assert got.keys() == want.keys() and all(np.isclose(got[i], want[i]) for i in want)
+    cold = spark.createDataFrame([*pos, (0, 99), (7, 1)], "user bigint, item bigint")  # an item and a user without vector
+    rows_ = {r.user: r for r in recsys.auc_all_items(cold, users, items, block).collect()}
+    n = sum(a == 0 for a, _ in pos)
+    assert rows_.keys() == {*want, 7} and rows_[7].auc == 0.5 and rows_[7].unscored == 1
+    assert rows_[0].unscored == 1 and np.isclose(rows_[0].auc, (n * want[0] + 0.5) / (n + 1))
+
+
+def test_recommend_moves_each_row_once_per_block(spark):
+    users = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "user bigint, vec array<double>")
+    items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "item bigint, vec array<double>")
+    a, b = recsys._cells(users, "user", items, "item", 10)
+    assert a.count() == 40 * 3 and b.count() == 30 * 4
+
+
+def test_model_evaluation_and_grid(spark):
+    users = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "user bigint, vec array<double>")
+    items = spark.createDataFrame([(i, [float(i % 2 == 0) * (10 - i), float(i % 2) * (10 - i)]) for i in range(10)], "item bigint, vec array<double>")
+    train = spark.createDataFrame([(0, 0), (0, 2), (1, 1)], "user bigint, item bigint")
+    test = spark.createDataFrame([(0, 4), (1, 0)], "user bigint, item bigint")
+    got = {r.set: r for r in recsys.evaluate_model(users, items, train, test, 2, 3).collect()}
+    assert got["train"].precision == (2 / 2 + 1 / 2) / 2 and got["train"].recall == 1.0 and got["train"].auc == 1.0
+    assert got["test"].recall == 0.5 and np.isclose(got["test"].auc, (7 / 9 + 2 / 9) / 2) and got["test"].n_users == 2
+    inter = spark.createDataFrame([(u, i, 1) for u in range(6) for i in range(8) if (u + i) % 2], "user_idx int, item_idx int, n int")
+    pairs = inter.selectExpr("CAST(user_idx AS BIGINT) AS user", "CAST(item_idx AS BIGINT) AS item")
+    grid = recsys.factor_grid(inter, pairs, pairs, [{"rank": 2, "iters": 3}, {"rank": 4, "iters": 3}])
+    assert rows(grid, "pos", "rank", "set") == [(0, 2, "test"), (0, 2, "train"), (1, 4, "test"), (1, 4, "train")]
+    assert recsys.best_setting(grid).first().auc == max(r.auc for r in grid.collect())
+
+
+def test_overlap_mean(spark):
+    recs = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "user bigint, item bigint")
+    known = spark.createDataFrame([(1, 1), (1, 9), (2, 5), (3, 1)], "user bigint, item bigint")
+    assert recsys.overlap_mean(recs, known).first().mean_pct == 25.0
+    assert recsys.overlap_mean(recs, known, recs.where("user = 1").select("user")).first().mean_pct == 50.0
 
 
 def tx(spark):
