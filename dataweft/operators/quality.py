@@ -45,12 +45,18 @@ def enforce(df: DataFrame, constraints: Sequence[Constraint]) -> DataFrame:
     return df
 
 
-def listing_constraints(max_price: int = 500_000) -> list[Constraint]:
+# Names, columns and open bounds of the vehicle table's checks.
+LISTING_BOUNDS = [("price_valid", "price", 1000, 500_000), ("yearOfRegistration_valid", "yearOfRegistration", 1900, 2026)]
+LISTING_REQUIRED = [("model_known", ("model", "vehicleType")), ("brand_not_null", ("brand",)), ("abtest_not_null", ("abtest",))]
+
+
+def listing_rules(max_price: int | None = None) -> list[tuple[str, str]]:
+    """(name, SQL condition) of the five checks: one of some columns is given, or a column lies between its bounds."""
+    given = [(name, " OR ".join(f"{c} IS NOT NULL" for c in cols)) for name, cols in LISTING_REQUIRED]
+    high = lambda name, value: max_price if name == "price_valid" and max_price is not None else value
+    return given + [(name, f"{c} > {lo} AND {c} < {high(name, hi)}") for name, c, lo, hi in LISTING_BOUNDS]
+
+
+def listing_constraints(max_price: int | None = None) -> list[Constraint]:
     """The five checks of the vehicle table."""
-    return [
-        Constraint("model_known", F.col("model").isNotNull() | F.col("vehicleType").isNotNull()),
-        Constraint("price_valid", (F.col("price") > 1000) & (F.col("price") < max_price)),
-        Constraint("year_valid", (F.col("yearOfRegistration") > 1900) & (F.col("yearOfRegistration") < 2026)),
-        Constraint("brand_not_null", F.col("brand").isNotNull()),
-        Constraint("abtest_not_null", F.col("abtest").isNotNull()),
-    ]
+    return [Constraint(name, F.expr(rule)) for name, rule in listing_rules(max_price)]

@@ -101,12 +101,16 @@ class Windows(NamedTuple):
     yearly: tuple[tuple[int, int], tuple[int, int]] = ((12, 10), (12, 25))
 
 
-def clean_customers(customers: DataFrame) -> DataFrame:
-    """Fill, unify and derive customer columns."""
+def fill_customers(customers: DataFrame) -> DataFrame:
+    """No gaps in the flags, one spelling of a flag that is not set."""
     df = clean.fill(customers, {"FN": 0.0, "club_member_status": "None"})
     df = clean.replace_values(df, "fashion_news_frequency", {"NONE": "None"})
-    df = clean.fill(df, {"fashion_news_frequency": "None"})
-    df = clean.impute_mean(df, "age")
+    return clean.fill(df, {"fashion_news_frequency": "None"})
+
+
+def clean_customers(customers: DataFrame) -> DataFrame:
+    """Fill, unify and derive customer columns."""
+    df = clean.impute_mean(fill_customers(customers), "age")
     return df.withColumn("age_group", clean.bucket("age", AGE_EDGES, AGE_LABELS))
 
 

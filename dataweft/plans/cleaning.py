@@ -6,8 +6,10 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from dataweft.operators import clean, quality
+from dataweft.operators import clean, quality, recsys
 from dataweft.plans.registry import query
+from dataweft.session import work_path
+from dataweft.sources import io
 from dataweft.sources.inputs import articles, customers, edges, listings, transactions
 
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -85,16 +87,21 @@ FILLED_CUSTOMERS_SQL = """
 
 
 def filled_customers(spark, d):
-    df = clean.fill(customers(spark, d), {"FN": 0.0, "club_member_status": "None"})
-    df = clean.replace_values(df, "fashion_news_frequency", {"NONE": "None"})
-    return clean.fill(df, {"fashion_news_frequency": "None"})
+    return recsys.fill_customers(customers(spark, d))
 
 
 @query("q_keep_any_flag", """
-    SELECT customer_id FROM filled WHERE fashion_news_frequency <> 'None' OR club_member_status <> 'None'""",
+    SELECT 'filled' AS state, customer_id FROM filled WHERE fashion_news_frequency <> 'None' OR club_member_status <> 'None'
+    UNION ALL SELECT 'raw', customer_id FROM customers
+    WHERE fashion_news_frequency IS DISTINCT FROM 'NONE' OR club_member_status IS DISTINCT FROM 'ACTIVE'""",
        inputs=("customers",), ctes={"filled": FILLED_CUSTOMERS_SQL})
 def keep_any_flag(spark, d):
-    return clean.keep_any(filled_customers(spark, d), ["fashion_news_frequency", "club_member_status"]).select("customer_id")
+    """Once on filled flags and once on flags with gaps, where a gap keeps its row."""
+    flags = ["fashion_news_frequency", "club_member_status"]
+    filled = clean.keep_any(filled_customers(spark, d), flags)
+    people = customers(spark, d)
+    raw = clean.keep_any(people.withColumn("club_member_status", F.when(F.col("club_member_status") == "ACTIVE", "NONE").otherwise(F.col("club_member_status"))), flags, "NONE")
+    return filled.select(F.lit("filled").alias("state"), "customer_id").unionByName(raw.select(F.lit("raw").alias("state"), "customer_id"))
 
 
 @query("q_dropna", f"""
@@ -170,16 +177,13 @@ def exclude_yearly_keep(spark, d):
     return _yearly(spark, d, True)
 
 
-# The age groups.
-AGE_EDGES = [20, 25, 30, 40, 50]
-AGE_LABELS = ["<20", "20-25", "25-30", "30-40", "40-50", "50+"]
 
 
 @query("q_age_group", """
     SELECT customer_id, CASE WHEN age < 20 THEN '<20' WHEN age < 25 THEN '20-25' WHEN age < 30 THEN '25-30'
            WHEN age < 40 THEN '30-40' WHEN age < 50 THEN '40-50' ELSE '50+' END AS age_group FROM customers""", inputs=("customers",))
 def age_group(spark, d):
-    return customers(spark, d).select("customer_id", clean.bucket("age", AGE_EDGES, AGE_LABELS).alias("age_group"))
+    return customers(spark, d).select("customer_id", clean.bucket("age", recsys.AGE_EDGES, recsys.AGE_LABELS).alias("age_group"))
 
 
 POWER_SQL = "CASE " + " ".join(f"WHEN {{0}} < {v} THEN {v}" for v in range(2000, 20000, 2000)) + " ELSE 20000 END"
@@ -248,8 +252,7 @@ def update(spark, d):
 
 # The upper price bound is 100000 here, so that the check meets rows that break it.
 MAX_PRICE = 100_000
-VALID_SQL = """price > 1000 AND price < 100000 AND yearOfRegistration < 2026 AND yearOfRegistration > 1900
-    AND brand IS NOT NULL AND abtest IS NOT NULL AND NOT (model IS NULL AND vehicleType IS NULL)"""
+VALID_SQL = " AND ".join(f"({rule})" for _, rule in quality.listing_rules(MAX_PRICE))
 
 
 @query("q_valid_rows", f"SELECT {KEY}, price, brand, model FROM listings WHERE {VALID_SQL}", inputs=("listings",))
@@ -261,9 +264,17 @@ def valid_rows(spark, d):
 @query("q_violation_counts", """
     SELECT 'model_known' AS constraint_name, CAST(count(*) AS BIGINT) AS violations FROM listings WHERE model IS NULL AND vehicleType IS NULL
     UNION ALL SELECT 'price_valid', CAST(count(*) AS BIGINT) FROM listings WHERE NOT coalesce(price > 1000 AND price < 100000, false)
-    UNION ALL SELECT 'year_valid', CAST(count(*) AS BIGINT) FROM listings
+    UNION ALL SELECT 'yearOfRegistration_valid', CAST(count(*) AS BIGINT) FROM listings
       WHERE NOT coalesce(yearOfRegistration > 1900 AND yearOfRegistration < 2026, false)
     UNION ALL SELECT 'brand_not_null', CAST(count(*) AS BIGINT) FROM listings WHERE brand IS NULL
     UNION ALL SELECT 'abtest_not_null', CAST(count(*) AS BIGINT) FROM listings WHERE abtest IS NULL""", inputs=("listings",))
 def violation_counts(spark, d):
     return quality.violation_report(listings(spark, d), quality.listing_constraints(MAX_PRICE))
+
+
+@query("q_enforced_write", f"SELECT {KEY}, price FROM listings WHERE {VALID_SQL}", inputs=("listings",))
+def enforced_write(spark, d):
+    """Valid rows pass the checks and are written; the whole table would not."""
+    constraints = quality.listing_constraints(MAX_PRICE)
+    kept = quality.valid_rows(listings(spark, d), constraints).select(*KEYS, "price", "model", "vehicleType", "brand", "abtest", "yearOfRegistration")
+    return io.write_table(quality.enforce(kept, constraints), work_path(spark, "enforced")).select(*KEYS, "price")

@@ -49,6 +49,7 @@ def ctas(spark, d):
     return stored.groupBy("brand").agg(F.count("*").alias("n"), F.sum("price").alias("total"))
 
 
+# The declared columns, spelled as they are declared.
 LISTING_SCHEMA = StructType([
     StructField("id", LongType()), StructField("dateCreated", TimestampNTZType()), StructField("price", IntegerType()),
     StructField("yearOfRegistration", IntegerType()), StructField("notRepairedDamage", StringType()),
@@ -139,3 +140,10 @@ def head_sample(spark, d):
 @query("q_shape", "SELECT CAST(count(*) AS BIGINT) AS n_rows, 3 AS n_cols FROM edges", inputs=("edges",))
 def shape(spark, d):
     return profile.shape(edges(spark, d))
+
+
+@query("q_empty_frame", "SELECT id, price, brand FROM conformed", inputs=("listings",), ctes={"conformed": CONFORMED_SQL})
+def empty_frame(spark, d):
+    """An empty frame of the declared columns, filled from the listings by name."""
+    rows = conformed(listings(spark, d))
+    return io.append(io.empty(spark, rows.schema), rows).select("id", "price", "brand")

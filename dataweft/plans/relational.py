@@ -77,6 +77,7 @@ def repaired(spark, d):
 REPAIRED_SQL = f"""
     SELECT * EXCLUDE (notRepairedDamage), coalesce(notRepairedDamage, 'ja') AS notRepairedDamage FROM listings WHERE {VALID_SQL}"""
 BRANDS = ("Brand#2", "Brand#3", "Brand#4")
+# The output columns of the two reports.
 
 
 def brand_year_damage_report(df):

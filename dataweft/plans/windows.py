@@ -26,7 +26,7 @@ def row_id(spark, d):
         .select(*LISTING_KEY[:4], "id")
 
 
-GROUP = ["product_type_name", "index_group_name", "garment_group_name", "department_name", "perceived_colour_value_name"]
+GROUP = recsys.ARTICLE_GROUP
 
 
 @query("q_best_per_group", f"""
