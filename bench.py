@@ -16,7 +16,7 @@ from dataweft.sources import io  # noqa: E402
 
 QUERIES = ["q_brand_year_damage", "q_brand_fuel_damage", "q_pagerank_lang", "q_pagerank_duplicates", "q_rank_by_lang",
            "q_components", "q_customer_features", "q_reco_prepared", "q_interactions", "q_chat_encoded", "q_row_id",
-           "q_price_by_type", "q_describe_num", "q_stratified_sample", "q_user_auc", "q_changes", "q_version_compare"]
+           "q_price_by_type", "q_describe_num", "q_stratified_sample", "q_user_auc", "q_changes", "q_version_compare", "q_fitted_grid", "q_als_auc"]
 
 
 def run(df) -> None:
