@@ -111,8 +111,9 @@ def test_gradient_and_normalisation():
     same = np.broadcast_to(source[0], one.shape).copy()
     last = np.broadcast_to(target[0], one.shape).copy()
     last[:, -1] = np.arange(attention_lm.SUBWORDS)
-    p = attention_lm.logs(w, tables, same, last, one).reshape(one.shape)[:, -1]
+    p = attention_lm.logs(attention_lm.Reader(w), tables, same, last, one).reshape(one.shape)[:, -1]
     assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
+    assert np.allclose(attention_lm.Reader(w).hidden(source), attention_lm.attend(w, source)[0], atol=1e-4)
 
 
 def test_training_lowers_the_loss():
