@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+#: Suffixes up to which they are handed on one by one.
+FEW = 6
 #: Tuples that all queues of a sort keep in memory, and symbols of a reduced string that is sorted by doubling.
 MEMORY, BASE = 1 << 22, 1 << 22
 TUPLE = np.dtype([("at", np.int64), ("lcp", np.int32)])
@@ -112,6 +114,8 @@ class _Scan:
         """``lcp``: with the suffix scanned before; not looked at where the depth is 0."""
         if not len(at):
             return
+        if len(at) <= FEW and self.depth:
+            return self._feed_few(at.tolist(), lcp.tolist())
         to = self.before[at]
         use = np.flatnonzero(to != self.none)
         to = to[use]
@@ -145,6 +149,17 @@ class _Scan:
             start = end
         self.least = left
 
+    def _feed_few(self, at: list[int], lcp: list[int]) -> None:
+        """The same one by one, which is faster for a handful."""
+        least, size, depth, none = self.least, self.queues.size, self.depth, self.none
+        for i, common_ in zip(at, lcp, strict=True):
+            np.minimum(least, common_, out=least)
+            s = int(self.before[i])
+            if s != none:
+                got = min(int(least[s]) + 1, depth) if size[s] else 0
+                self.queues.put(s, np.array([i - 1]), np.array([got]))
+                least[s] = depth
+
 
 def _meet(t: np.ndarray, a: int | None, b: int | None, depth: int) -> int:
     """Common prefix of a falling and a rising suffix of one symbol: their shorter run of it."""

@@ -77,7 +77,7 @@ def regions(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _occurrences(length: int, across: bool):
-    """Rows (key, bytes, anchor, region, starts, at): a unit's places of one region.
+    """Rows (key, bytes, anchor, region, starts, start, more): a unit's first place of one region and its other ones, if any.
 
     A task shows no unit more than twice (once if only other units count): copies only have to be seen.
     """
@@ -100,8 +100,10 @@ def _occurrences(length: int, across: bool):
                     rows += [(key, raw.size, a, r, n, at) for (a, r, n), at in found.items()]
                 if rows:
                     key, size, a, r, n, at = zip(*rows, strict=True)
+                    first, more = [x[0] for x in at], [x[1:] or None for x in at]
                     yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(np.array(r, np.uint64).view(np.int64)),
-                                                      pa.array(n, pa.int16()), pa.array(at, pa.list_(pa.int32()))], names=["key", "bytes", "anchor", "region", "starts", "at"])
+                                                      pa.array(n, pa.int16()), pa.array(first, pa.int32()), pa.array(more, pa.list_(pa.int32()))],
+                                                     names=["key", "bytes", "anchor", "region", "starts", "start", "more"])
     return work
 
 
@@ -237,14 +239,14 @@ def repeats(units: DataFrame, length: int, across: bool = False) -> DataFrame:
     of two different units count, else also copies and places in one unit.
     """
     seen = units.where(F.col("bytes") >= length).select("key", "data").mapInArrow(
-        _occurrences(length, across), "key long, bytes long, anchor long, region long, starts short, at array<int>")
+        _occurrences(length, across), "key long, bytes long, anchor long, region long, starts short, start int, more array<int>")
     group, region = Window.partitionBy("anchor"), Window.partitionBy("anchor", "region")
     often = F.min("key").over(region) < F.max("key").over(region)
     if not across:
-        often = F.sum(F.size("at")).over(region) > 1
+        often = F.sum(F.when(F.col("more").isNull(), 1).otherwise(2)).over(region) > 1
     seen = seen.repartition("anchor").withColumn("many", often).withColumn("low", F.min("region").over(group)).withColumn("high", F.max("region").over(group))
-    met = cut(seen.where("many or low < high").select("key", "bytes", "anchor", "region", "starts", "at", "many", (F.col("low") < F.col("high")).alias("mixed")))
-    wanted = met.where("mixed").groupBy("anchor", "region").agg(F.min(F.struct("key", "bytes", F.col("at")[0].alias("start"), "starts", "many")).alias("w"))
+    met = cut(seen.where("many or low < high").select("key", "bytes", "anchor", "region", "starts", "start", "more", "many", (F.col("low") < F.col("high")).alias("mixed")))
+    wanted = met.where("mixed").groupBy("anchor", "region").agg(F.min(F.struct("key", "bytes", "start", "starts", "many")).alias("w"))
     wanted = wanted.select("w.key", "w.bytes", F.struct("anchor", "region", "w.start", "w.starts", "w.many").alias("w")).groupBy("key", "bytes").agg(F.collect_list("w").alias("wanted"))
     beside = units.join(wanted, ["key", "bytes"]).select("key", "bytes", "data", "wanted")
     parts = cut(beside.mapInArrow(_cut_out(length), PART))
@@ -261,7 +263,7 @@ def repeats(units: DataFrame, length: int, across: bool = False) -> DataFrame:
     twice = one.groupBy("h", "g").agg(again.alias("again")).where("again").drop("again")
     counted = one.join(twice, ["h", "g"]).select("anchor", "region", F.array(F.struct(F.col("place").alias("first"), F.lit(1).alias("number"))).alias("runs"))
     runs = cut(sorted_.unionByName(counted))
-    places = met.withColumn("place", F.explode("at"))
+    places = met.withColumn("place", F.explode(F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<int>")))))
     whole = places.where("many").select("key", "bytes", F.col("place").alias("first"), F.col("starts").cast("int").alias("number"))
     single = places.where("not many").join(runs, ["anchor", "region"]).select("key", "bytes", "place", F.inline("runs")).select(
         "key", "bytes", (F.col("place") + F.col("first")).alias("first"), "number")
