@@ -6,9 +6,9 @@ pieces of the band, where it is XORed into the piece's word and flips one bit of
 piece untouched, so its words agree there: classes that share a word of a piece meet. A set is indexed in its own band, and in the
 next one if a partner can lie there.
 
-Words of less than two shingles say little. A set with more than d stronger ones leaves at least one of them untouched
-in any pair, so it shows only those; other sets show all. Where one of the two sets is of the first kind, the pair
-meets in a strong word, else in any: nothing is lost.
+Words of less than two shingles say little. A set with more stronger ones than its largest possible difference leaves one of
+them untouched in any pair, so it shows only those; other sets show all. Where one of the two sets is of the first kind, the
+pair meets in a strong word, else in any: nothing is lost. There are some pieces more than d + 1, so that most sets are.
 
 In a first step each class meets one hub of its words; links that hold join components. Of the members of a word that are
 still in different components, few are paired; many meet in blocks, from which only pairs go out whose sketches are close. The
@@ -27,16 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataweft.operators.graph import connected_components
 from dataweft.session import cut
 
-#: Ratio of a band's sizes, pieces per allowed difference, shingles that make a word strong, steps that test one hub per class.
-RATIO, SPARE, STRONG, HUB_STEPS = 1.3, 1.1, 2, 2
+#: Ratio of a band's sizes, pieces per allowed difference to choose from, shingles that make a word strong, steps that test one hub per class.
+RATIO, SPARE, STRONG, HUB_STEPS = 1.45, (1.05, 1.2, 1.4), 2, 1
 #: Classes in a block of a word's group, and in a group whose pairs are listed.
-BLOCK, FEW = 1024, 16
+BLOCK, FEW = 1024, 48
 MEMO = 300_000
 
 
@@ -95,7 +96,12 @@ class Bands:
         """(d, m) of a band."""
         self.of(int(self.hi[-1]) + 1 if band >= len(self.hi) else 1)
         d = self.difference(2 * self.hi[band])
-        return d, int(np.ceil(SPARE * (d + 1)))
+        for spare in SPARE:  # the first that leaves most sets more strong words than a pair may touch
+            m = int(np.ceil(spare * (d + 1)))
+            each = (100 + self.percent) / (200 - 2 * self.percent) / spare
+            if spare * (1 - np.exp(-each) * (1 + each)) >= 1.04:
+                break
+        return d, m
 
     def words(self, s: np.ndarray, band: int) -> np.ndarray:
         """Keys of the words that a set shows in a band; none where only equal sets can be linked."""
@@ -110,7 +116,8 @@ class Bands:
         word[full] = np.bitwise_xor.reduceat(mixed(s[order]), (np.cumsum(count) - count)[full])
         key = mixed(word + np.uint64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1) + np.arange(m, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + count.astype(np.uint64))
         strong = count >= STRONG
-        return (key[strong] if strong.sum() > d else key).view(np.int64)
+        touched = self.difference(len(s) + len(s) * 100 // self.percent)  # at most, whatever the partner
+        return (key[strong] if strong.sum() > touched else key).view(np.int64)
 
     def sketch(self, s: np.ndarray, band: int) -> bytes:
         """Parity of 64 bits for every piece of a band."""
@@ -121,33 +128,38 @@ class Bands:
 
 def _sets(words: int, percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+        bands, seen, none = Bands(percent), set(), np.zeros(0, np.int64)
         for batch in batches:
             size, name, keys = [], [], []
             for t in batch.column("text"):
                 s = shingles(t.as_py(), words)
                 size.append(len(s))
                 name.append(xxhash.xxh3_128_digest(s.tobytes()))
-                keys.append(np.concatenate([bands.words(s, b) for b in bands.places(len(s))]) if len(s) else np.zeros(0, np.int64))
+                new = len(s) and name[-1] not in seen  # a task shows the words of a set once
+                seen.add(name[-1])
+                keys.append(np.concatenate([bands.words(s, b) for b in bands.places(len(s))]) if new else none)
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                                             names=["doc_id", "n", "name", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                                             names=["doc_id", "hash", "n", "name", "keys"])
     return work
 
 
 def _details(words: int, percent: int):
-    """(name, set, bands, sketches) of texts."""
+    """(node, n, set, bands, sketches) of the texts that are those of their class, whatever else bears the id."""
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
             rows = []
-            for t in batch.column("text"):
-                s = shingles(t.as_py(), words)
-                at = bands.places(max(1, len(s)))
-                rows.append((xxhash.xxh3_128_digest(s.tobytes()), s.tobytes(), at[0], bands.sketch(s, at[0]), bands.sketch(s, at[0] + 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
-                                             names=["name", "members", "band", "sketch", "next_sketch"])
+            for t, node, name, n in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("node", "set", "n")), strict=True):
+                raw = (s := shingles(t.as_py(), words)).tobytes()
+                if xxhash.xxh3_128_digest(raw) == name:
+                    at = bands.places(max(1, n))[0]
+                    rows.append((node, n, raw, at, bands.sketch(s, at), bands.sketch(s, at + 1)))
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["node", "n", "members", "band", "sketch", "next_sketch"])
     return work
 
 
@@ -228,19 +240,24 @@ def verified(pairs: DataFrame, details: DataFrame, percent: int) -> DataFrame:
 def classes_and_links(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``rows`` (doc_id, n, name), ``classes`` (node, name, n, least doc_id) and ``links`` (a, b) that connect the classes
     of every component; a link between two classes that others connect already may be missing."""
-    texts = docs.select("doc_id", "text")
-    rows = cut(texts.mapInArrow(_sets(words, percent), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, name binary, keys array<long>"))
-    sets = rows.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    # Kept by the executors while the join runs; lost parts are made again from the texts, with the same content.
+    kept = texts.mapInArrow(_sets(words, percent), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash long, n long, name binary, keys array<long>")
+    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cut(kept.drop("keys"))
+    sets = rows.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "hash")).alias("row"), F.min("doc_id").alias("least"))
     classes = cut(sets.withColumn("node", F.monotonically_increasing_id()))  # numbers stay as they are written
-    shown = classes.select("node", F.explode("keys").alias("word"))
+    one = kept.where(F.size("keys") > 0).join(classes.select("name", "node"), "name")  # a task has words of a class once
+    shown = one.select("node", F.explode("keys").alias("word"))
     by_word = F.expr("min(node) OVER (PARTITION BY word)"), F.expr("max(node) OVER (PARTITION BY word)")
-    groups = cut(shown.select("word", "node", by_word[0].alias("hub"), by_word[1].alias("last")).where("hub < last").drop("last"))
-    shared = groups.select("node").distinct()
-    wanted = classes.join(shared, "node").select("node", "name", "n", "least")
+    groups = cut(shown.select("word", "node", by_word[0].alias("hub"), by_word[1].alias("last")).where("hub < last").drop("hub", "last"))
+    kept.unpersist()
+    shared = cut(groups.select("node").distinct())
+    wanted = classes.join(shared, "node").select("node", F.col("name").alias("set"), "n", F.col("row.doc_id").alias("id"), F.col("row.hash").alias("row_hash"))
     # One row of each class that meets another: its text is read again, not carried along.
-    again = texts.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    details = again.mapInArrow(_details(words, percent), "name binary, members binary, band int, sketch binary, next_sketch binary").dropDuplicates(["name"])
-    details = cut(details.join(wanted, "name").select("node", "n", "band", "sketch", "next_sketch", "members"))
+    again = texts.join(wanted, (F.col("hash") == F.col("row_hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node", "set", "n")
+    details = again.mapInArrow(_details(words, percent), "node long, n long, members binary, band int, sketch binary, next_sketch binary")
+    details = cut(details.dropDuplicates(["node"]))
     links = tested = None
     parts = shared.withColumn("part", F.col("node"))
     for _ in range(HUB_STEPS):
