@@ -144,3 +144,13 @@ def test_language_model_scores(spark, docs, no_docs, corpus, monkeypatch):
         assert r.train_tokens == total and r.held_out == held(r.doc_id) and r.score < 0
         assert any(r.n_tokens == a and r.n_known == b and r.base_score == pytest.approx(c) for a, b, c in want[str(r.doc_id)])
     assert attention_lm.score(no_docs, RANKS).count() == 0
+
+
+def test_weights_learn_from_every_training_document(spark, docs, corpus):
+    with open(RANKS, "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())
+    own = attention_lm.encoder(ranks.value)
+    tables = attention_lm.Tables(np.ones(attention_lm.SUBWORDS**2))
+    flat, seen = attention_lm.fit(docs.select("doc_id", "text"), ranks, tables)
+    assert seen == sum(len(attention_lm.ids(own, attention_lm.words(r[1]))) for r in corpus)
+    assert attention_lm.CONTEXT >= 8 and not np.array_equal(flat, attention_lm.start())
