@@ -1,8 +1,9 @@
 """Main text of web pages: structure first, then what a host repeats.
 
 The page is read tag by tag. Text inside navigation, headers and footers of the page, sidebars, forms, scripts, styles and elements that
-call themselves adverts, notices, comments and the like is left out. If the page marks its article (``article``, ``main``
-or a like role), that is the main text. A page that marks none is undecided: its tokens, hashed with their host, form a stream,
+call themselves adverts, notices, comments and the like is left out. A name counts if all of its parts say so: ``cookie-notice`` does,
+``with-sidebar`` not. If the page marks its article (``article``, ``main`` or a like role), that is the main text; an article inside a
+form or a wrapper that only its name makes chrome counts if none lies outside, or if the wrapper itself lies in one. A page that marks none is undecided: its tokens, hashed with their host, form a stream,
 and a suffix array over the streams of the host (``substrings.repeats``, spread over shards) finds strings of
 ``TOKENS`` tokens that distinct pages share. Tokens covered by those are boilerplate; the runs between stay. Pages of one
 host with equal streams are one page, so copies do not wipe each other out.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -45,6 +47,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert dial
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar cookie cookies consent gdpr notice "
                   "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended breadcrumb breadcrumbs comment comments "
                   "disqus footer masthead pagination pager toolbar widget copyright disclaimer skip hidden".split())
+#: Parts that may follow those in a name, names of what often holds articles of others, and the kinds of chrome: an article in a LIKELY one is read.
+AROUND = frozenset("area bar block body box button buttons container form icons inner item items link links list section slot text unit wrap wrapper".split())
+OTHERS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion related recommended comment comments disqus hidden".split())
+CERTAIN, LIKELY = 1, 2
 #: Hashes keep seven bits of each byte: the suffix sort needs bytes below 254.
 SEVEN_BITS = bytes(i & 127 for i in range(256))
 SPLIT = re.compile(r"[^a-z]+")
@@ -54,17 +60,31 @@ def attributes(text: str) -> dict[str, str]:
     return {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(text)}
 
 
-def is_chrome(name: str, attrs: str, in_main: bool) -> bool:
+def named(a: dict[str, str]) -> frozenset[str]:
+    """First parts of the class names and the id that stand for chrome as a whole."""
+    found = set()
+    for name in (*a.get("class", "").lower().split(), a.get("id", "").lower()):
+        parts = [x for x in SPLIT.split(name) if len(x) > 1]
+        if parts and parts[0] in NAMES and all(x in NAMES or x in AROUND for x in parts):
+            found.add(parts[0])
+    return frozenset(found)
+
+
+def is_chrome(name: str, attrs: str, in_main: bool) -> int:
+    """0, CERTAIN or LIKELY."""
     if name in CHROME or name == "header" and not in_main:
-        return True
+        certain = name != "form"
+    else:
+        certain = None
     if not attrs or attrs.isspace():
-        return False
+        return 0 if certain is None else CERTAIN if certain else LIKELY
     a = attributes(attrs)
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
-    if name in ("body", "html", "article", "main"):
-        return False
-    return not NAMES.isdisjoint(SPLIT.split(f"{a.get('class', '')} {a.get('id', '')}".lower()))
+    if certain or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
+        return CERTAIN
+    own = frozenset() if name in ("body", "html", "article", "main") else named(a)
+    if not own and certain is None:
+        return 0
+    return LIKELY if OTHERS.isdisjoint(own) else CERTAIN
 
 
 def is_main(name: str, attrs: str) -> bool:
@@ -75,38 +95,42 @@ def read(page: str | None) -> tuple[bool, list[str]]:
     """(decided, blocks): the article's blocks if the page marks one, else all that may be main text."""
     page = page or ""
     main: list[str] = []
+    wrapped: list[str] = []  # articles inside likely chrome
     rest: list[str] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements that change what text is; 1 main, 2 chrome
-    depth = 0  # elements of the innermost chrome element's name that are open inside it
-    n_main = n_chrome = at = 0
-    marked = False
+    stack: list[tuple[str, bool, int, list[str]]] = []  # open elements: name, whether they changed what text is, what it was before
+    open_: Counter[str] = Counter()  # names in the stack
+    chrome, into, at, marked = 0, rest, 0, False
 
     def close_block() -> None:
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                (main if n_main else rest).append(text)
+                into.append(text)
             parts.clear()
 
+    def enter(name: str, changes: bool) -> None:
+        stack.append((name, changes, chrome, into))
+        open_[name] += 1
+
     while at < len(page):
         m = TAG.search(page, at)
         if m is None:
-            if not n_chrome:
+            if not chrome:
                 parts.append(page[at:])
             break
-        if m.start() > at and not n_chrome:
+        if m.start() > at and not chrome:
             parts.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA[") and not n_chrome:
+            if m[0].startswith("<![CDATA[") and not chrome:
                 parts.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;").replace("<", "&lt;"))
             continue
         name, closing = m[2].lower(), bool(m[1])
         if name in BLOCK:
             if name == "br":
-                if not n_chrome:
+                if not chrome:
                     parts.append(" ")
-            elif not n_chrome:
+            elif not chrome:
                 close_block()
         if not closing and name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
@@ -115,41 +139,37 @@ def read(page: str | None) -> tuple[bool, list[str]]:
         if name in VOID or not closing and m[3].endswith("/") and name not in BLOCK:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if i == len(stack) - 1 and depth and stack[i][1] == 2:
-                        depth -= 1
-                        break
+            while open_[name]:
+                last, _, before, there = stack.pop()
+                open_[last] -= 1
+                if before != chrome or there is not into:
                     close_block()
-                    for _, kind in stack[i:]:
-                        n_main -= kind == 1
-                        n_chrome -= kind == 2
-                    del stack[i:]
-                    depth = 0
+                chrome, into = before, there
+                if last == name:
                     break
             continue
-        if n_chrome:
-            if stack[-1][0] == name:
-                if name not in ENDS_ITSELF:
-                    depth += 1
-                    continue
-                n_chrome -= 1  # a new paragraph or item ends the one before
-                stack.pop()
-            elif not is_main(name, m[3]):
-                continue
-            else:
-                stack.append((name, 0))  # kept only so that its end tag is not taken for another's
-                continue
-        if is_chrome(name, m[3], n_main > 0):
+        if chrome and stack[-1][1] and stack[-1][0] == name and name in ENDS_ITSELF:
+            _, _, chrome, into = stack.pop()  # a new paragraph or item ends the one before
+            open_[name] -= 1
+        if chrome:
+            if chrome == LIKELY and is_main(name, m[3]) and not named(attributes(m[3])):
+                enter(name, True)
+                chrome, into, marked = 0, main if into is main else wrapped, True
+            elif open_[name] and name not in ENDS_ITSELF:
+                enter(name, False)  # its end tag is not another's
+            continue
+        if kind := is_chrome(name, m[3], into is not rest):
             close_block()
-            stack.append((name, 2))
-            n_chrome, depth = n_chrome + 1, 0
+            enter(name, True)
+            chrome = kind
         elif is_main(name, m[3]):
             close_block()
-            stack.append((name, 1))
-            n_main, marked = n_main + 1, True
+            enter(name, True)
+            into, marked = main if into is rest else into, True
+        elif open_[name] and name not in ENDS_ITSELF:
+            enter(name, False)
     close_block()
-    return (True, main) if marked else (False, rest)
+    return (True, main or wrapped) if marked else (False, rest)
 
 
 def host(url: str | None) -> str:

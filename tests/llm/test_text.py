@@ -225,3 +225,18 @@ def test_page_texts(spark):
     got = html_text.main_text(frame).collect()
     assert len(got) == len(rows) + 1 and {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
     assert html_text.main_text(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wrapper", ["div class='layout with-sidebar'", "div class='content no-sidebar'", "div class=has-cookie-notice", "div id=page-hidden-menu", "div class=share-enabled",
+                                     "div class='post-comments-open'", "div class='layout sidebar'", "form id=f", "div class=menu-wrapper"])
+def test_articles_in_wrappers(wrapper):
+    name, inside = wrapper.split()[0], "<article>a<div>b<div>c</div></div> d<div class=share-buttons>no</div></article>"
+    assert html_text.read(f"<body><nav>n</nav><{wrapper}>{inside}</{name}><p>out</body>") == (True, ["a", "b", "c", "d"])
+    assert html_text.read(f"<main>x<{wrapper}>{inside}</{name}>y</main>z") == (True, ["x", "a", "b", "c", "d", "y"])
+
+
+def test_articles_of_others_stay_out():
+    assert html_text.read("<article>a</article><div class=sidebar><article>teaser</article></div>") == (True, ["a"])
+    assert html_text.read("<main>x<div id=comments><article>c</article></div><aside><article>t</article>u</aside>y</main>") == (True, ["x", "y"])
+    assert html_text.read("<div class=with-sidebar><p>b</div><div class=comment-list><article>c</article></div>") == (False, ["b"])
+    assert html_text.read("<div role=main>x<div>y</div>z</div>w") == (True, ["x", "y", "z"])
