@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dataweft.operators import recsys, rel
+from dataweft.operators.clean import bucket
 from dataweft.operators.ordering import top_per_group, with_row_id
 from dataweft.plans.registry import half_even, query
 from dataweft.sources.inputs import LISTING_KEY, articles, customers, listings, scored, transactions
@@ -43,9 +44,7 @@ AGE_SQL = """CASE WHEN age < 20 THEN '<20' WHEN age < 25 THEN '20-25' WHEN age <
 
 
 def _grouped(spark, d):
-    from dataweft.operators.clean import bucket
-    from dataweft.plans.cleaning import AGE_EDGES, AGE_LABELS
-    return customers(spark, d).select("customer_id", bucket("age", AGE_EDGES, AGE_LABELS).alias("age_group"))
+    return customers(spark, d).select("customer_id", bucket("age", recsys.AGE_EDGES, recsys.AGE_LABELS).alias("age_group"))
 
 
 @query("q_stratified_sizes", f"""
