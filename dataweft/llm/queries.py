@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("q_mixing", "q_byte_bpe", "q_token_counts", "q_vectors", "q_toxicity", "q_parity_join", "q_substrings", "q_attention_lm", "q_html_text", "q_warc")
+MODULES = ("q_mixing", "q_byte_bpe", "q_token_counts", "q_vectors", "q_toxicity", "q_parity_join", "q_substrings", "q_attention_lm", "q_html_text", "q_warc", "q_maxscore")
 
 
 def query(name: str, sql: str | None = None):
