@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dataweft.llm.common import lengths, slices
+from dataweft.llm.vectors import small_batches
 from dataweft.operators.ordering import with_row_id
-from dataweft.session import work_path
+from dataweft.session import cut, work_path
 
 #: Documents in a block; documents and terms after which a shard ends; bytes of a text taken at once.
 BLOCK, SHARD, SHARD_TERMS, PIECE = 128, 1 << 15, 4 << 20, 1 << 20
@@ -318,7 +319,8 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 20, doc_id: str = "doc_id",
         number = {t: i for i, t in enumerate(words)}
         weights = np.array([weight(n, int(x)) for x in df], np.int64)
         lists = {i: sorted((number[t], r) for t, r in c.items() if weights[number[t]] > 0) for i, c in asked.items()}
-        found = index.mapInArrow(_search({i: x for i, x in lists.items() if x}, weights, n, total, k), "item long, doc_id long, score long")
+        with small_batches(spark):  # a row is a whole shard
+            found = cut(index.mapInArrow(_search({i: x for i, x in lists.items() if x}, weights, n, total, k), "item long, doc_id long, score long"))
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], "item long, doc_id long, score long")

@@ -1,6 +1,6 @@
 """Queries of the vector searches."""
 
-from dataweft.llm import cross_polytope, topk
+from dataweft.llm import cross_polytope, threshold, topk
 from dataweft.llm.common import table
 from dataweft.llm.queries import query
 
@@ -25,3 +25,27 @@ def op5_exact_topk(spark, sf_dir):
 @query("op9_cross_polytope")
 def op9_cross_polytope(spark, sf_dir):
     return cross_polytope.nearest(table(spark, sf_dir, "embeddings"))
+
+
+NEGATIVES_SQL = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x) for x in embedding::DOUBLE[]] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM usable a JOIN usable c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM
+  (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM scored WHERE same) WHERE r <= 5),
+ranked AS (
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+         vec_id AS negative_id, positive_score, score AS negative_score
+  FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM ranked WHERE rank <= 3
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11_hard_negatives(spark, sf_dir):
+    return threshold.hard_negatives(table(spark, sf_dir, "embeddings"))

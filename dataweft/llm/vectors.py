@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dataweft.session import cut
@@ -60,3 +61,15 @@ def top_ranks(found: DataFrame, k: int, *score: Column) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best rows per query; Spark cuts each task's rows before the shuffle."""
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 4) -> Iterator[None]:
+    """Send tasks few rows at once, where a row is a whole block; work must be evaluated before the block ends."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -15,13 +15,13 @@ QUERIES, ORACLES = load()
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and set(ORACLES) == {"op3_source_mix", "op5_exact_topk"}
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14)) and set(ORACLES) == {"op3_source_mix", "op5_exact_topk", "op11_hard_negatives", "op12_warc", "op13_ranked_search"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
