@@ -110,8 +110,10 @@ def _index(dims: int):
 
 def _box(rows: DataFrame, dims: int, names: tuple[str, str]) -> DataFrame:
     """Bounds of the components of a block's vectors."""
-    at = lambda pick: F.array(*[pick(F.transform("queries", lambda v, d=d: F.coalesce(F.get(v, F.lit(d)), F.lit(0.0)))) for d in range(dims)])
-    return rows.withColumns({names[0]: at(F.array_min), names[1]: at(F.array_max)})
+    def component(d: int) -> Column:
+        return F.transform("queries", lambda v: F.coalesce(F.get(v, F.lit(d)), F.lit(0.0)))
+
+    return rows.withColumns({name: F.array(*[pick(component(d)) for d in range(dims)]) for name, pick in zip(names, (F.array_min, F.array_max), strict=True)})
 
 
 def _reach() -> Column:

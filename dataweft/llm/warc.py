@@ -296,7 +296,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
             for i in range(batch.num_rows):
                 if writer is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
-                    writer = Writer(store.open_output_stream(f"{folder}/{name}"))
+                    writer = Writer(store.open_output_stream(f"{folder}/{name}", compression=None))
                 writer.add(record(*[c[i].as_py() for c in columns], date))
                 if writer.raw >= ARCHIVE:
                     done()
@@ -320,7 +320,7 @@ def read_archives(manifest: DataFrame, path: str, payloads: bool = False) -> Dat
             for archive in batch.column("archive").to_pylist():
                 rows: list[tuple] = []
                 held = 0
-                with store.open_input_stream(f"{folder}/{archive}") as stream:
+                with store.open_input_stream(f"{folder}/{archive}", compression=None) as stream:
                     for at, r in records(stream, archive):
                         rows.append((archive, at, r.page_id, r.uri, r.kind, r.length, r.digest, r.refers_to, *([r.payload] if payloads else [])))
                         held += 1000 + (len(r.payload or b"") if payloads else 0)
