@@ -39,7 +39,7 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 URN = "urn:x-page:"
-READ = 1 << 20
+READ, MOST_TASKS = 1 << 20, 20_000
 
 MANIFEST = "archive string, records long, bytes long"
 RECORDS = "archive string, offset long, page_id string, uri string, record_type string, payload_bytes long, payload_digest string, refers_to string"
@@ -329,8 +329,8 @@ def read_archives(manifest: DataFrame, path: str, payloads: bool = False) -> Dat
                             rows, held = [], 0
                 yield _batch(rows, names)
 
-    archives = manifest.select("archive").repartition("archive")
-    return archives.mapInArrow(work, RECORDS + (", payload binary" if payloads else ""))
+    n = min(MOST_TASKS, max(1, manifest.count()))  # a stated number: few rows stand for much work, so they mustn't be put together
+    return manifest.select("archive").repartition(n, "archive").mapInArrow(work, RECORDS + (", payload binary" if payloads else ""))
 
 
 RECORDS_NAMES = [c.split()[0] for c in RECORDS.split(", ")]
