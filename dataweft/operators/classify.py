@@ -6,11 +6,12 @@ import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataweft.operators.ordering import top_per_group
-from dataweft.session import cut
+from dataweft.session import cut, setting
 
 LOSSES = ("hinge", "ramp", "hard")
 
@@ -167,13 +168,83 @@ def _robust(rows: DataFrame, c: float, cut_off: float, start: Line | None) -> Li
 
 
 CUT_OFF = {"ramp": -1.0, "hard": 0.0}
+#: Rounds after which a fit of several lines counts as not settled, its relative tolerance, and the least distance from the margin that a
+#: point's weight takes as its own.
+MAX_ROUNDS, TOLERANCE, LEAST = 300, 1e-6, 1e-6
+#: A round tries each line's next step at these lengths.
+LENGTHS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+
+
+def _sums(rows: DataFrame, tried: Sequence[tuple[int, float, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For each (number, cap, line): the summed capped hinge loss, and the matrix and right side of its next least squares.
+
+    One pass over the points for all lines: each task sums its own rows, ten numbers a line leave it.
+    """
+    lines = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(cap).alias("cap"), *[F.lit(float(v)).alias(n) for n, v in zip(("w0", "w1", "b"), w, strict=True)])
+                      for k, cap, w in tried])
+    each = rows.select("x", "y", "label", F.explode(lines).alias("l"))
+    gap = 1 - F.col("label") * (F.col("l.w0") * F.col("x") + F.col("l.w1") * F.col("y") + F.col("l.b"))
+    each = each.select("l.k", "l.cap", "x", "y", "label", gap.alias("gap"))
+    hinge = F.greatest(F.lit(0.0), F.col("gap"))
+    near = F.greatest(F.abs("gap"), F.lit(LEAST))
+    # hinge(g) = (g + |g|) / 2, and |g| lies under (g^2 / d + d) / 2 with d = |g| now; a capped point stays at its cap.
+    weight = F.when(hinge < F.col("cap"), 1 / near).otherwise(0.0)
+    pull = F.when(hinge < F.col("cap"), (1 / near + 1) * F.col("label")).otherwise(0.0)
+    sums = {"loss": F.least(hinge, F.col("cap")), "n": F.lit(1.0), "sw": weight, "sx": weight * F.col("x"), "sy": weight * F.col("y"), "sxx": weight * F.col("x") * F.col("x"),
+            "sxy": weight * F.col("x") * F.col("y"), "syy": weight * F.col("y") * F.col("y"), "p": pull, "px": pull * F.col("x"), "py": pull * F.col("y")}
+    with setting(rows.sparkSession, "spark.sql.adaptive.enabled", "false"):  # a row per line: one job without plans in between
+        found = each.groupBy("k").agg(*[F.sum(e).alias(n) for n, e in sums.items()]).collect()
+    out: list = [None] * len(tried)
+    for r in found:
+        out[r["k"]] = (r["loss"], np.array([[r["sxx"], r["sxy"], r["sx"]], [r["sxy"], r["syy"], r["sy"]], [r["sx"], r["sy"], r["sw"]]]), np.array([r["px"], r["py"], r["p"]]))
+    return out
+
+
+def _fit_lines(rows: DataFrame, settings: Sequence[tuple[float, float]], start: Sequence[Line] | None = None) -> list[Line]:
+    """The line of each (C, cap): half its squared slope plus C times the summed hinge loss, cut at the cap, is brought down until it stays.
+
+    All settings move together, one job a round. A round replaces each loss by the parabola that touches it from above (a constant for
+    points beyond the cap), whose minimum never raises the objective, and also tries longer steps in that direction.
+    """
+    slope = np.diag([1.0, 1.0, 0.0])
+    n = len(settings)
+    tried = [np.zeros((1, 3)) if start is None else np.array([start[k]]) for k in range(n)]
+    line, value, calm = [t[0] for t in tried], [math.inf] * n, [0] * n
+    for _ in range(MAX_ROUNDS):
+        going = [k for k in range(n) if calm[k] < 2]
+        if not going:
+            return [Line(*map(float, w)) for w in line]
+        flat = [(k, w) for k in going for w in tried[k]]
+        sums = _sums(rows, [(i, settings[k][1], w) for i, (k, w) in enumerate(flat)])
+        if not any(sums):
+            raise ValueError("no points to fit")
+        for k in going:
+            c = settings[k][0]
+            mine = [(w @ slope @ w / 2 + c * s[0], i) for i, ((j, w), s) in enumerate(zip(flat, sums, strict=True)) if j == k]
+            if not all(math.isfinite(v) for v, _ in mine):
+                raise ArithmeticError("the fit has no finite weights")
+            best, at = min(mine)
+            calm[k] = calm[k] + 1 if best >= value[k] - TOLERANCE * max(1.0, abs(value[k])) else 0
+            if best < value[k]:
+                value[k], line[k] = best, flat[at][1]
+            matrix, side = sums[at][1:]
+            target = np.linalg.lstsq(slope + c / 2 * matrix, c / 2 * side, rcond=None)[0]
+            tried[k] = np.array([flat[at][1] + t * (target - flat[at][1]) for t in LENGTHS])
+    raise RuntimeError(f"the fit has not settled after {MAX_ROUNDS} rounds")
 
 
 def fit_grid(points: DataFrame, cs: Sequence[float], losses: Sequence[str] = LOSSES) -> list[tuple[str, float, Line]]:
-    """One fitted line per (loss, C), ready for ``grid``; the hinge line of a C is where its other losses start."""
-    rows = _vectors(points)
-    hinge = {c: _line(_svc(rows, c)) for c in cs}
-    return [(kind, c, hinge[c] if kind == "hinge" else _robust(rows, c, CUT_OFF[kind], hinge[c])) for kind in losses for c in cs]
+    """One fitted line per (loss, C), ready for ``grid``, all of them in the same rounds over the points.
+
+    The hinge line of a C is where its other losses start; those leave points out beyond a margin of ``CUT_OFF``, as ``fit_robust_svc``.
+    """
+    rows = cut(points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("label").cast("double").alias("label")))
+    hinge = _fit_lines(rows, [(c, math.inf) for c in cs])
+    lines = {("hinge", c): w for c, w in zip(cs, hinge, strict=True)}
+    other = [(kind, k) for kind in losses if kind != "hinge" for k in range(len(cs))]
+    capped = _fit_lines(rows, [(cs[k], 1 - CUT_OFF[kind]) for kind, k in other], [hinge[k] for _, k in other]) if other else []
+    lines |= {(kind, cs[k]): w for (kind, k), w in zip(other, capped, strict=True)}
+    return [(kind, c, lines[kind, c]) for kind in losses for c in cs]
 
 
 def refit(points: DataFrame, kind: str, c: float) -> Line:

@@ -126,9 +126,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     neighbours to the smallest of them, until only stars are left. Minima are pre-aggregated per task; the join that
     hands them back is an equi-join whose hot keys adaptive execution splits, and no neighbour list is ever built.
     """
-    pairs = edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo"))
+    pairs = cut(edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct())  # the edges are read once
     nodes = pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
-    stars = cut(pairs.where("hi <> lo").distinct())
+    stars = pairs.where("hi <> lo")
     for _ in range(max_rounds):
         # large star: every larger neighbour of u moves to the smallest node around u, which is u itself
         # unless u has a smaller neighbour

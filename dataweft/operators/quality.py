@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -45,6 +46,36 @@ def enforce(df: DataFrame, constraints: Sequence[Constraint]) -> DataFrame:
     return df
 
 
+def write_enforced(df: DataFrame, path: str, constraints: Sequence[Constraint], mode: str = "errorifexists") -> DataFrame:
+    """Write ``df`` if every row holds, else raise with the counts; the frame is evaluated once.
+
+    Violations are counted on the rows as they are written into a staging folder beside ``path``. Only a folder without any is renamed to
+    ``path``, so a violation, a failed job or a lost driver leaves nothing to be read there. ``overwrite`` replaces a table then.
+    """
+    if mode not in ("errorifexists", "overwrite"):
+        raise ValueError(f"unknown mode {mode}")
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, staged = hadoop.Path(path), hadoop.Path(f"{path}.staged-{uuid.uuid4().hex}")
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if mode == "errorifexists" and store.exists(target):
+        raise FileExistsError(path)
+    seen = Observation()
+    counts = [F.count_if(~_ok(c)).alias(f"c{i}") for i, c in enumerate(constraints)] or [F.count(F.lit(1)).alias("n")]
+    try:
+        df.observe(seen, *counts).write.parquet(staged.toString())
+        broken = [(c.name, n) for i, c in enumerate(constraints) if (n := seen.get[f"c{i}"])]
+        if broken:
+            raise ConstraintViolation(", ".join(f"{name}: {n} rows" for name, n in broken))
+        if mode == "overwrite":
+            store.delete(target, True)
+        if not store.rename(staged, target):
+            raise OSError(f"{path} could not be put in place")
+    finally:
+        store.delete(staged, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # Names, columns and open bounds of the vehicle table's checks.
 LISTING_BOUNDS = [("price_valid", "price", 1000, 500_000), ("yearOfRegistration_valid", "yearOfRegistration", 1900, 2026)]
 LISTING_REQUIRED = [("model_known", ("model", "vehicleType")), ("brand_not_null", ("brand",)), ("abtest_not_null", ("abtest",))]

@@ -16,6 +16,7 @@ from dataweft.functions.scalars import dot
 from dataweft.operators import clean, rel
 from dataweft.operators.ordering import running_total, top_per_group
 from dataweft.operators.profile import date_span
+from dataweft.operators.ranking import fit_ranking
 from dataweft.session import cut
 
 # Columns whose combination makes articles interchangeable.
@@ -219,16 +220,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def recommend(user_vecs: DataFrame, item_vecs: DataFrame, n: int, known: DataFrame | None = None,
-              block: int = 4096, user_type: str = "bigint", item_type: str = "bigint") -> DataFrame:
-    """The ``n`` best items of each user over all items, by a matrix product per pair of blocks.
-
-    A task holds two blocks and returns ``n`` rows per user, so the full score table never exists. Each user travels
-    once per block of items and each item once per block of users. ``known`` (user, item) pairs go to the blocks of their
-    items, at most one block of them per user, and are masked there.
-    """
-    n_items = max(1, math.ceil(item_vecs.count() / block))
-
+def best_items(n: int):
+    """Best items of each user of one block among the items of another, without those in ``_known``."""
     def best(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         found = []
         ids = items["item"].to_numpy()
@@ -252,12 +245,24 @@ def recommend(user_vecs: DataFrame, item_vecs: DataFrame, n: int, known: DataFra
             found.append((chunk["user"].to_numpy()[row], ids[col], scores[row, col]))
         parts = zip(*found, strict=True) if found else ([], [], [])
         return pd.DataFrame({c: np.concatenate(p) if found else p for c, p in zip(("user", "item", "score"), parts, strict=True)})
+    return best
+
+
+def recommend(user_vecs: DataFrame, item_vecs: DataFrame, n: int, known: DataFrame | None = None,
+              block: int = 4096, user_type: str = "bigint", item_type: str = "bigint") -> DataFrame:
+    """The ``n`` best items of each user over all items, by a matrix product per pair of blocks.
+
+    A task holds two blocks and returns ``n`` rows per user, so the full score table never exists. Each user travels
+    once per block of items and each item once per block of users. ``known`` (user, item) pairs go to the blocks of their
+    items, at most one block of them per user, and are masked there.
+    """
+    n_items = max(1, math.ceil(item_vecs.count() / block))
 
     a, b = _cells(user_vecs.select("user", "vec"), "user", item_vecs.select("item", "vec"), "item", block)
     if known is not None:
         near = known.select("user", "item").distinct().withColumn("_rb", F.pmod(F.xxhash64("item"), F.lit(n_items)).cast("int"))
         a = a.join(near.groupBy("user", "_rb").agg(F.collect_list("item").alias("_known")), ["user", "_rb"], "left")
-    scores = a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb")).applyInPandas(best, f"user {user_type}, item {item_type}, score double")
+    scores = a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb")).applyInPandas(best_items(n), f"user {user_type}, item {item_type}, score double")
     return top_per_group(scores, ["user"], [F.desc("score"), F.col("item")], n)
 
 
@@ -387,14 +392,19 @@ def factor_vectors(model, user: str = "user", item: str = "item") -> tuple[DataF
     return pick(model.userFactors, user), pick(model.itemFactors, item)
 
 
+def fit_setting(inter: DataFrame, setting: dict) -> tuple[DataFrame, DataFrame]:
+    """(user, vec) and (item, vec): a setting that names a loss is one of ``fit_ranking``, any other of ``fit_implicit``."""
+    return fit_ranking(inter, **setting) if "loss" in setting else factor_vectors(fit_implicit(inter, **setting))
+
+
 def factor_grid(inter: DataFrame, train: DataFrame, test: DataFrame, settings: Sequence[dict]) -> DataFrame:
-    """One row per setting of ``fit_implicit`` and set with the metrics of the fitted model, numbered by ``pos``.
+    """One row per setting of ``fit_setting`` and set with the metrics of the fitted model, numbered by ``pos``.
 
     ``inter`` are the training rows (user_idx, item_idx, n); ``train`` and ``test`` are (user, item) pairs.
     """
     out = None
     for pos, setting in enumerate(settings):
-        users, items = factor_vectors(fit_implicit(inter, **setting))
+        users, items = fit_setting(inter, setting)
         rows = cut(evaluate_model(users, items, train, test))
         rows = rows.select(F.lit(pos).alias("pos"), *[F.lit(v).alias(k) for k, v in setting.items()], *rows.columns)
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)

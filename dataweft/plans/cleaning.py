@@ -277,4 +277,4 @@ def enforced_write(spark, d):
     """Valid rows pass the checks and are written; the whole table would not."""
     constraints = quality.listing_constraints(MAX_PRICE)
     kept = quality.valid_rows(listings(spark, d), constraints).select(*KEYS, "price", "model", "vehicleType", "brand", "abtest", "yearOfRegistration")
-    return io.write_table(quality.enforce(kept, constraints), work_path(spark, "enforced")).select(*KEYS, "price")
+    return quality.write_enforced(kept, work_path(spark, "enforced"), constraints).select(*KEYS, "price")

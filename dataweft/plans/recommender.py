@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from dataweft.operators import recsys
+from dataweft.operators import recsys, topn
 from dataweft.operators.recsys import ARTICLE_GROUP
 from dataweft.plans.cleaning import FILLED_CUSTOMERS_SQL
 from dataweft.plans.profiling import BASKET_SQL, PRICE_SQL, RECENCY_SQL
@@ -260,6 +260,17 @@ def recommend_unknown(spark, d):
     return recs.select("user", "item", F.round("score", 6).alias("score"))
 
 
+@query("q_recommend_pruned", """
+    SELECT "user", item, round(score, 6) AS score FROM
+    (SELECT p.label::BIGINT AS "user", c.vec_id AS item, sum(c.v * p.v) AS score,
+            row_number() OVER (PARTITION BY p.label ORDER BY sum(c.v * p.v) DESC, c.vec_id) AS rn
+     FROM cells c JOIN profile p ON c.pos = p.pos GROUP BY p.label, c.vec_id) WHERE rn <= 12""", ctes=VECTOR_SCORES)
+def recommend_pruned(spark, d):
+    """The same best items, blocks that are too short being skipped."""
+    recs = topn.recommend_pruned(profiles(spark, d), _vectors(spark, d).select("item", "vec"), 12).recs
+    return recs.select("user", "item", F.round("score", 6).alias("score"))
+
+
 # -- factor model -----------------------------------------------------------------------------------------------------
 
 def _sides(spark, d):
@@ -305,7 +316,11 @@ def model_eval(spark, d):
     return metrics.select("set", "n_users", fine.alias("in_range"))
 
 
-SETTINGS = [{"rank": 8, "reg": 0.05, "iters": 10}, {"rank": 16, "reg": 0.1, "iters": 5}]
+SETTINGS = [{"rank": 30, "reg": 0.05, "iters": 10}, {"rank": 30, "reg": 0.001, "iters": 10}, {"rank": 44, "reg": 0.05, "iters": 10}]
+# The loss, rate, factors, epochs and regularisation of each experiment, in its order.
+RANKING = [{"loss": loss, "rate": rate, "factors": factors, "epochs": epochs, "reg": reg} for loss, rate, factors, epochs, reg in [
+    ("warp", 0.05, 30, 10, 1e-4), ("bpr", 0.05, 30, 10, 1e-4), ("warp", 0.05, 30, 10, 1e-5), ("warp-kos", 0.05, 30, 10, 1e-8),
+    ("warp", 0.1, 30, 10, 1e-8), ("warp", 0.01, 30, 10, 1e-8), ("warp", 0.05, 44, 30, 1e-8)]]
 
 
 @query("q_factor_grid", "SELECT * FROM (VALUES " + ", ".join(
@@ -315,3 +330,11 @@ def factor_grid(spark, d):
     metrics = recsys.factor_grid(cut(rows), train, test, SETTINGS)
     fine = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("auc").between(0, 1)
     return metrics.select("pos", "rank", "set", fine.alias("in_range"))
+
+
+@query("q_ranking_grid")
+def ranking_grid(spark, d):
+    """Every experiment's loss and settings with its metrics; no SQL computes a fit, tests hold the losses against planted taste."""
+    rows, train, test = _sides(spark, d)
+    metrics = recsys.factor_grid(cut(rows), train, test, RANKING)
+    return metrics.select("pos", *RANKING[0], "set", "n_users", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "auc")])

@@ -40,7 +40,7 @@ def read_version(spark, d):
     SELECT 0 AS version, 'create' AS operation, CAST(count(*) AS BIGINT) AS n_rows, 1 AS n_folders FROM listings
     UNION ALL SELECT 1, 'insert', CAST(count(*) AS BIGINT), 2 FROM listings""", inputs=("listings",))
 def version_history(spark, d):
-    return versions.history(spark, two_versions(spark, d)).select("version", "operation", "n_rows", F.size("folders").alias("n_folders"))
+    return versions.history(spark, two_versions(spark, d)).select("version", "operation", "n_rows", F.col("n_parts").alias("n_folders"))
 
 
 @query("q_version_compare", """
@@ -73,3 +73,22 @@ def changes(spark, d):
     after = clean.update(rows, {"damage": F.lit("ja")}, F.col("damage").isNull()).where("price > 1500").drop("price")
     feed = versions.changes(before, after, LISTING_KEY)
     return feed.select(*KEYS, "change_type", "damage")
+
+
+ROWS = "brand, price, damage"
+
+
+@query("q_row_changes", f"""
+    SELECT {ROWS}, 'delete' AS change_type, CAST(1 AS BIGINT) AS n_each FROM
+      (SELECT {ROWS} FROM before EXCEPT ALL SELECT {ROWS} FROM after)
+    UNION ALL SELECT {ROWS}, 'insert', CAST(1 AS BIGINT) FROM (SELECT {ROWS} FROM after EXCEPT ALL SELECT {ROWS} FROM before)""",
+       inputs=("listings",), ctes={
+           "before": "SELECT brand, price // 1000 AS price, notRepairedDamage AS damage FROM listings WHERE price < 100000",
+           "after": "SELECT brand, price // 1000 AS price, coalesce(notRepairedDamage, 'ja') AS damage FROM listings WHERE price > 1500"})
+def row_changes(spark, d):
+    """Two states without a key and with many equal rows."""
+    rows = listings(spark, d).select("brand", F.floor(F.col("price") / 1000).cast("int").alias("kprice"), F.col("notRepairedDamage").alias("damage"), "price")
+    before = rows.where("price < 100000")
+    after = clean.update(rows, {"damage": F.lit("ja")}, F.col("damage").isNull()).where("price > 1500")
+    short = lambda df: df.select("brand", F.col("kprice").alias("price"), "damage")
+    return versions.row_changes(short(before), short(after)).withColumn("n_each", F.lit(1).cast("long"))

@@ -73,12 +73,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def shuffle_partitions(spark: SparkSession, n: int) -> Iterator[None]:
-    """Shuffle into ``n`` partitions inside the block; work must be evaluated before the block ends."""
-    key = "spark.sql.shuffle.partitions"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting inside the block; work must be evaluated before the block ends."""
     before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def shuffle_partitions(spark: SparkSession, n: int):
+    """Shuffle into ``n`` partitions inside the block."""
+    return setting(spark, "spark.sql.shuffle.partitions", str(n))
