@@ -21,6 +21,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from dataweft.llm.classes import Splitter, differences, tiktoken_characters
 from dataweft.llm.common import lengths, schema, slices
 
 #: Distinct pre-tokens after which a worker's memo starts anew (the last one is kept beside it), and characters of a text taken at a time.
@@ -109,7 +110,7 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encoder and decoder of one rank file (lines of a base64 token and its rank) and one splitting pattern."""
 
-    def __init__(self, content: bytes, pattern: str):
+    def __init__(self, content: bytes, pattern: str, different: dict[str, tuple[str, str]] | None = None):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         self.vocabulary = {i: t for t, i in self.ranks.items()}
         self.text_of = {i: str(i) for i in self.vocabulary}
@@ -117,9 +118,9 @@ class Codec:
         self.stored: list[bytes] = [b""] * len(self.ranks)
         for t, i in zip(self.ranks, self.hash.find(list(self.ranks)), strict=True):
             self.stored[i] = t
-        # The pattern's \s is Unicode white space.
-        self.split = regex.compile(pattern).findall
-        self.cut = regex.compile(r"(?<=\S) (?=\p{L})")
+        self.split = Splitter(pattern, different or {})
+        less = (different or {}).get(r"\p{L}", ("", ""))[1]  # letters here that the library doesn't know
+        self.cut = regex.compile(rf"(?V1)(?<=\S) (?=[\p{{L}}--[{less}]])" if less else r"(?<=\S) (?=\p{L})")
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -168,22 +169,22 @@ class Codec:
 _CODECS: dict[bytes, Codec] = {}
 
 
-def codec(content: bytes, pattern: str) -> Codec:
+def codec(content: bytes, pattern: str, different: dict[str, tuple[str, str]] | None = None) -> Codec:
     """The worker's codec of a rank file; built once per worker."""
-    key = hashlib.md5(content + pattern.encode()).digest()
+    key = hashlib.md5(content + (pattern + repr(different)).encode()).digest()
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(content, pattern)
+        _CODECS[key] = Codec(content, pattern, different)
     return _CODECS[key]
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """Encode every text and decode its ids: ``keep`` columns, ``n_tokens``, the two digests and, if asked for, ``ids``."""
     with open(rank_file, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: under a megabyte
+        ranks = docs.sparkSession.sparkContext.broadcast((f.read(), differences(tiktoken_characters)))  # a vocabulary file: under a megabyte
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks.value, pattern)
+        own = codec(ranks.value[0], pattern, ranks.value[1])
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for a, b in slices(lengths(texts)):

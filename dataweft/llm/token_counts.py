@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from dataweft.llm.classes import Splitter, differences, tokenizers_characters
 from dataweft.llm.common import lengths, schema, slices
 
 #: Distinct pre-tokens after which a worker's memo starts anew; the last one is kept beside it.
@@ -45,7 +46,7 @@ def byte_letters() -> list[str]:
 
 
 class Counter:
-    def __init__(self, content: str, single: Iterable[str] | None = None):
+    def __init__(self, content: str, single: Iterable[str] | None = None, different: dict[str, tuple[str, str]] | None = None):
         spec = json.loads(content)
         model, parts = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
@@ -62,7 +63,7 @@ class Counter:
             self.pairs[ids[a], ids[b]] = (r, ids[a + b])
         self.inner = [ids[x] for x in self.letters]
         self.last = [ids[x + self.suffix] for x in self.letters]
-        self.matches = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
+        self.matches = Splitter(split["pattern"]["Regex"], different or {})
         special = [t["content"] for t in spec["added_tokens"]]
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens of this kind are not understood")
@@ -139,12 +140,12 @@ class Counter:
 _COUNTERS: dict[bytes, Counter] = {}
 
 
-def counter(content: str, single: Iterable[str] | None = None) -> Counter:
+def counter(content: str, single: Iterable[str] | None = None, different: dict[str, tuple[str, str]] | None = None) -> Counter:
     """The worker's counter of a vocabulary; built once per worker."""
-    key = hashlib.md5(content.encode()).digest()
+    key = hashlib.md5((content + repr(different)).encode()).digest()
     if key not in _COUNTERS:
         _COUNTERS.clear()
-        _COUNTERS[key] = Counter(content, single)
+        _COUNTERS[key] = Counter(content, single, different)
     return _COUNTERS[key]
 
 
@@ -152,7 +153,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
     """``keep`` columns, ``n_bytes``, ``n_tokens`` and ``over_limit`` of every text."""
     with open(vocabulary, encoding="utf-8") as f:
         content = f.read()
-    known = docs.sparkSession.sparkContext.broadcast((content, sorted(counter(content).single)))
+    known = docs.sparkSession.sparkContext.broadcast((content, sorted(counter(content).single), differences(tokenizers_characters)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(*known.value)

@@ -14,7 +14,7 @@ from llm_rows import corpus, docs, no_docs  # noqa: F401
 import tiktoken
 from tokenizers import Tokenizer
 
-from dataweft.llm import attention_lm, byte_bpe, token_counts
+from dataweft.llm import attention_lm, byte_bpe, classes, token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -22,7 +22,7 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 def odd_texts(n=3000, seed=1):
     rnd = random.Random(seed)
-    letters = [chr(i) for i in range(0x250)] + list("\x1c\x85\xa0 ​　\U0001f600́٠中İΣẞ가가") + [
+    letters = [chr(i) for i in range(0x250)] + list("\u0558\u058b\u088f\u208f\u209e\u2c2f\ua7cb\U0001df40\U00011de3\U00031350") + list("\x1c\x85\xa0 ​　\U0001f600́٠中İΣẞ가가") + [
         "<|endoftext|>", "<|startoftext|>", "'S", "'ll", "  "]
     return ["".join(rnd.choice(letters if k % 2 else list(" \n\t'sat1é!re")) for _ in range(rnd.randint(0, 40))) for k in range(n)]
 
@@ -30,7 +30,7 @@ def odd_texts(n=3000, seed=1):
 @pytest.fixture(scope="module")
 def codec():
     with open(RANKS, "rb") as f:
-        return byte_bpe.Codec(f.read(), public_tokenizers.PATTERN)
+        return byte_bpe.Codec(f.read(), public_tokenizers.PATTERN, classes.differences(classes.tiktoken_characters))
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +52,15 @@ def test_encoding_equals_the_library(codec, reference, corpus):
         assert got == reference.encode_ordinary(t) and codec.decode(got) == t.encode()
 
 
+def test_every_character_splits_as_in_the_library(codec, reference):
+    """One text for each character of a stretch that holds differences, and for a sample of all others."""
+    chars = [chr(i) for r in ((0x540, 0x5a0), (0x880, 0x8a0), (0x2080, 0x20a0), (0xa7c0, 0xa7e0), (0x1df00, 0x1df60), (0x31340, 0x313a0)) for i in range(*r)]
+    chars += random.Random(2).sample([c for c in classes.ALL if ord(c) > 0xff], 3000)
+    for c in chars:
+        t = f"a{c}'t 1{c} {c}{c}"
+        assert codec.encode([t])[0] == reference.encode_ordinary(t), hex(ord(c))
+
+
 def test_long_texts_are_cut_where_no_token_crosses(codec, reference, monkeypatch):
     monkeypatch.setattr(byte_bpe, "SLICE", 50)
     text = " ".join(odd_texts(60, 3)) + " end of it " * 40
@@ -72,7 +81,7 @@ def test_round_trip_of_a_table(spark, docs, no_docs, corpus, reference):
 def test_token_counts_equal_the_library(spark, docs, no_docs, corpus):
     library = Tokenizer.from_file(WORDS)
     with open(WORDS, encoding="utf-8") as f:
-        own = token_counts.counter(f.read())
+        own = token_counts.counter(f.read(), None, classes.differences(classes.tokenizers_characters))
     texts = odd_texts()
     assert own.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
     single = random.Random(2).sample(sorted(own.single), 500)
