@@ -172,7 +172,7 @@ CUT_OFF = {"ramp": -1.0, "hard": 0.0}
 #: point's weight takes as its own.
 MAX_ROUNDS, TOLERANCE, LEAST = 300, 1e-6, 1e-6
 #: A round tries each line's next step at these lengths.
-LENGTHS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+LENGTHS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
 
 
 def _sums(rows: DataFrame, tried: Sequence[tuple[int, float, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:

@@ -51,6 +51,36 @@ def test_fit_separates_and_refits_on_more_points(spark):
     assert classify.correct_count(many, classify.fit_linear_svc(many, 10.0), "margin").first()[0] == 400
 
 
+def test_all_settings_are_fitted_in_one_pass(spark):
+    """Few jobs; no line near has a lower objective, nor has the fit of one setting alone."""
+    far = spark.createDataFrame([(1.0, 12.0, -1)] * 3, "x double, y double, label int")
+    p = separable(spark, 60).unionByName(far).withColumn("x", F.col("x") / 3).cache()
+    spark.sparkContext.setJobGroup("grid", "grid")
+    lines = classify.fit_grid(p, (0.1, 10.0))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("grid")) < 60
+    spark.sparkContext.setJobGroup("rest", "rest")
+    data = np.array([(r.x, r.y, r.label) for r in p.collect()])
+
+    def value(line, c, cap):
+        gap = np.maximum(0, 1 - data[:, 2] * (line.w0 * data[:, 0] + line.w1 * data[:, 1] + line.b))
+        return (line.w0 ** 2 + line.w1 ** 2) / 2 + c * np.minimum(cap, gap).sum()
+
+    assert [(kind, c) for kind, c, _ in lines] == [(kind, c) for kind in classify.LOSSES for c in (0.1, 10.0)]
+    rng = np.random.default_rng(1)
+    for kind, c, line in lines:
+        cap = 1 - classify.CUT_OFF.get(kind, -np.inf)
+        best = value(line, c, cap)
+        assert best <= value(Line(0.0, 0.0, 0.0), c, cap)
+        for size in (1e-3, 1e-2, 0.1):  # nothing near is better
+            assert all(best <= value(Line(*(np.array(line) + rng.normal(0, size, 3))), c, cap) * 1.0001 + 1e-4 for _ in range(200))
+    alone = classify.refit(p, "hinge", 10.0)
+    assert value(lines[1][2], 10.0, np.inf) <= 1.0001 * value(alone, 10.0, np.inf)
+    with pytest.raises(ValueError, match="no points"):
+        classify.fit_grid(p.limit(0), (1.0,))
+    with pytest.raises(ArithmeticError):
+        classify.fit_grid(p.unionByName(spark.createDataFrame([(float("nan"), 1.0, 1)], "x double, y double, label int")), (1.0,))
+
+
 def test_robust_fit_ignores_far_outliers(spark):
     far = spark.createDataFrame([(1.0, 12.0, -1)] * 3, "x double, y double, label int")
     p = separable(spark, 60)

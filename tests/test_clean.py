@@ -1,7 +1,9 @@
+import os
+import random
 from datetime import date
 
 import pytest
-from conftest import rows
+from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from dataweft.functions.scalars import fit_length, remove_literal, strip_one, trim_all
@@ -129,3 +131,51 @@ def test_dense_ids_of_two_columns(spark):
     df = spark.createDataFrame([("b", 3), ("a", None), (None, 1), ("b", 1)], "s string, n int")
     got = clean.dense_ids(df, {"s": "i", "n": "j"}, missing=-1)
     assert rows(got) == rows(spark.createDataFrame([("b", 3, 1, 1), ("a", None, 0, -1), (None, 1, -1, 0), ("b", 1, 1, 0)], "s string, n int, i int, j int"))
+
+
+@pytest.mark.parametrize("frac", [0.0, 0.3, 0.9, 1.0])
+def test_stratified_sample_is_the_first_rows(spark, frac):
+    """Ties in the order, negative and NULL keys, a NULL stratum, repeated rows."""
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, -5, 0, 3, 10**15]), rng.randrange(-50, 50) << rng.choice([0, 20, 50]), i) for i in range(600)]
+    df = spark.createDataFrame(data, "g string, k bigint, h bigint, i int")
+    got = rel.stratified_sample(df, "g", frac, ["k", F.col("h"), "i"])
+    least = lambda x: -(1 << 63) if x is None else x
+    want = []
+    for g in ("a", "b", None):
+        own = sorted((r for r in data if r[0] == g), key=lambda r: (least(r[1]), r[2], r[3]))
+        want += own[:round(frac * len(own))]
+    assert rows(got) == sorted(want, key=lambda t: tuple((x is not None, str(type(x)), x) for x in t))
+    same = spark.createDataFrame([("a", 1)] * 7 + [("a", 2)] * 4 + [("b", 1)], "g string, k int")
+    assert [rel.stratified_sample(same, "g", f, ["k"]).groupBy("k").count().orderBy("k").collect() for f in (0.5,)] == [[(1, 6)]]
+
+
+def test_sample_moves_no_row(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.col("id").alias("i"))
+    out = rel.stratified_sample(df, "g", 0.5, [F.xxhash64("i"), F.col("i")])
+    text = plan(out)
+    assert rows(out.groupBy("g").count()) == [(0, 834), (1, 834), (2, 833)]  # halves of 1667, 1667 and 1666, ties to even
+    assert "rangepartitioning" not in text and "Window" not in text
+
+
+def test_enforced_write_shows_all_or_nothing(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(i, "x") for i in range(50)], "n int, s string").mapInPandas(seen, "n int, s string")
+    path = str(tmp_path / "t")
+    with pytest.raises(ConstraintViolation, match="small: 10 rows"):
+        quality.write_enforced(df, path, [Constraint("small", F.col("n") < 40), Constraint("named", F.col("s").isNotNull())])
+    assert os.listdir(tmp_path) == [] and calls.value == 50  # evaluated once
+    assert quality.write_enforced(df, path, [Constraint("small", F.col("n") < 50)]).count() == 50 and calls.value == 100
+    with pytest.raises(FileExistsError):
+        quality.write_enforced(df, path, [])
+    with pytest.raises(ConstraintViolation):
+        quality.write_enforced(df.limit(3), path, [Constraint("large", F.col("n") > 3)], mode="overwrite")
+    assert spark.read.parquet(path).count() == 50
+    assert quality.write_enforced(df.limit(3), path, [Constraint("small", F.col("n") < 40)], mode="overwrite").count() == 3
+    assert os.listdir(tmp_path) == ["t"]

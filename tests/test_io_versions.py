@@ -79,3 +79,29 @@ def test_change_feed_replays(spark):
     gone = feed.where("change_type IN ('delete', 'update_preimage')").select("k")
     came = feed.where("change_type IN ('insert', 'update_postimage')").drop("change_type")
     assert rows(old.join(gone, "k", "left_anti").unionByName(came)) == rows(new)
+
+
+def test_states_are_read_by_partition(spark):
+    path = work_path(spark, "v")
+    df = spark.createDataFrame([(1, 10), (2, 30)], "id int, price int")
+    versions.create(df, path)
+    versions.commit(df, path, "insert", add=True)
+    versions.commit(df, path, "overwrite")
+    text = plan(versions.read_version(spark, path, 1))
+    assert "PartitionFilters: [" in text and "version" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert {f.split("/base=")[1].split("/")[0] for f in versions.read_version(spark, path, 1).inputFiles()} <= {"0", "2"}
+    assert sorted(n for n in os.listdir(path) if "=" in n) == ["base=0", "base=2"]
+    # A write that is tried again replaces its own partition only.
+    versions._write(df.limit(1), path, 0, 1, "insert", "overwrite")
+    assert [versions.read_version(spark, path, v).count() for v in (0, 1, 2)] == [2, 3, 2]
+
+
+def test_changes_of_equal_rows(spark):
+    old = [(1, "a")] * 3 + [(2, None)] * 2 + [(3, "c")]
+    new = [(1, "a")] + [(2, None)] * 4 + [(None, "c")]
+    a, b = (spark.createDataFrame(x, "k int, s string") for x in (old, new))
+    feed = versions.row_changes(a, b.select("s", "k"))
+    assert rows(feed) == [(None, "c", "insert"), (1, "a", "delete"), (1, "a", "delete"), (2, None, "insert"), (2, None, "insert"), (3, "c", "delete")]
+    part = lambda kind: feed.where(F.col("change_type") == kind).drop("change_type")
+    assert rows(a.exceptAll(part("delete")).unionByName(part("insert"))) == rows(b)
+    assert versions.row_changes(a, a).count() == 0

@@ -21,8 +21,12 @@ def duck():
     return con
 
 
+#: Metrics of fitted models: tests of the losses stand in test_ranking.
+NO_SQL = {"q_ranking_grid"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) | NO_SQL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
