@@ -1,5 +1,6 @@
 """Mixing, similarity join, substring deduplication, toxicity and page texts."""
 
+import collections
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -240,3 +241,84 @@ def test_articles_of_others_stay_out():
     assert html_text.read("<main>x<div id=comments><article>c</article></div><aside><article>t</article>u</aside>y</main>") == (True, ["x", "y"])
     assert html_text.read("<div class=with-sidebar><p>b</div><div class=comment-list><article>c</article></div>") == (False, ["b"])
     assert html_text.read("<div role=main>x<div>y</div>z</div>w") == (True, ["x", "y", "z"])
+
+
+@pytest.mark.parametrize("name", "post-comments reader-comments user-comments comment-thread responses related-posts related-articles more-stories article-share sticky-share inline-ad google-ad "
+                                 "top-ad author-box".split())
+def test_chrome_inside_the_article_goes(name):
+    assert html_text.read(f"<article><p>a</p><div class='{name}'><p>x</p></div><p>b</p></article>") == (True, ["a", "b"])
+
+
+@pytest.mark.parametrize("name", ["site-header", "main-menu", "page-footer", "post-comments"])
+def test_chrome_of_unmarked_pages_goes(name):
+    assert html_text.read(f"<body><p>a</p><div class='{name}'><p>x</p></div><p>b</p></body>") == (False, ["a", "b"])
+
+
+def test_comments_and_teasers_that_are_articles_go():
+    story = "a long story of so many words that no other text is as long as this"
+    assert html_text.read(f"<article><p>{story}</p><section><article>a reader says</article></section>end</article>") == (True, [story, "end"])
+    assert html_text.read(f"<article>teaser</article><main>x<article>{story}</article></main><article>more</article>") == (True, ["x", story])
+    assert html_text.read(f"<article>teaser<article>{story}</article></article>") == (True, ["teaser", story])
+    assert html_text.read(f"<article>{story}</article><article>{story[:50]}</article>") == (True, [story, story[:50]])
+
+
+def words(rnd, n):
+    return " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+
+
+def test_hosts_decide_by_share(spark):
+    """A story on two of eight pages stays, a short menu on all goes; so do lines that marked articles of a host share."""
+    rnd = random.Random(3)
+    story, menu, line = words(rnd, 40), "home news sport shop help about terms privacy", "Sign up for the letter and never miss a story again, free of charge"
+    rows, want = [], {}
+    for i in range(8):
+        body = story + (" more" if i == 1 else "") if i < 2 else words(rnd, 50)
+        rows.append((i, f"http://a.x/{i}", f"<body><div>{menu}</div><p>{body}</p></body>"))
+        want[i] = body
+    for i in range(10, 20):
+        body = words(rnd, 30)
+        rows.append((i, f"http://b.x/{i}", f"<article><p>{body}</p><p>{line}</p><div>Read on</div></article>"))
+        want[i] = body
+    for i in range(30, 36):  # all that these hold is shared: what structure calls an article is never emptied
+        rows.append((i, f"http://c.x/{i}", f"<article>{line}<p>{'x' * i} page</p></article>" if i < 35 else f"<article>{line}</article>"))
+        want[i] = f"{'x' * i} page" if i < 35 else line
+    for i in range(40, 46):  # near copies are one page: the story stays
+        near = story.split()
+        near[i - 40] = "z"
+        rows.append((i, "http://d.x/", f"<p>{' '.join(near)}</p>" if i < 44 else f"<p>{words(rnd, 30)}</p>"))
+        want[i] = rows[-1][2][3:-4]
+    frame = spark.createDataFrame([(*r, "c", "d") for r in rows], "page_id bigint, url string, html string, host string, key string")
+    got = {r.page_id: r.text for r in html_text.main_text(frame).collect()}
+    assert {k: v for k, v in got.items() if k < 40} == {k: v for k, v in want.items() if k < 40}
+    assert sum(got[i] == want[i] for i in range(40, 46)) == 6
+
+
+def test_shared_strings_equal_brute_force(spark):
+    """Streams of few different tokens: what goes is what a plain search for shared strings finds."""
+    rnd = random.Random(11)
+    rows = [(i, f"http://h{i % 2}.x/", "<p>" + " ".join(rnd.choice("abc") for _ in range(rnd.randint(5, 160))) + ("" if i % 3 else " <p>a b c") + "</p>") for i in range(40)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    length = 6
+    got = {r.page_id: r.text for r in html_text.main_text(frame, length=length, size=60).collect()}
+    blocks = {i: html_text.read(h)[1] for i, _, h in rows}
+    for h in (0, 1):
+        own = {i: b for i, b in blocks.items() if i % 2 == h}
+        distinct = {tuple(b) for b in own.values()}
+        flat = {b: [w for x in b for w in x.split()] for b in distinct}
+        strings, shorts = collections.Counter(), collections.Counter()
+        for b in distinct:
+            strings.update({tuple(flat[b][k:k + length]) for k in range(len(flat[b]) - length + 1)})
+            shorts.update({x for x in b if len(x.split()) < length})
+        enough = max(html_text.PAGES, html_text.SHARE * len(distinct))
+        for i, b in own.items():
+            w, gone = flat[tuple(b)], set()
+            for k in range(len(w) - length + 1):
+                if strings[tuple(w[k:k + length])] >= enough:
+                    gone |= set(range(k, k + length))
+            at = 0
+            for x in b:
+                n = len(x.split())
+                if n < length and shorts[x] >= enough:
+                    gone |= set(range(at, at + n))
+                at += n
+            assert got[i] == " ".join(x for k, x in enumerate(w) if k not in gone)
