@@ -40,8 +40,8 @@ from dataweft.session import cut, work_path
 
 #: Tokens of a string that pages of a host must share to count as boilerplate; least share of the host's distinct pages and least number, outside and inside of articles.
 TOKENS, SHARE, PAGES, SURE_SHARE, SURE_PAGES = 12, 0.3, 3, 0.6, 4
-#: Bytes of a token's hash, tokens of a shingle and least hashes of a near copy's sketch.
-WIDTH, SHINGLE, SKETCH = 4, 4, 3
+#: Bytes of a token's hash, tokens of a shingle, least hashes of a near copy's sketch, tokens of an anchor.
+WIDTH, SHINGLE, SKETCH, GRAM = 4, 4, 3, 3
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
@@ -271,6 +271,29 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("bytes"), data], names=["key", "bytes", "data"])
 
 
+def anchors(data: bytes, length: int) -> np.ndarray:
+    """Numbers of 40 bits such that two streams with a string of ``length`` tokens in common share one: the least gram of every such string."""
+    tokens = np.frombuffer(data, "<u4").astype(np.uint64)
+    width = min(GRAM, length)
+    n = len(tokens) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    grams = np.zeros(len(tokens) - width + 1, np.uint64)
+    for i in range(width):
+        grams = (grams ^ tokens[i : i + len(grams)]) * np.uint64(0x9E3779B97F4A7C15)
+        grams ^= grams >> np.uint64(29)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, length - width + 1).min(1) >> np.uint64(24)).astype(np.int64)
+
+
+def _anchors(length: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, seed, blocks in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "blocks")), strict=True):
+                own = anchors(stream(blocks, seed), length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key), pa.int64()), pa.array(own, pa.int64())], names=["key", "anchor"])
+    return work
+
+
 def _starts(found: list[dict], n: int, length: int) -> np.ndarray:
     """Places of tokens at which a shared string starts; strings start at whole tokens."""
     at = [np.arange(-(-run["first"] // WIDTH), (run["first"] + run["number"] - 1) // WIDTH + 1) for run in found]
@@ -316,6 +339,13 @@ def _unique_runs(keep: int, length: int):
     return work
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: unlike a checkpoint it has a size that the planner knows."""
+    path = work_path(rows.sparkSession, "pages")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _often(seen: DataFrame, what: str, sizes: DataFrame) -> DataFrame:
     """(host, what, decided): what enough of the host's distinct pages hold, by the bounds for pages with and without a marked article."""
     counts = seen.select("host", what, "fold").distinct().groupBy("host", what).agg(F.count("*").alias("n"))
@@ -338,9 +368,13 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url:
     rows.mapInArrow(_read(n, size), schema + ", ".join(f"c{n + i} {x.split()[1]}" for i, x in enumerate(READ.split(", ")))).toDF(*names, *made).write.option("compression", "zstd").parquet(path)
     found = pages.sparkSession.read.parquet(path)
     # One row for pages of equal streams. Hosts with too few distinct pages have no boilerplate.
-    sizes = cut(found.select("host", "fold").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES))
+    sizes = _written(found.select("host", "fold").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES))
     asked = found.where("bytes > 0").join(sizes.select("host"), "host", "left_semi")
-    units = asked.select("key", "bytes", "host", "blocks").mapInArrow(_streams, "key long, bytes long, data binary")
+    # A string on enough pages has its anchor on as many; only pages with such an anchor go to the suffix array.
+    anchors = asked.select("key", "host", "blocks").mapInArrow(_anchors(length), "key long, anchor long")
+    hot = _written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES).select("anchor"))
+    near = _written(anchors.join(hot, "anchor", "left_semi").select("key").distinct())
+    units = asked.join(near, "key", "left_semi").select("key", "bytes", "host", "blocks").mapInArrow(_streams, "key long, bytes long, data binary")
     shared = cut(repeats(units, WIDTH * length, across=True))
     first = asked.join(shared, ["key", "bytes"]).dropDuplicates(["key"])
     grams = cut(first.select("host", "fold", "decided", "key", "blocks", "found").mapInArrow(_grams(length), "host long, fold long, decided boolean, key long, place long, gram long"))

@@ -322,3 +322,12 @@ def test_shared_strings_equal_brute_force(spark):
                     gone |= set(range(at, at + n))
                 at += n
             assert got[i] == " ".join(x for k, x in enumerate(w) if k not in gone)
+
+
+def test_shared_strings_share_an_anchor():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        shared = " ".join(map(str, rng.integers(0, 9, 12)))
+        a, b = (html_text.stream([" ".join(map(str, rng.integers(0, 9, rng.integers(0, 30)))), shared, "end"], 5) for _ in range(2))
+        assert set(html_text.anchors(a, 12)) & set(html_text.anchors(b, 12))
+    assert len(html_text.anchors(html_text.stream(["a b c"], 1), 12)) == 0
