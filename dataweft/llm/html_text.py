@@ -40,8 +40,10 @@ from dataweft.session import cut, work_path
 
 #: Tokens of a string that pages of a host must share to count as boilerplate; least share of the host's distinct pages and least number, outside and inside of articles.
 TOKENS, SHARE, PAGES, SURE_SHARE, SURE_PAGES = 12, 0.3, 3, 0.6, 4
+#: Rows of a few hundred bytes at most that a join sends to all tasks.
+SENT = 100_000
 #: Bytes of a token's hash, tokens of a shingle, least hashes of a near copy's sketch, tokens of an anchor.
-WIDTH, SHINGLE, SKETCH, GRAM = 4, 4, 3, 3
+WIDTH, SHINGLE, SKETCH, GRAM = 4, 4, 3, 6
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
@@ -346,6 +348,11 @@ def _written(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def _beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join by key; a right side of at most ``SENT`` rows goes to the pages, so that their blocks stay where they are."""
+    return left.join(F.broadcast(right) if right.count() <= SENT else right, "key", how)
+
+
 def _often(seen: DataFrame, what: str, sizes: DataFrame) -> DataFrame:
     """(host, what, decided): what enough of the host's distinct pages hold, by the bounds for pages with and without a marked article."""
     counts = seen.select("host", what, "fold").distinct().groupBy("host", what).agg(F.count("*").alias("n"))
@@ -374,7 +381,7 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url:
     anchors = asked.select("key", "host", "blocks").mapInArrow(_anchors(length), "key long, anchor long")
     hot = _written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES).select("anchor"))
     near = _written(anchors.join(hot, "anchor", "left_semi").select("key").distinct())
-    units = asked.join(near, "key", "left_semi").select("key", "bytes", "host", "blocks").mapInArrow(_streams, "key long, bytes long, data binary")
+    units = _beside(asked, near, "left_semi").select("key", "bytes", "host", "blocks").mapInArrow(_streams, "key long, bytes long, data binary")
     shared = cut(repeats(units, WIDTH * length, across=True))
     first = asked.join(shared, ["key", "bytes"]).dropDuplicates(["key"])
     grams = cut(first.select("host", "fold", "decided", "key", "blocks", "found").mapInArrow(_grams(length), "host long, fold long, decided boolean, key long, place long, gram long"))
@@ -382,6 +389,6 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url:
     each = asked.select("host", "fold", "decided", "key", F.posexplode("blocks").alias("place", "block"))
     each = each.where(F.size(F.split("block", " ")) < length).select("host", "fold", "decided", "key", "place", F.xxhash64("block").alias("block"))
     short = each.join(_often(each, "block", sizes), ["host", "block", "decided"], "left_semi").groupBy("key").agg(F.collect_set("place").alias("short"))
-    marks = cut(places.join(short, "key", "full_outer"))
-    beside = found.join(marks, "key", "left").select(*names, "blocks", "decided", "places", "short")
+    marks = _written(places.join(short, "key", "full_outer"))
+    beside = _beside(found, marks, "left").select(*names, "blocks", "decided", "places", "short")
     return beside.mapInArrow(_unique_runs(n, length), f"{schema}c{n} string, c{n + 1} long").toDF(*keep, "text", "n_chars")
