@@ -39,6 +39,8 @@ RATIO, SPARE, STRONG, HUB_STEPS = 1.45, (1.05, 1.2, 1.4), 2, 1
 #: Classes in a block of a word's group, and in a group whose pairs are listed.
 BLOCK, FEW = 1024, 48
 MEMO = 300_000
+#: Bits of a sketch for each piece.
+BITS = 16
 
 
 class _Words(dict):
@@ -120,10 +122,10 @@ class Bands:
         return (key[strong] if strong.sum() > touched else key).view(np.int64)
 
     def sketch(self, s: np.ndarray, band: int) -> bytes:
-        """Parity of 64 bits for every piece of a band."""
+        """Parity of ``BITS`` bits for every piece of a band, so many times the largest difference that matters."""
         m = self.pieces(band)[1]
-        bit = (s % np.uint64(m)).astype(np.int64) * 64 + ((s >> np.uint64(48)) & np.uint64(63)).astype(np.int64)
-        return np.packbits((np.bincount(bit, minlength=m * 64) & 1).astype(np.uint8)).tobytes()
+        bit = (s % np.uint64(m)).astype(np.int64) * BITS + ((s >> np.uint64(48)) & np.uint64(BITS - 1)).astype(np.int64)
+        return np.packbits((np.bincount(bit, minlength=m * BITS) & 1).astype(np.uint8)).tobytes()
 
 
 def _sets(words: int, percent: int):
@@ -188,7 +190,7 @@ def _close(percent: int):
         for band in {r["band"] for r in block}:
             own = [r for r in block if r["band"] == band]
             out[band] = {c: np.array([r[c] for r in own]) for c in ("node", "part", "n")} | {
-                c: np.array([np.frombuffer(r[c], np.uint64) for r in own]) for c in ("sketch", "next_sketch")}
+                c: np.array([np.frombuffer(r[c], np.uint16) for r in own]) for c in ("sketch", "next_sketch")}
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
