@@ -259,7 +259,9 @@ def classes_and_links(docs: DataFrame, words: int = 3, percent: int = 90) -> tup
     # One row of each class that meets another: its text is read again, not carried along.
     again = texts.join(wanted, (F.col("hash") == F.col("row_hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node", "set", "n")
     details = again.mapInArrow(_details(words, percent), "node long, n long, members binary, band int, sketch binary, next_sketch binary")
-    details = cut(details.dropDuplicates(["node"]))
+    details = cut(details)
+    if not details.groupBy("node").count().where("count > 1").isEmpty():  # repeated rows: the same text with the same id
+        details = cut(details.dropDuplicates(["node"]))
     links = tested = None
     parts = shared.withColumn("part", F.col("node"))
     for _ in range(HUB_STEPS):
