@@ -39,6 +39,8 @@ RATIO, SPARE, STRONG, HUB_STEPS = 1.45, (1.05, 1.2, 1.4), 2, 1
 #: Classes in a block of a word's group, and in a group whose pairs are listed.
 BLOCK, FEW = 1024, 48
 MEMO = 300_000
+#: Classes (a hundred bytes each) that are sent to all tasks.
+SENT = 200_000
 #: Bits of a sketch for each piece.
 BITS = 16
 
@@ -256,7 +258,8 @@ def classes_and_links(docs: DataFrame, words: int = 3, percent: int = 90) -> tup
     kept.unpersist()
     shared = cut(groups.select("node").distinct())
     wanted = classes.join(shared, "node").select("node", F.col("name").alias("set"), "n", F.col("row.doc_id").alias("id"), F.col("row.hash").alias("row_hash"))
-    # One row of each class that meets another: its text is read again, not carried along.
+    # One row of each class that meets another: its text is read again, not carried along, and stays where it is while the classes are few.
+    wanted = F.broadcast(wanted) if shared.count() <= SENT else wanted
     again = texts.join(wanted, (F.col("hash") == F.col("row_hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "node", "set", "n")
     details = again.mapInArrow(_details(words, percent), "node long, n long, members binary, band int, sketch binary, next_sketch binary")
     details = cut(details)

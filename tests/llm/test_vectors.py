@@ -1,7 +1,10 @@
 """Exact top-k and approximate neighbours against brute force."""
 
+import os
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dataweft.llm import cross_polytope, topk
 
@@ -20,11 +23,11 @@ def rows():
 SCHEMA = "vec_id bigint, embedding array<float>, score string, rank int"
 
 
-def dense(rows):
+def dense(rows, dims=16):
     out = {}
     for i, v, *_ in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            out[i] = np.pad(np.array(v, np.float32).astype(float), (0, 16 - len(v)))
+            out[i] = np.pad(np.array(v, np.float32).astype(float), (0, dims - len(v)))
     return out
 
 
@@ -76,7 +79,14 @@ def test_hadamard_and_axes():
     x = rng.normal(0, 1, (5, 8))
     h = np.array([[(-1) ** bin(i & j).count("1") for j in range(8)] for i in range(8)])
     assert np.allclose(cross_polytope.hadamard(x), x @ h)
-    assert (cross_polytope.signed_axes(x, 0, 4, 1)[:, 0] == cross_polytope.signed_axes(3 * x, 0, 1, 1)[:, 0]).all()
+    for axes in (1, 2, 3):
+        probes = cross_polytope.keys(x, 0, axes, 40, 1)
+        assert (probes[:, 0] == cross_polytope.keys(3 * x, 0, axes, 1, 1)[:, 0]).all() and all(len(set(p)) == len(p) for p in probes.tolist())
+    # Two axes: the probes are the pairs of least summed cost.
+    e = [cross_polytope.ends(x, 0, a, 1) for a in (0, 1)]
+    cost = ((e[0].max(1, keepdims=True) - e[0]) ** 2)[:, :, None] + ((e[1].max(1, keepdims=True) - e[1]) ** 2)[:, None, :]
+    found = np.take_along_axis(cost.reshape(5, -1), cross_polytope.keys(x, 0, 2, 40, 1), axis=1)
+    assert np.allclose(found, np.sort(cost.reshape(5, -1), axis=1)[:, :40])
 
 
 @pytest.mark.parametrize("n", [3, 6, 9])
@@ -89,3 +99,25 @@ def test_few_vectors_are_all_found(spark, n):
         mine = sorted((r.rank, r.vec_id) for r in got if r.query_id == q)
         # A query that found five may have missed a nearer one; with six vectors or fewer there is no choice.
         assert len(mine) == len(want) and (n > 6 or [j for _, j in mine] == want)
+
+
+@pytest.mark.parametrize(("folder", "axes", "most"), [("sf0.1", 1, 1.0), ("check_s", 2, 0.15)])
+def test_recall_and_share_of_the_given_vectors(spark, folder, axes, most):
+    """At least nine of ten neighbours; with two axes in a key from less than 15 % of the vectors."""
+    path = f"/root/testdata/{folder}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no such table")
+    got = {}
+    for r in cross_polytope.nearest(spark.read.parquet(path)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = dense([tuple(r) for r in spark.read.parquet(path).select("vec_id", "embedding").collect()], 64)
+    ids, m = np.array(list(x)), np.array([v / np.linalg.norm(v) for v in x.values()])
+    some = sorted(got)[::5]
+    hits = sum(len(got[q] & {int(j) for j in [j for j in ids[np.argsort(-(m @ x[q]), kind="stable")[:6]] if j != q][:5]}) for q in some)
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in x.items()], "vec_id bigint, v array<double>").repartition(8)
+    search = cross_polytope.Search(rows, rows.where(F.col("vec_id").isin(some)), 64)
+    assert cross_polytope.n_axes(len(x), 64) == axes
+    looked = search.pairs(32, axes, 8 ** axes, 11).select("q", "v").distinct().count() / len(some) / len(x)
+    print(f"{folder}: recall {hits / 5 / len(some):.3f}, share of the vectors looked at {looked:.3f}")
+    assert hits >= 0.9 * 5 * len(some) and looked <= most
+    assert [cross_polytope.n_axes(n, 64) for n in (500, 10**4, 10**6)] == [1, 2, 3]
