@@ -134,6 +134,20 @@ def dense_ids(df: DataFrame, names: Mapping[str, str], start: int = 0, missing:
     return out if missing is None else out.fillna({n: missing for n in names.values()})
 
 
+def new_ids(df: DataFrame, c: str, known: DataFrame | None = None, name: str = "id", start: int = 0) -> DataFrame:
+    """(c, name) of the values of ``c`` that the dictionary ``known`` lacks: numbers after its largest, in sorted order.
+
+    Append the result to the stored dictionary; values that it has keep their numbers, and a second try finds nothing new. NULL gets none.
+    """
+    values = df.select(c).where(F.col(c).isNotNull()).distinct()
+    if known is None:
+        first = F.lit(start).cast("long")
+    else:
+        values = values.join(known, c, "left_anti")
+        first = F.coalesce(known.select(F.max(name) + 1).scalar(), F.lit(start)).cast("long")
+    return with_row_id(values, [c], "_row").select(c, (F.col("_row") - 1 + first).alias(name))
+
+
 def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_Code") -> DataFrame:
     """Integer code of each category in sorted order, -1 where it is missing."""
     return dense_ids(df, {c: f"{c}{suffix}" for c in cols}, missing=-1)

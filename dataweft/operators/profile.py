@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataweft.operators.ordering import attach, quantiles_of, value_table
@@ -87,6 +88,34 @@ def _weighted_mean() -> Column:
     return F.sum(F.col("_v") * F.col("_c")) / F.nullif(F.sum("_c"), F.lit(0)).cast("double")
 
 
+def sketch(df: DataFrame, by: Sequence[str], c: str, error: float = 0.01) -> DataFrame:
+    """(by, side, bin, n): a summary of ``c`` per group from which quantiles follow with a relative error of at most ``error``.
+
+    Bins grow by a fixed factor, so a group has at most some 71,000 of them however many rows it has. NULL and NaN are skipped.
+    """
+    x = F.col(c).cast("double")
+    factor = (1 + error) / (1 - error)
+    place = F.when(x == 0, 0).otherwise(F.ceil(F.log(F.abs(x)) / math.log(factor))).cast("long")
+    return df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, F.signum(x).cast("int").alias("side"), place.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The sketches of coarser groups; summing counts loses nothing, so parts of any cut of the rows may be kept and merged."""
+    return sketches.groupBy(*by, "side", "bin").agg(F.sum("n").alias("n"))
+
+
+def sketch_quantiles(sketches: DataFrame, by: Sequence[str], probs: dict[str, float], error: float = 0.01) -> DataFrame:
+    """(by, n, one column per entry): the value of rank floor(p * (n - 1)), off by at most ``error`` of itself."""
+    by, factor = list(by), (1 + error) / (1 - error)
+    merged = merge_sketches(sketches, by)
+    order = Window.partitionBy(*by).orderBy("side", F.col("side") * F.col("bin")).rowsBetween(Window.unboundedPreceding, 0)  # bins, not rows
+    ranked = attach(merged.withColumn("_cum", F.sum("n").over(order)), merged.groupBy(*by).agg(F.sum("n").alias("_all")), by)
+    value = F.col("side") * 2 * F.pow(F.lit(factor), F.col("bin")) / (factor + 1)
+    at = {name: F.floor((F.col("_all") - 1) * F.lit(float(p))) for name, p in probs.items()}
+    return ranked.groupBy(*by).agg(F.max("_all").alias("n"), *[
+        F.max(F.when((k < F.col("_cum")) & (k >= F.col("_cum") - F.col("n")), value)).alias(name) for name, k in at.items()])
+
+
 def describe_num(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, sample deviation, min, quartiles and max of each column."""
     rows = value_table(_long(df, cols, "double"), ["column_name"], "value")

@@ -222,6 +222,22 @@ def category_codes(spark, d):
         .select("customer_id", "club_member_status_code", "fashion_news_frequency_code")
 
 
+FIRST_BATCH = "t_dat < DATE '1992-02-15'"
+
+
+@query("q_kept_ids", f"""
+    SELECT v AS article_id, CAST(row_number() OVER (ORDER BY v) - 1 AS BIGINT) AS id FROM early
+    UNION ALL SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 + (SELECT count(*) FROM early) AS BIGINT)
+    FROM (SELECT DISTINCT article_id AS v FROM transactions EXCEPT SELECT v FROM early)""", inputs=("transactions",),
+       ctes={"early": f"SELECT DISTINCT article_id AS v FROM transactions WHERE {FIRST_BATCH}"})
+def kept_ids(spark, d):
+    """Two batches number their articles in one stored dictionary."""
+    bought, path = transactions(spark, d).select("article_id", "t_dat"), work_path(spark, "dictionary")
+    known = io.write_table(clean.new_ids(bought.where(FIRST_BATCH), "article_id"), path)
+    io.write_table(clean.new_ids(bought, "article_id", known), path, mode="append")
+    return io.read_table(spark, path, known.schema)
+
+
 @query("q_dense_id", """
     SELECT customer_id, article_id, CAST(dense_rank() OVER (ORDER BY customer_id) - 1 AS INTEGER) AS user_idx,
            CAST(dense_rank() OVER (ORDER BY article_id) - 1 AS INTEGER) AS item_idx FROM transactions""", inputs=("transactions",))

@@ -7,8 +7,8 @@ from pyspark.sql.types import (IntegerType, LongType, StringType, StructField, S
 
 from dataweft.operators import clean, profile
 from dataweft.plans.registry import query
-from dataweft.session import work_path
-from dataweft.sources import io
+from dataweft.session import cut, work_path
+from dataweft.sources import io, layout
 from dataweft.sources.inputs import (LISTING_KEY, edge_lines, edges, listings, messages, table, transactions)
 
 
@@ -94,6 +94,17 @@ def partitioned_scan(spark, d):
             .agg(F.count("*").alias("n"), F.sum("kilometer").alias("km")))
 
 
+@query("q_interleaved_scan", """
+    SELECT 'brand' AS report, CAST(count(*) AS BIGINT) AS n, CAST(sum(kilometer) AS BIGINT) AS km FROM listings WHERE brand = 'Brand#3'
+    UNION ALL SELECT 'year', CAST(count(*) AS BIGINT), CAST(sum(kilometer) AS BIGINT) FROM listings WHERE yearOfRegistration = 1995""", inputs=("listings",))
+def interleaved_scan(spark, d):
+    """Two reports, each filtered by another column, on one table laid out for both."""
+    source = cut(listings(spark, d).select("brand", "yearOfRegistration", "kilometer"))
+    stored = layout.write_interleaved(source, work_path(spark, "interleaved"), ["brand", "yearOfRegistration"], 16)
+    report = lambda name, where: stored.where(where).agg(F.lit(name).alias("report"), F.count("*").alias("n"), F.sum("kilometer").alias("km"))
+    return report("brand", "brand = 'Brand#3'").unionByName(report("year", "yearOfRegistration = 1995"))
+
+
 @query("q_append", f"""
     SELECT id, dateCreated, price, brand, department, lastSeen FROM conformed
     UNION ALL SELECT id + 1000000, dateCreated, price, brand, department, lastSeen FROM conformed""",

@@ -8,7 +8,9 @@ from dataweft.operators import profile, recsys
 from dataweft.plans.cleaning import FILLED_CUSTOMERS_SQL, filled_customers
 from dataweft.plans.registry import query
 from dataweft.plans.relational import SHARE_SQL
+from dataweft.session import work_path
 from dataweft.sources.inputs import articles, customers, listings, table, transactions
+from dataweft.sources.io import write_table
 
 
 @query("q_counts", """
@@ -35,6 +37,25 @@ def price_by_type(spark, d):
     return profile.grouped_summary(listings(spark, d), ["vehicleType"], "price", F.col("notRepairedDamage") == "ja")
 
 
+SKETCH_ERROR = 0.01
+FACTOR = (1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)
+
+
+@query("q_price_sketch", f"""
+    SELECT vehicleType, CAST(max(total) AS BIGINT) AS n,
+           round(max(CASE WHEN floor((total - 1) * 0.5) < cum AND floor((total - 1) * 0.5) >= cum - n THEN 2 * power({FACTOR!r}, bin) / {FACTOR + 1!r} END), 4) AS median,
+           round(max(CASE WHEN floor((total - 1) * 0.9) < cum AND floor((total - 1) * 0.9) >= cum - n THEN 2 * power({FACTOR!r}, bin) / {FACTOR + 1!r} END), 4) AS q90
+    FROM (SELECT *, sum(n) OVER (PARTITION BY vehicleType ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY vehicleType) AS total
+          FROM (SELECT vehicleType, ceil(ln(CAST(price AS DOUBLE)) / ln({FACTOR!r})) AS bin, count(*) AS n FROM listings WHERE price > 0 GROUP BY ALL))
+    GROUP BY vehicleType""", inputs=("listings",))
+def price_sketch(spark, d):
+    """Sketches of every day and type are written; those of the types are merged from them."""
+    positive = listings(spark, d).where("price > 0")
+    daily = write_table(profile.sketch(positive, ["dateCreated", "vehicleType"], "price", SKETCH_ERROR), work_path(spark, "sketches"))
+    out = profile.sketch_quantiles(daily, ["vehicleType"], {"median": 0.5, "q90": 0.9}, SKETCH_ERROR)
+    return out.select("vehicleType", "n", F.round("median", 4).alias("median"), F.round("q90", 4).alias("q90"))
+
+
 @query("q_value_counts", """
     SELECT notRepairedDamage, CAST(count(*) AS BIGINT) AS n FROM listings GROUP BY notRepairedDamage""", inputs=("listings",))
 def value_counts(spark, d):

@@ -179,3 +179,16 @@ def test_enforced_write_shows_all_or_nothing(spark, tmp_path):
     assert spark.read.parquet(path).count() == 50
     assert quality.write_enforced(df.limit(3), path, [Constraint("small", F.col("n") < 40)], mode="overwrite").count() == 3
     assert os.listdir(tmp_path) == ["t"]
+
+
+def test_ids_stay_when_values_come(spark, tmp_path):
+    first = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "v string")
+    second = spark.createDataFrame([("c",), ("a",), ("A",), (None,)], "v string")
+    clean.new_ids(first, "v").write.parquet(f"{tmp_path}/d")
+    known = spark.read.parquet(f"{tmp_path}/d")
+    clean.new_ids(second, "v", known).write.mode("append").parquet(f"{tmp_path}/d")
+    known = spark.read.parquet(f"{tmp_path}/d")
+    assert rows(known, "v", "id") == [("A", 2), ("a", 0), ("b", 1), ("c", 3)]
+    assert clean.new_ids(first.unionByName(second), "v", known).count() == 0  # a second try
+    assert clean.new_ids(first.limit(0), "v").count() == 0
+    assert rows(clean.new_ids(first, "v", known.limit(0), start=5), "v", "id") == [("a", 5), ("b", 6)]

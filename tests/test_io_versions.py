@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from dataweft.session import shared_dir, work_path
-from dataweft.sources import io, versions
+from dataweft.sources import io, layout, versions
 
 
 def test_shared_dir_is_the_configured_one(spark):
@@ -105,3 +105,23 @@ def test_changes_of_equal_rows(spark):
     part = lambda kind: feed.where(F.col("change_type") == kind).drop("change_type")
     assert rows(a.exceptAll(part("delete")).unionByName(part("insert"))) == rows(b)
     assert versions.row_changes(a, a).count() == 0
+
+
+def test_interleaved_files_are_skipped_on_both_columns(spark, tmp_path):
+    import pyarrow.parquet as pq
+    df = spark.range(8000).select((F.xxhash64("id", F.lit(1)) % 1000).alias("a"), F.format_string("k%03d", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(500))).alias("b"), "id")
+    df = df.unionByName(spark.createDataFrame([(None, None, -1)], "a bigint, b string, id bigint"))
+    stored = layout.write_interleaved(df, str(tmp_path / "z"), ["a", "b"], 16)
+    assert rows(stored) == rows(df)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in stored.inputFiles()]
+    assert len(files) >= 12
+    for column, value in ((0, 17), (1, "k123")):
+        ranges = [(s.min, s.max) for f in files for g in range(f.num_row_groups) if (s := f.row_group(g).column(column).statistics)]
+        assert sum(low <= value <= high for low, high in ranges) <= len(ranges) // 2
+    empty = layout.write_interleaved(df.limit(0), str(tmp_path / "e"), ["a", "b"], 4)
+    assert empty.count() == 0 and empty.columns == df.columns
+
+
+def test_range_numbers_bisect(spark):
+    df = spark.createDataFrame([(x,) for x in (None, -5, 1, 2, 3, 99)], "x int")
+    assert [r.p for r in df.select(layout._place("x", [1, 2, 3]).alias("p")).collect()] == [0, 0, 1, 2, 3, 3]

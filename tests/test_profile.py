@@ -40,3 +40,22 @@ def test_correlation(spark):
     df = spark.createDataFrame([(1, 2, 3), (2, 4, 1), (3, 6, 2)], "a int, b int, c int")
     got = {r.column_name: r["corr"] for r in profile.correlations(df, [("a", "b"), ("a", "c")]).collect()}
     assert np.isclose(got["a~b"], 1.0) and np.isclose(got["a~c"], -0.5)
+
+
+def test_sketches_merge_and_keep_their_error(spark):
+    rng = np.random.default_rng(4)
+    data = [(g, int(d), float(v)) for g in "ab" for d, v in zip(rng.integers(0, 5, 400), rng.lognormal(3, 2, 400) * rng.choice([-1, 1, 1], 400), strict=True)]
+    data += [("z", 0, 0.0), ("z", 1, 7.0), ("z", 2, None), ("n", 0, float("nan"))]
+    df = spark.createDataFrame(data, "g string, d int, v double")
+    probs = {"low": 0.05, "mid": 0.5, "high": 0.99}
+    daily = profile.sketch(df, ["g", "d"], "v", 0.02)
+    got = {r.g: r for r in profile.sketch_quantiles(daily, ["g"], probs, 0.02).collect()}
+    assert set(got) == {"a", "b", "z"}
+    for g, r in got.items():
+        values = sorted(v for x, _, v in data if x == g and v is not None)
+        assert r.n == len(values)
+        for name, p in probs.items():
+            exact = values[int(np.floor(p * (len(values) - 1)))]
+            assert abs(r[name] - exact) <= 0.02 * abs(exact) + 1e-12
+    whole = profile.sketch(df, ["g"], "v", 0.02)
+    assert rows(profile.merge_sketches(daily, ["g"])) == rows(whole)
