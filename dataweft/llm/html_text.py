@@ -246,11 +246,11 @@ def sketch(data: bytes, size: int) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(np.array(least, np.uint64).tobytes())).astype(np.int64))
 
 
-READ = "blocks array<string>, decided boolean, host long, key long, bytes long, fold long"
+READ = "blocks array<string>, decided boolean, host long, key long, bytes long, fold long, anchors array<long>"
 
 
-def _read(keep: int, size: int):
-    """(kept columns, blocks, decided, host, and key, bytes and sketch of the stream) of every page; the url stands before the page."""
+def _read(keep: int, size: int, length: int):
+    """(kept columns, blocks, decided, host, and key, bytes, sketch and anchors of the stream) of every page; the url stands before the page."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pages, urls = batch.column(batch.num_columns - 1), batch.column(batch.num_columns - 2)
@@ -260,7 +260,7 @@ def _read(keep: int, size: int):
                 data = [stream(blocks, seed) for (_, blocks), seed in zip(found, seeds, strict=True)]
                 keys = [np.uint64(xxhash.xxh3_64_intdigest(d, seed)).astype(np.int64) for d, seed in zip(data, seeds, strict=True)]
                 columns = [pa.array([x[1] for x in found], pa.list_(pa.string())), pa.array([x[0] for x in found]), pa.array(seeds, pa.int64()), pa.array(keys, pa.int64()),
-                           pa.array(map(len, data), pa.int64()), pa.array([sketch(d, size) for d in data], pa.int64())]
+                           pa.array(map(len, data), pa.int64()), pa.array([sketch(d, size) for d in data], pa.int64()), pa.array([anchors(d, length) for d in data], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in range(keep)), *columns], names=[f"c{i}" for i in range(keep + len(columns))])
     return work
 
@@ -287,15 +287,6 @@ def anchors(data: bytes, length: int) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(grams, length - width + 1).min(1) >> np.uint64(24)).astype(np.int64)
 
 
-def _anchors(length: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, seed, blocks in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "blocks")), strict=True):
-                own = anchors(stream(blocks, seed), length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key), pa.int64()), pa.array(own, pa.int64())], names=["key", "anchor"])
-    return work
-
-
 def _starts(found: list[dict], n: int, length: int) -> np.ndarray:
     """Places of tokens at which a shared string starts; strings start at whole tokens."""
     at = [np.arange(-(-run["first"] // WIDTH), (run["first"] + run["number"] - 1) // WIDTH + 1) for run in found]
@@ -372,15 +363,16 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url:
     names = [f"c{i}" for i in range(n)]
     made = [x.split()[0] for x in READ.split(", ")]
     path = work_path(pages.sparkSession, "blocks")
-    rows.mapInArrow(_read(n, size), schema + ", ".join(f"c{n + i} {x.split()[1]}" for i, x in enumerate(READ.split(", ")))).toDF(*names, *made).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(_read(n, size, length), schema + ", ".join(f"c{n + i} {x.split()[1]}" for i, x in enumerate(READ.split(", ")))).toDF(*names, *made).write.option("compression", "zstd").parquet(path)
     found = pages.sparkSession.read.parquet(path)
     # One row for pages of equal streams. Hosts with too few distinct pages have no boilerplate.
     sizes = _written(found.select("host", "fold").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES))
     asked = found.where("bytes > 0").join(sizes.select("host"), "host", "left_semi")
-    # A string on enough pages has its anchor on as many; only pages with such an anchor go to the suffix array.
-    anchors = asked.select("key", "host", "blocks").mapInArrow(_anchors(length), "key long, anchor long")
-    hot = _written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES).select("anchor"))
-    near = _written(anchors.join(hot, "anchor", "left_semi").select("key").distinct())
+    # A string on enough of a host's pages has its anchor on as many; only pages with such an anchor go to the suffix array.
+    each = asked.select("key", "host", F.explode("anchors").alias("anchor"))
+    counts = each.groupBy("host", "anchor").agg(F.count("*").alias("n")).where(F.col("n") >= min(PAGES, SURE_PAGES)).join(sizes, "host")
+    hot = _written(counts.where(F.col("n") >= min(SHARE, SURE_SHARE) * F.col("pages")).select("host", "anchor"))
+    near = _written(each.join(hot, ["host", "anchor"], "left_semi").select("key").distinct())
     units = _beside(asked, near, "left_semi").select("key", "bytes", "host", "blocks").mapInArrow(_streams, "key long, bytes long, data binary")
     shared = cut(repeats(units, WIDTH * length, across=True))
     first = asked.join(shared, ["key", "bytes"]).dropDuplicates(["key"])
