@@ -30,8 +30,8 @@ from dataweft.llm import induced
 from dataweft.llm.common import lengths, slices
 from dataweft.session import cut
 
-#: Bytes of a gram; bytes of regions in a shard, and in a group that a shard takes.
-GRAM, SHARD, GROUP = 16, 3 << 20, 2 << 20
+#: Most bytes of a gram; bytes of regions in a shard, and in a group that a shard takes.
+GRAM, SHARD, GROUP = 32, 3 << 20, 2 << 20
 TOP, PLACE = np.uint64(0xFFFFFFFFFF000000), np.uint64(0xFFFFFF)
 
 
@@ -41,10 +41,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each place on; doubles the span until it is reached."""
+def gram_bytes(length: int) -> int:
+    """Bytes of a gram: a power of two, at most a third of a string. Long grams seldom meet by chance, short ones make fewer regions."""
+    return 1 << (max(1, min(GRAM, length // 3)).bit_length() - 1)
+
+
+def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes from each place on; doubles the span until it is reached."""
     h, span = raw.astype(np.uint64) + np.uint64(1), 1
-    while span < GRAM:
+    while span < size:
         h = mixed(h[:-span] * np.uint64(0x9E3779B97F4A7C15) + h[span:])
         span *= 2
     return h
@@ -65,7 +70,8 @@ def regions(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     """(anchor hash, first start, number of starts) of a text's runs of strings."""
     if len(raw) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, width, step = gram_hashes(raw), length - GRAM + 1, 1 << 23
+    size = gram_bytes(length)
+    h, width, step = gram_hashes(raw, size), length - size + 1, 1 << 23
     anchor = []
     for a in range(0, len(raw) - length + 1, step):  # places fit the low bits of what is compared
         part = h[a : a + step + width - 1]
