@@ -163,3 +163,31 @@ def test_weights_learn_from_every_training_document(spark, docs, corpus):
     flat, seen = attention_lm.fit(docs.select("doc_id", "text"), ranks, tables)
     assert seen == sum(len(attention_lm.ids(own, attention_lm.words(r[1]))) for r in corpus)
     assert attention_lm.CONTEXT >= 8 and not np.array_equal(flat, attention_lm.start())
+
+
+def test_scores_equal_a_loop_over_ids():
+    rng = np.random.default_rng(8)
+    lm = attention_lm
+    tables = lm.Tables(rng.integers(0, 9, lm.SUBWORDS**2))
+    w = lm.unpack((lm.start() + rng.normal(0, 0.1, lm.WEIGHTS)).astype(np.float32))
+    seqs = [np.append(rng.integers(0, lm.END, n), lm.END).astype(np.int32) for n in (0, 1, 7, 31, 32, 33, 90)]
+
+    def part(z, pick):
+        return z[pick] - np.log(np.exp(z - z.max()).sum()) - z.max()
+
+    want = []
+    for seq in seqs:
+        total, start, done = 0.0, 0, 0
+        while done < len(seq):
+            given = [lm.END, *seq.tolist()]
+            for t in range(done - start, min(lm.WINDOW, len(seq) - start)):
+                e = np.array([w["e"][given[start + j]] + w["p"][j] for j in range(t + 1)])
+                q, k, v = e[t] @ w["q"] / np.sqrt(lm.WIDTH), e @ w["k"], e @ w["v"]
+                a = np.exp(k @ q)
+                h = e[t] + (a / a.sum()) @ v @ w["o"]
+                x, (hi, lo) = given[start + t], divmod(int(seq[start + t]), lm.HALF)
+                total += part(tables.upper[x] + h @ w["u"], hi) + part(tables.lower[x * lm.HALF + hi] + h @ w["l"], lo)
+            done = start + min(lm.WINDOW, len(seq) - start)
+            start += lm.STRIDE
+        want.append(total / np.log(10))
+    assert np.allclose(lm.score_sequences(w, tables, seqs), want, rtol=1e-4)
