@@ -11,7 +11,9 @@ them untouched in any pair, so it shows only those; other sets show all. Where o
 pair meets in a strong word, else in any: nothing is lost. There are some pieces more than d + 1, so that most sets are.
 
 In a first step each class meets one hub of its words; links that hold join components. Of the members of a word that are
-still in different components, few are paired; many meet in blocks, from which only pairs go out whose sketches are close. The
+still in different components, few are paired; many meet in blocks by size and bound, from which only pairs go out whose sketches are close.
+Shingles that no other class of a crowded word holds are in no intersection, which bounds the size of a class's partners; classes and
+blocks beyond these bounds never meet, so texts of one template that differ enough cost nothing. The
 Hamming distance of two sketches is a lower bound of the symmetric difference; pairs that it lets through have their sets compared.
 
 Defined results: texts without words and NULL texts have an empty set, no links and themselves as component; texts of fewer
@@ -36,8 +38,8 @@ from dataweft.session import cut
 
 #: Ratio of a band's sizes, pieces per allowed difference to choose from, shingles that make a word strong, steps that test one hub per class.
 RATIO, SPARE, STRONG, HUB_STEPS = 1.45, (1.05, 1.2, 1.4), 2, 1
-#: Classes in a block of a word's group, and in a group whose pairs are listed.
-BLOCK, FEW = 1024, 48
+#: Classes in a block of a word's group, in a group whose pairs are listed, and the ratio of sizes in a block.
+BLOCK, FEW, STEP = 1024, 48, 1.08
 MEMO = 300_000
 #: Classes (a hundred bytes each) that are sent to all tasks.
 SENT = 200_000
@@ -191,7 +193,7 @@ def _close(percent: int):
         out = {}
         for band in {r["band"] for r in block}:
             own = [r for r in block if r["band"] == band]
-            out[band] = {c: np.array([r[c] for r in own]) for c in ("node", "part", "n")} | {
+            out[band] = {c: np.array([r[c] for r in own]) for c in ("node", "part", "n", "most")} | {
                 c: np.array([np.frombuffer(r[c], np.uint16) for r in own]) for c in ("sketch", "next_sketch")}
         return out
 
@@ -206,7 +208,7 @@ def _close(percent: int):
                         s, t = u["sketch" if x >= y else "next_sketch"], v["sketch" if y >= x else "next_sketch"]
                         for i in range(0, len(s), 32):
                             total = u["n"][i : i + 32, None] + v["n"][None, :]
-                            fits = np.minimum(u["n"][i : i + 32, None], v["n"][None, :]) * 100 >= percent * np.maximum(u["n"][i : i + 32, None], v["n"][None, :])
+                            fits = (u["most"][i : i + 32, None] >= v["n"][None, :]) & (v["most"][None, :] >= u["n"][i : i + 32, None])
                             p, q = np.nonzero(fits & (u["part"][i : i + 32, None] != v["part"][None, :]) & (u["node"][i : i + 32, None] != v["node"][None, :]))
                             apart = np.concatenate([np.bitwise_count(s[i + p[k : k + 4096]] ^ t[q[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(p), 4096)] or [np.zeros(0, np.int64)])
                             keep = apart <= total[p, q] * (100 - percent) // (100 + percent)
@@ -217,6 +219,36 @@ def _close(percent: int):
     return work
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingle): 32 bits of each shingle of a class; classes that seem to share one have at worst a looser bound."""
+    for batch in batches:
+        for node, raw in zip(batch.column("node").to_pylist(), batch.column("members"), strict=True):
+            s = np.unique((np.frombuffer(raw.as_py(), np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node), pa.int64()), pa.array(s)], names=["node", "shingle"])
+
+
+def reach(crowded: DataFrame, details: DataFrame, percent: int) -> DataFrame:
+    """(node, n, most): the largest set that each class can be linked with among the ``crowded`` ones; classes that can be linked with none are left out."""
+    held = details.join(crowded.select("node").distinct(), "node", "left_semi")
+    each = held.select("node", "members").mapInArrow(_members, "node long, shingle int")
+    alone = each.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last").groupBy("node").agg(F.count("*").alias("alone"))
+    shared = F.col("n") - F.coalesce("alone", F.lit(0))
+    most = F.floor(shared * (100 + percent) / percent) - F.col("n")
+    return held.select("node", "n").join(alone, "node", "left").select("node", "n", most.alias("most")).where(F.col("most") * 100 >= F.col("n") * percent)
+
+
+def block_pairs(many: DataFrame, details: DataFrame, percent: int) -> DataFrame:
+    """(a_rows, b_rows): blocks of classes that share a word (``word``, ``node``, ``part``) and of which two may be linked by their sizes."""
+    rows = many.select("word", "node", "part").join(cut(reach(many, details, percent)), "node").withColumns({c: F.floor(F.log(x) / np.log(STEP)) for c, x in (("step", "n"), ("top", "most"))})
+    sizes = rows.groupBy("word", "step", "top").agg(F.count("*").alias("size"))
+    rows = rows.join(sizes, ["word", "step", "top"]).withColumn("place", F.struct("step", "top", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).alias("block")))
+    rows = rows.join(details.select("node", "band", "sketch", "next_sketch"), "node")
+    blocks = rows.groupBy("word", "place").agg(F.min("n").alias("least"), F.max("most").alias("most"),
+                                               F.collect_list(F.struct("node", "part", "n", "most", "band", "sketch", "next_sketch")).alias("a_rows"))
+    other = blocks.select("word", F.col("place").alias("b_place"), F.col("least").alias("b_least"), F.col("most").alias("b_most"), F.col("a_rows").alias("b_rows"))
+    return blocks.join(other, "word").where("place <= b_place and least <= b_most and b_least <= most").select("a_rows", "b_rows")
+
+
 def _linked(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,11 +319,7 @@ def classes_and_links(docs: DataFrame, words: int = 3, percent: int = 90) -> tup
     few, many = rest.where(F.col("size") <= FEW), rest.where(F.col("size") > FEW)
     other = few.select("word", F.col("node").alias("b"), F.col("part").alias("b_part"))
     listed = few.join(other, "word").where("node < b and part <> b_part").select(F.col("node").alias("a"), "b")
-    blocks = many.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))).join(details.select("node", "n", "band", "sketch", "next_sketch"), "node")
-    blocks = blocks.groupBy("word", "block").agg(F.collect_list(F.struct("node", "part", "n", "band", "sketch", "next_sketch")).alias("a_rows"))
-    other = blocks.select("word", F.col("block").alias("b_block"), F.col("a_rows").alias("b_rows"))
-    met = blocks.join(other, "word").where("block <= b_block").select("a_rows", "b_rows")
-    close = met.mapInArrow(_close(percent), "a long, b long")
+    close = block_pairs(many, details, percent).mapInArrow(_close(percent), "a long, b long")
     cross = listed.unionByName(close).distinct().join(tested, ["a", "b"], "left_anti")
     return rows, classes.select("node", "name", "n", "least"), cut(links.unionByName(verified(cross, details, percent)))
 
