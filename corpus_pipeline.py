@@ -24,14 +24,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of every group that links of similarity 0.8 or more connect.
+    """One document of every group that links of similarity 0.8 or more connect: that of the least id, rows without an id last, then by hashes of all columns.
 
-    Repeated rows are one document; documents without words stay, and so do those without an id, which no link can name.
+    Rows equal in all columns are one document; others without words stay. Texts that share an id are documents of their own.
     """
-    groups = parity_join.components(docs, words=5, percent=80)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.xxhash64(whole).alias("h"), F.xxhash64(whole, F.lit(1)).alias("g"))
+    groups = parity_join.components(docs.select(key.alias("doc_id"), "text"), words=5, percent=80)
+    stay = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("key")).distinct()
+    return docs.select(whole.alias("row"), key.alias("key")).join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from dataweft.llm import mixing, parity_join
 from dataweft.llm.queries import load
+from llm_rows import corpus, docs  # noqa: F401
+from test_text import brute_components
 
 QUERIES, ORACLES = load()
 
@@ -68,6 +70,25 @@ def test_pipeline(spark, tmp_path):
     assert decoded.count() == 0
 
 
+def test_one_document_of_each_group_stays(spark, docs, corpus):  # noqa: F811
+    """Rows without an id and texts that share one are documents too: each group keeps one row, the least."""
+    near = corpus[2][1].split()
+    more = [(None, corpus[2][1], "yy", *corpus[2][3:]), (None, " ".join([*near[:-1], "other"]), *corpus[2][2:]), (2, " ".join(f"w{i}" for i in range(30)), *corpus[2][2:]),
+            (None, " ".join(f"v{i}" for i in range(30)), *corpus[2][2:]), (None, " ".join(f"v{i}" for i in range(30)), "zz", *corpus[2][3:])]
+    rows = list(dict.fromkeys([*corpus, *more]))
+    numbered = [(k, r[1]) for k, r in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)))]  # brute force over places instead of ids
+    by_place = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    groups = {}
+    for (place, _), (n, head) in zip(numbered, brute_components(numbered, 5, 80), strict=True):
+        groups.setdefault((head, place if not n else None), []).append(by_place[place])
+    frame = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, frame, DATA).select(*docs.columns).collect()]
+    assert len(got) == len(set(got)) == len(groups)
+    for members in groups.values():
+        stay = [r for r in got if r in members]
+        assert len(stay) == 1 and (stay[0][0] is None, stay[0][0]) == min(((r[0] is None, r[0]) for r in members), key=lambda x: (x[0], x[1] or 0))
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:4]:
