@@ -274,7 +274,7 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def anchors(data: bytes, length: int) -> np.ndarray:
-    """Numbers of 40 bits such that two streams with a string of ``length`` tokens in common share one: the least gram of every such string."""
+    """Numbers of 32 bits such that two streams with a string of ``length`` tokens in common share one: the least gram of every such string."""
     tokens = np.frombuffer(data, "<u4").astype(np.uint64)
     width = min(GRAM, length)
     n = len(tokens) - length + 1
@@ -284,7 +284,7 @@ def anchors(data: bytes, length: int) -> np.ndarray:
     for i in range(width):
         grams = (grams ^ tokens[i : i + len(grams)]) * np.uint64(0x9E3779B97F4A7C15)
         grams ^= grams >> np.uint64(29)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, length - width + 1).min(1) >> np.uint64(24)).astype(np.int64)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, length - width + 1).min(1) >> np.uint64(32)).astype(np.int64)
 
 
 def _starts(found: list[dict], n: int, length: int) -> np.ndarray:
