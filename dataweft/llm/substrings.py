@@ -23,7 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataweft.llm import induced
@@ -246,12 +247,15 @@ def repeats(units: DataFrame, length: int, across: bool = False) -> DataFrame:
     """
     seen = units.where(F.col("bytes") >= length).select("key", "data").mapInArrow(
         _occurrences(length, across), "key long, bytes long, anchor long, region long, starts short, start int, more array<int>")
-    group, region = Window.partitionBy("anchor"), Window.partitionBy("anchor", "region")
-    often = F.min("key").over(region) < F.max("key").over(region)
-    if not across:
-        often = F.sum(F.when(F.col("more").isNull(), 1).otherwise(2)).over(region) > 1
-    seen = seen.repartition("anchor").withColumn("many", often).withColumn("low", F.min("region").over(group)).withColumn("high", F.max("region").over(group))
-    met = cut(seen.where("many or low < high").select("key", "bytes", "anchor", "region", "starts", "start", "more", "many", (F.col("low") < F.col("high")).alias("mixed")))
+    # Kept by the executors while anchors are counted; lost parts are made again from the texts, with the same content.
+    seen = seen.persist(StorageLevel.MEMORY_AND_DISK)
+    often = F.min("key") < F.max("key") if across else F.sum(F.when(F.col("more").isNull(), 1).otherwise(2)) > 1
+    # An anchor of very many regions is counted by partial sums, and adaptive execution splits it in the joins that hand the counts back.
+    anchors = seen.groupBy("anchor").agg(often.alias("again"), (F.min("region") < F.max("region")).alias("mixed")).where("again or mixed")
+    near = seen.join(anchors.select("anchor", "mixed"), "anchor")
+    many = near.groupBy("anchor", "region").agg(often.alias("many"))
+    met = cut(near.join(many, ["anchor", "region"]).where("many or mixed").select("key", "bytes", "anchor", "region", "starts", "start", "more", "many", "mixed"))
+    seen.unpersist()
     wanted = met.where("mixed").groupBy("anchor", "region").agg(F.min(F.struct("key", "bytes", "start", "starts", "many")).alias("w"))
     wanted = wanted.select("w.key", "w.bytes", F.struct("anchor", "region", "w.start", "w.starts", "w.many").alias("w")).groupBy("key", "bytes").agg(F.collect_list("w").alias("wanted"))
     beside = units.join(wanted, ["key", "bytes"]).select("key", "bytes", "data", "wanted")
