@@ -249,6 +249,7 @@ def repeats(units: DataFrame, length: int, across: bool = False) -> DataFrame:
         _occurrences(length, across), "key long, bytes long, anchor long, region long, starts short, start int, more array<int>")
     # Kept by the executors while anchors are counted; lost parts are made again from the texts, with the same content.
     seen = seen.persist(StorageLevel.MEMORY_AND_DISK)
+    seen.count()  # filled once, not by several stages at a time
     often = F.min("key") < F.max("key") if across else F.sum(F.when(F.col("more").isNull(), 1).otherwise(2)) > 1
     # An anchor of very many regions is counted by partial sums, and adaptive execution splits it in the joins that hand the counts back.
     anchors = seen.groupBy("anchor").agg(often.alias("again"), (F.min("region") < F.max("region")).alias("mixed")).where("again or mixed")
