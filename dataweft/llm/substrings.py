@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from dataweft.llm import induced
 from dataweft.llm.common import lengths, slices
+from dataweft.operators.ordering import attach
 from dataweft.session import cut
 
 #: Most bytes of a gram; bytes of regions in a shard, and in a group that a shard takes.
@@ -253,9 +254,9 @@ def repeats(units: DataFrame, length: int, across: bool = False) -> DataFrame:
     often = F.min("key") < F.max("key") if across else F.sum(F.when(F.col("more").isNull(), 1).otherwise(2)) > 1
     # An anchor of very many regions is counted by partial sums, and adaptive execution splits it in the joins that hand the counts back.
     anchors = seen.groupBy("anchor").agg(often.alias("again"), (F.min("region") < F.max("region")).alias("mixed")).where("again or mixed")
-    near = seen.join(anchors.select("anchor", "mixed"), "anchor")
+    near = attach(seen, anchors.select("anchor", "mixed"), ["anchor"])
     many = near.groupBy("anchor", "region").agg(often.alias("many"))
-    met = cut(near.join(many, ["anchor", "region"]).where("many or mixed").select("key", "bytes", "anchor", "region", "starts", "start", "more", "many", "mixed"))
+    met = cut(attach(near, many, ["anchor", "region"]).where("many or mixed").select("key", "bytes", "anchor", "region", "starts", "start", "more", "many", "mixed"))
     seen.unpersist()
     wanted = met.where("mixed").groupBy("anchor", "region").agg(F.min(F.struct("key", "bytes", "start", "starts", "many")).alias("w"))
     wanted = wanted.select("w.key", "w.bytes", F.struct("anchor", "region", "w.start", "w.starts", "w.many").alias("w")).groupBy("key", "bytes").agg(F.collect_list("w").alias("wanted"))
