@@ -123,11 +123,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node each node is connected to, directly or through others.
 
     Each round links the larger neighbours of a node to its smallest neighbour, then the node and its smaller
-    neighbours to the smallest of them, until only stars are left. Minima are pre-aggregated per task; the join that
-    hands them back is an equi-join whose hot keys adaptive execution splits, and no neighbour list is ever built.
+    neighbours to the smallest of them, until only stars are left: each node has one smaller neighbour, which has none.
+    Minima are pre-aggregated per task; the join that hands them back is an equi-join whose hot keys adaptive execution
+    splits, and no neighbour list is ever built.
     """
-    pairs = cut(edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct())  # the edges are read once
-    nodes = pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
+    pairs = cut(edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")))  # the edges are read once
+    loops = cut(pairs.where("hi = lo").select(F.col("hi").alias("node")).distinct())
     stars = pairs.where("hi <> lo")
     for _ in range(max_rounds):
         # large star: every larger neighbour of u moves to the smallest node around u, which is u itself
@@ -142,11 +143,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
                                       .otherwise(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo"),
                                                                   F.lit(True).alias("moved"))))).alias("e")).select("e.*")
         after = cut(small.groupBy("hi", "lo").agg(F.max("moved").alias("moved")))
-        changed = after.agg(F.max("moved")).first()[0]
         stars = after.select("hi", "lo")
-        if not changed:
+        # all are stars unless a node is a member twice, or a member and a centre
+        places = stars.select(F.explode(F.array(F.struct(F.col("hi").alias("node"), F.lit(1).alias("n")), F.struct(F.col("lo").alias("node"), F.lit(0).alias("n"))))
+                              .alias("p")).select("p.*").groupBy("node").agg(F.sum("n").alias("n"), F.max(F.col("n") == 0).alias("centre"))
+        if not after.agg(F.max("moved")).first()[0] or places.where((F.col("n") > 1) | ((F.col("n") > 0) & F.col("centre"))).isEmpty():
             break
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    return (nodes.join(stars.withColumnRenamed("hi", "node"), "node", "left")
-            .select("node", F.coalesce("lo", "node").alias("component")))
+    found = stars.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
+        stars.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+    if loops.isEmpty():
+        return found
+    alone = loops.join(found, "node", "left_anti")
+    return found.unionByName(alone.select("node", F.col("node").alias("component")))

@@ -161,3 +161,20 @@ def test_hot_keys_are_split(spark, skew_settings, monkeypatch):
     star = spark.range(1, 300_000).selectExpr("0L AS src", "id AS dst")
     assert graph.connected_components(star).where("component <> 0").count() == 0
     assert any("skew=true" in p for p in plans)
+
+
+def test_trees_need_no_round_to_be_sure(spark, monkeypatch):
+    """Trees whose nodes are named from the root on are stars after one round, which another needn't confirm; nodes are not made distinct first."""
+    cuts = []
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (cuts.append(df), cut(df))[1])
+    edges = [(f"c{i % 4}", f"o{i}") for i in range(12)] + [(f"o{i}", f"x{i}-{j}") for i in range(12) for j in range(3)] + [("z", "z"), ("c0", "c0")]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == components_by_hand(edges) and len(cuts) == 3
+
+
+def test_a_member_of_two_stars_is_not_the_end(spark):
+    """After one round v belongs to the stars of a and b, of which neither belongs to another."""
+    edges = [("w1", "v"), ("w1", "a"), ("w2", "v"), ("w2", "b")]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == components_by_hand(edges)
