@@ -3,6 +3,7 @@ from datetime import date
 from decimal import Decimal
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -160,3 +161,33 @@ def test_factor_model_beats_popularity(spark):
     flat = users.select("user", F.array(F.lit(1.0)).alias("vec"))
     popular = recsys.auc_all_items(pos, flat, counts).agg(F.avg("auc")).first()[0]
     assert auc > 0.55 and auc > popular
+
+
+def test_copies_of_rows_do_not_grow_with_the_tables(spark, monkeypatch):
+    """Without a block size a user travels at most once for each of a fixed number of blocks of items, an item for one of users."""
+    monkeypatch.setattr(recsys, "LEAST_ROWS", 2)
+    users = spark.createDataFrame([(i, [1.0]) for i in range(200)], "user bigint, vec array<double>")
+    items = spark.createDataFrame([(i, [1.0]) for i in range(90)], "item bigint, vec array<double>")
+    a, b = recsys._cells(users, "user", items, "item", None)
+    assert a.count() <= 200 * recsys.ITEM_BLOCKS and b.count() <= 90 * recsys.USER_BLOCKS
+
+
+@pytest.mark.parametrize("few", [0, 8])
+def test_tiles_of_a_block(monkeypatch, few):
+    """Best items and wins of a block that is larger than a tile, ties and known items included, as by hand."""
+    for name, value in (("TILE_USERS", 4), ("TILE_ITEMS", 7), ("FEW", few)):
+        monkeypatch.setattr(recsys, name, value)
+    rng = np.random.default_rng(5)
+    u, v, ids = rng.integers(-2, 3, (11, 3)).astype(float), rng.integers(-2, 3, (60, 3)).astype(float), rng.permutation(200)[:60]
+    items, s = pd.DataFrame({"item": ids, "vec": list(v)}), u @ v.T
+    known = [ids[rng.permutation(60)[:k]].tolist() + [999] if k else None for k in range(11)]
+    got = recsys.best_items(5)(pd.DataFrame({"user": range(11), "vec": list(u), "_known": known}), items)
+    want = {(i, ids[j]) for i in range(11) for j in sorted((j for j in range(60) if ids[j] not in (known[i] or [])), key=lambda j: (-s[i, j], ids[j]))[:5]}
+    assert set(zip(got["user"], got["item"], strict=True)) == want
+    own = [sorted(rng.permutation(60)[:k + 1]) for k in range(8)]
+    left = pd.DataFrame({"user": range(8), "vec": list(u[:8]), "items": [ids[o] for o in own], "scores": [s[i, o] for i, o in enumerate(own)]})
+    left.loc[0, "items"][0] = 998  # an item of another block
+    wins = [sum(2 * (s[i, a] > s[i, b]) + (s[i, a] == s[i, b]) for a in o for b in range(60) if b != a or i == 0) for i, o in enumerate(own)]
+    for key, n in ((0, [len(o) for o in own]), (1, [0] * 8)):
+        out = recsys._wins((3, key), left, items)
+        assert out["wins"].tolist() == wins and out["p"].tolist() == n
