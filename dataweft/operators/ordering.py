@@ -63,20 +63,22 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "i
     return left.join(renamed, cond, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str,
-                  name: str = "running") -> DataFrame:
-    """Inclusive running sum of an integer ``weight`` per group, a hot group being split over tasks."""
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str | Sequence[str],
+                  name: str | Sequence[str] = "running") -> DataFrame:
+    """Inclusive running sum of an integer ``weight`` (or of several) per group, a hot group being split over tasks."""
     keys = list(keys)
+    weights, names = ([x] if isinstance(x, str) else list(x) for x in (weight, name))
+    numbers = range(len(weights))
     parts = _ranged(df, _cols([*keys, *order])).drop("_place")
-    pieces = parts.groupBy(*keys, "_task").agg(F.sum(weight).alias("_sum"))
+    pieces = parts.groupBy(*keys, "_task").agg(*[F.sum(weights[i]).alias(f"_sum{i}") for i in numbers])
     # at most one row per (group, task): a hot group has as many rows here as there are tasks
     before = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_task") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.select(*keys, "_task", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    starts = pieces.select(*keys, "_task", *[F.coalesce(F.sum(f"_sum{i}").over(before), F.lit(0)).alias(f"_start{i}") for i in numbers])
     inside = Window.partitionBy(*keys, "_task").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = parts.withColumn("_local", F.sum(weight).over(inside))
+    local = parts.select("*", *[F.sum(weights[i]).over(inside).alias(f"_local{i}") for i in numbers])
     return attach(local, starts, [*keys, "_task"]).select(
-        *df.columns, (F.col("_local") + F.col("_start")).alias(name))
+        *df.columns, *[(F.col(f"_local{i}") + F.col(f"_start{i}")).alias(names[i]) for i in numbers])
 
 
 def value_table(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -446,16 +446,28 @@ def _marked(scores: DataFrame, sets: dict[str, DataFrame]) -> DataFrame:
 
 def evaluate(scores: DataFrame, train: DataFrame, test: DataFrame, k_precision: int = 12, k_recall: int = 10,
              mask_train: bool = False) -> DataFrame:
-    """One row per set (train, test) with precision, recall and AUC; known items stay in unless masked."""
+    """One row per set (train, test) with precision, recall and AUC; known items stay in unless masked.
+
+    The sets are marked in the scores, which are then ranked once for both and go through one running total.
+    """
+    sets = {"train": train, "test": test}
+    marked = cut(_marked(scores.select("user", "item", "score"), sets))
+    counted = {"train": F.lit(True), "test": F.col("train").isNull() if mask_train else F.lit(True)}
+    hits = {name: cut(_hits(marked.where(counted[name]), names, k_precision, k_recall))
+            for name, names in ({"train": ["train"], "test": ["test"]} if mask_train else {"train": [*sets]}).items()}
+    levels = marked.groupBy("user", "score").agg(
+        *[F.count_if(counted[s] & F.col(s).isNotNull()).alias(f"pos_{s}") for s in sets],
+        *[F.count_if(counted[s] & F.col(s).isNull()).alias(f"neg_{s}") for s in sets])
+    ranked = running_total(levels, ["user"], ["score"], [f"neg_{s}" for s in sets], [f"cum_{s}" for s in sets])
+    col = lambda c, s: F.col(f"{c}_{s}")
+    totals = ranked.groupBy("user").agg(*[e for s in sets for e in (
+        F.sum(col("pos", s) * (col("cum", s) - col("neg", s) / 2)).alias(f"wins_{s}"), F.sum(f"pos_{s}").alias(f"p_{s}"), F.sum(f"neg_{s}").alias(f"n_{s}"))])
+    each = {s: F.when(col("n", s) > 0, col("wins", s) / (col("p", s) * col("n", s))).otherwise(0.5) for s in sets}
+    aucs = cut(totals.agg(*[F.avg(F.when(col("p", s) > 0, each[s])).alias(s) for s in sets]))
     rows = []
-    scores, train, test = cut(scores.select("user", "item", "score")), cut(train), cut(test)  # each is read several times
-    for name, truth in (("train", train), ("test", test)):
-        used = rel.anti(scores, train, ["user", "item"]) if mask_train and name == "test" else scores
-        precision = precision_at_k(used, truth, k_precision).scalar()
-        recall = recall_at_k(used, truth, k_recall).scalar()
-        auc = auc_per_user(used, truth).agg(F.avg("auc")).scalar()
-        rows.append(scores.sparkSession.range(1).select(
-            F.lit(name).alias("set"), precision.alias("precision"), recall.alias("recall"), auc.alias("auc")))
+    for name, truth in sets.items():
+        shares = _shares(hits.get(name, hits["train"]), truth, name, k_precision, k_recall)
+        rows.append(aucs.select(F.lit(name).alias("set"), shares["precision"].alias("precision"), shares["recall"].alias("recall"), F.col(name).alias("auc")))
     return rows[0].unionByName(rows[1])
 
 

@@ -147,7 +147,7 @@ def reco_prepared(spark, d):
 # -- metrics on given scores ------------------------------------------------------------------------------------------
 
 def _sets(spark, d):
-    s = scored(spark, d)
+    s = cut(scored(spark, d))  # read three times
     return (s.select("user", "item", "score"), s.where("in_train = 1").select("user", "item"),
             s.where("in_test = 1").select("user", "item"))
 

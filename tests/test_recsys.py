@@ -191,3 +191,19 @@ def test_tiles_of_a_block(monkeypatch, few):
     for key, n in ((0, [len(o) for o in own]), (1, [0] * 8)):
         out = recsys._wins((3, key), left, items)
         assert out["wins"].tolist() == wins and out["p"].tolist() == n
+
+
+def test_both_sets_are_ranked_once(spark, monkeypatch):
+    """The scores of both sets go through one numbering of ranges, masked or not, with the figures of each set alone."""
+    rng = random.Random(2)
+    s = spark.createDataFrame([(u, i, float(rng.randrange(6))) for u in range(9) for i in range(20)], "user int, item int, score double")
+    train, test = (spark.createDataFrame([(u, rng.randrange(25)) for u in range(k, 10) for _ in range(4)], "user int, item int") for k in (0, 2))
+    totals, real = [], recsys.running_total
+    monkeypatch.setattr(recsys, "running_total", lambda *a: (totals.append(a), real(*a))[1])
+    got = {r.set: r for r in recsys.evaluate(s, train, test, 3, 5).collect()}
+    assert len(totals) == 1
+    masked = recsys.evaluate(s, train, test, 3, 5, mask_train=True).where("set = 'test'").first()
+    for row, used, truth in ((got["train"], s, train), (got["test"], s, test), (masked, s.join(train, ["user", "item"], "left_anti"), test)):
+        assert np.isclose(row.precision, recsys.precision_at_k(used, truth, 3).first()[0])
+        assert np.isclose(row.recall, recsys.recall_at_k(used, truth, 5).first()[0])
+        assert np.isclose(row.auc, recsys.auc_per_user(used, truth).agg(F.avg("auc")).first()[0])
