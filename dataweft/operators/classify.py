@@ -248,5 +248,5 @@ def fit_grid(points: DataFrame, cs: Sequence[float], losses: Sequence[str] = LOS
 
 
 def refit(points: DataFrame, kind: str, c: float) -> Line:
-    """The chosen configuration fitted again, as a rule on a larger set."""
-    return fit_linear_svc(points, c) if kind == "hinge" else fit_robust_svc(points, c, CUT_OFF[kind])
+    """The chosen configuration fitted again, as a rule on a larger set, by the rounds of ``fit_grid``: a job each, as few on many points."""
+    return fit_grid(points, (c,), (kind,))[0][2]
