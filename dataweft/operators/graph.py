@@ -56,7 +56,7 @@ def pagerank(edges: DataFrame, iters: int = 10, damping: float = 0.85, group: Se
     Every source starts with 1; a page's next rank is ``1 - damping + damping * sum(rank / outdegree)`` over its
     in-links. Pages without in-links leave the set after a round and ranks of pages without out-links pass nothing on.
 
-    Links are partitioned by source once; a round moves only the partial sums. The links of a source with more than
+    Links and degrees are partitioned by source once; a round moves only the partial sums. The links of a source with more than
     ``slice_edges`` of them are spread over slices, and its rank is sent to each slice.
     """
     keys = on = [*group, "src"]
@@ -71,26 +71,28 @@ def pagerank(edges: DataFrame, iters: int = 10, damping: float = 0.85, group: Se
     tasks = max(spark.sparkContext.defaultParallelism, -(-(n_links or 0) // LINKS_PER_TASK))
 
     with shuffle_partitions(spark, tasks):
-        links = attach(once, sources, keys)
+        placed = lambda df, by: df.repartition(tasks, *by).sortWithinPartitions(*by).persist(StorageLevel.MEMORY_AND_DISK)
+        links = once
         if hot:
-            links = links.withColumn("slice", F.pmod(F.xxhash64("dst"), F.col("slices")).cast("int"))
+            links = attach(once, sources.drop("degree"), keys).withColumn("slice", F.pmod(F.xxhash64("dst"), F.col("slices")).cast("int")).drop("slices")
             on = [*keys, "slice"]
-        links = links.drop("slices").repartition(tasks, *on).sortWithinPartitions(*on).persist(StorageLevel.MEMORY_AND_DISK)
-        links.count()  # only a filled cache tells the planner how it is partitioned and sorted
+        links, degrees = placed(links, on), placed(sources, keys)
+        for df in (links, degrees):
+            df.count()  # only a filled cache tells the planner how it is partitioned and sorted
 
         ranks = sources.select(*group, F.col("src").alias("page"), F.lit(1.0).alias("rank"))
         for i in range(iters):
-            out = ranks.withColumnRenamed("page", "src")
+            out = degrees.join(ranks.withColumnRenamed("page", "src"), keys).withColumn("part", F.col("rank") / F.col("degree"))
             if hot:
-                out = out.join(sources.select(*keys, "slices"), keys)
-                out = out.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-            shares = links.join(out, on).select(*group, "dst", (F.col("rank") / F.col("degree") * F.col("times")).alias("share"))
+                out = out.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+            shares = links.join(out.select(*on, "part"), on).select(*group, "dst", (F.col("part") * F.col("times")).alias("share"))
             ranks = (shares.groupBy(*group, F.col("dst").alias("page")).agg(F.sum("share").alias("_c"))
                      .select(*group, "page", (F.lit(1 - damping) + F.lit(damping) * F.col("_c")).alias("rank")))
             if (i + 1) % cut_every == 0 and i + 1 < iters:
                 ranks = cut(ranks)
         ranks = cut(ranks)
     links.unpersist()
+    degrees.unpersist()
     return ranks
 
 
