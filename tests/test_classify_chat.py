@@ -149,3 +149,10 @@ def test_experiments(spark):
     known = spark.createDataFrame([("a", 0.3992, 131943, .1202), ("b", 0.363, 99000, .1173), ("c", 0.363, 90000, .118)],
                                   "name string, accuracy double, params int, mse double")
     assert experiments.best_config(known).first().name == "b"
+
+
+@pytest.mark.parametrize("kind", ["hinge", "ramp"])
+def test_refit_takes_the_rounds_of_the_grid(spark, monkeypatch, kind):
+    monkeypatch.setattr(classify, "_svc", None)
+    p = separable(spark, 60)
+    assert classify.correct_count(p, classify.refit(p, kind, 10.0), "margin").first()[0] >= 58
