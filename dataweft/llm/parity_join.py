@@ -11,7 +11,8 @@ them untouched in any pair, so it shows only those; other sets show all. Where o
 pair meets in a strong word, else in any: nothing is lost. There are some pieces more than d + 1, so that most sets are.
 
 In a first step each class meets one hub of its words; links that hold join components. Of the members of a word that are
-still in different components, few are paired; many meet in blocks by size and bound, from which only pairs go out whose sketches are close.
+still in different components, few are paired; many meet in blocks by size and bound. From these go out the classes whose sketch is close to that
+of another component; their sets meet again, and only links that join components come out, so that near copies don't become all their pairs.
 Shingles that no other class of a crowded word holds are in no intersection, which bounds the size of a class's partners; classes and
 blocks beyond these bounds never meet, so texts of one template that differ enough cost nothing. The
 Hamming distance of two sketches is a lower bound of the symmetric difference; pairs that it lets through have their sets compared.
@@ -40,6 +41,8 @@ from dataweft.session import cut
 RATIO, SPARE, STRONG, HUB_STEPS = 1.45, (1.05, 1.2, 1.4), 2, 1
 #: Classes in a block of a word's group, in a group whose pairs are listed, and the ratio of sizes in a block.
 BLOCK, FEW, STEP = 1024, 48, 1.08
+#: Bytes of the sets of a block's classes, about.
+BLOCK_BYTES = 16 << 20
 MEMO = 300_000
 #: Classes (a hundred bytes each) that are sent to all tasks.
 SENT = 200_000
@@ -186,39 +189,81 @@ def _near(percent: int):
     return work
 
 
+def _by_band(rows: list[dict], columns: tuple[str, ...]) -> dict[int, dict[str, np.ndarray]]:
+    """By band: what the rows have of it, sorted by nothing in particular; ``at`` is the place among the rows."""
+    out = {}
+    for band in {r["band"] for r in rows}:
+        own = [(i, r) for i, r in enumerate(rows) if r["band"] == band]
+        out[band] = {c: np.array([r[c] for _, r in own]) for c in columns} | {"at": np.array([i for i, _ in own])} | {
+            c: np.array([np.frombuffer(r[c], np.uint16) for _, r in own]) for c in ("sketch", "next_sketch")}
+    return out
+
+
+def _sketch_pairs(left: dict, right: dict, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place on the left, place on the right, differing bits) of the pairs that are in different components, may be linked by their
+    sizes and have sketches that are close enough."""
+    for x, u in left.items():
+        for y in {x - 1, x, x + 1} & right.keys():
+            v = right[y]
+            s, t = u["sketch" if x >= y else "next_sketch"], v["sketch" if y >= x else "next_sketch"]
+            for i in range(0, len(s), 32):
+                total = u["n"][i : i + 32, None] + v["n"][None, :]
+                fits = (u["most"][i : i + 32, None] >= v["n"][None, :]) & (v["most"][None, :] >= u["n"][i : i + 32, None])
+                p, q = np.nonzero(fits & (u["part"][i : i + 32, None] != v["part"][None, :]))
+                apart = np.concatenate([np.bitwise_count(s[i + p[k : k + 4096]] ^ t[q[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(p), 4096)] or [np.zeros(0, np.int64)])
+                keep = apart <= total[p, q] * (100 - percent) // (100 + percent)
+                yield u["at"][i + p[keep]], v["at"][q[keep]], apart[keep]
+
+
 def _close(percent: int):
-    """The pairs of two blocks that are in different components and whose sketches are close enough."""
-    def rows(block: list[dict]) -> dict[int, dict[str, np.ndarray]]:
-        """By band: what the block has of it, sorted by nothing in particular."""
-        out = {}
-        for band in {r["band"] for r in block}:
-            own = [r for r in block if r["band"] == band]
-            out[band] = {c: np.array([r[c] for r in own]) for c in ("node", "part", "n", "most")} | {
-                c: np.array([np.frombuffer(r[c], np.uint16) for r in own]) for c in ("sketch", "next_sketch")}
-        return out
+    """(meeting, node, part, most): of two blocks the classes that have a close one in another component; never the pairs, whose number is a square."""
+    columns = ("part", "n", "most")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-            for left, right in zip(batch.column("a_rows").to_pylist(), batch.column("b_rows").to_pylist(), strict=True):
-                left, right = rows(left), rows(right)
-                for x, u in left.items():
-                    for y in {x - 1, x, x + 1} & right.keys():
-                        v = right[y]
-                        s, t = u["sketch" if x >= y else "next_sketch"], v["sketch" if y >= x else "next_sketch"]
-                        for i in range(0, len(s), 32):
-                            total = u["n"][i : i + 32, None] + v["n"][None, :]
-                            fits = (u["most"][i : i + 32, None] >= v["n"][None, :]) & (v["most"][None, :] >= u["n"][i : i + 32, None])
-                            p, q = np.nonzero(fits & (u["part"][i : i + 32, None] != v["part"][None, :]) & (u["node"][i : i + 32, None] != v["node"][None, :]))
-                            apart = np.concatenate([np.bitwise_count(s[i + p[k : k + 4096]] ^ t[q[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(p), 4096)] or [np.zeros(0, np.int64)])
-                            keep = apart <= total[p, q] * (100 - percent) // (100 + percent)
-                            ends = np.stack((u["node"][i + p[keep]], v["node"][q[keep]]), axis=1)
-                            found.append(np.sort(ends, axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            for a, b in zip(batch.column("a_rows"), batch.column("b_rows"), strict=True):
+                a, b = a.as_py(), b.as_py()
+                hit = np.zeros(len(a), bool), np.zeros(len(b), bool)
+                for p, q, _ in _sketch_pairs(_by_band(a, columns), _by_band(b, columns), percent):
+                    hit[0][p], hit[1][q] = True, True
+                rows = {r["node"]: r for block, h in zip((a, b), hit, strict=True) for r, x in zip(block, h, strict=True) if x}
+                nodes = [*sorted(r["node"] for r in a), -1, *sorted(r["node"] for r in b)]
+                meeting = xxhash.xxh3_64_intdigest(np.array(nodes, np.int64).tobytes()) >> 1  # equal ones would only be compared together
+                yield pa.RecordBatch.from_arrays([pa.array([meeting] * len(rows), pa.int64()), *(pa.array([r[c] for r in rows.values()], pa.int64()) for c in ("node", "part", "most"))],
+                                                 names=["meeting", "node", "part", "most"])
     return work
 
 
+def _joined(percent: int):
+    """Linked pairs (a, b) of a meeting that join all its components that links join: closest first, none whose ends are joined already."""
+    def work(met: pa.Table) -> pa.Table:
+        rows = met.select(["node", "part", "n", "most", "band", "sketch", "next_sketch"]).to_pylist()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in met.column("members")]
+        banded = _by_band(rows, ("part", "n", "most"))
+        found = [(p[p < q], q[p < q], d[p < q]) for p, q, d in _sketch_pairs(banded, banded, percent)]
+        p, q, apart = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
+        order = np.argsort(apart, kind="stable")
+        part = np.unique([r["part"] for r in rows], return_inverse=True)[1]
+        links = []
+        for k in range(0, len(order), 4096):
+            at = order[k : k + 4096]
+            at = at[part[p[at]] != part[q[at]]]
+            for i, j in zip(p[at].tolist(), q[at].tolist(), strict=True):
+                if part[i] != part[j]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        part[part == part[j]] = part[i]
+                        links.append(sorted((rows[i]["node"], rows[j]["node"])))
+        return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate("ab")})
+    return work
+
+
+def block_links(blocks: DataFrame, details: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the classes of ``block_pairs``, in a number that grows with the classes. The sets of those that have a close one travel to where these meet."""
+    met = blocks.mapInArrow(_close(percent), "meeting long, node long, part long, most long").distinct()
+    return met.join(details, "node").groupBy("meeting").applyInArrow(_joined(percent), "a long, b long").distinct()
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, shingle): 32 bits of each shingle of a class; classes that seem to share one have at worst a looser bound."""
     for batch in batches:
@@ -241,7 +286,8 @@ def block_pairs(many: DataFrame, details: DataFrame, percent: int) -> DataFrame:
     """(a_rows, b_rows): blocks of classes that share a word (``word``, ``node``, ``part``) and of which two may be linked by their sizes."""
     rows = many.select("word", "node", "part").join(cut(reach(many, details, percent)), "node").withColumns({c: F.floor(F.log(x) / np.log(STEP)) for c, x in (("step", "n"), ("top", "most"))})
     sizes = rows.groupBy("word", "step", "top").agg(F.count("*").alias("size"))
-    rows = rows.join(sizes, ["word", "step", "top"]).withColumn("place", F.struct("step", "top", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).alias("block")))
+    each = F.pow(F.lit(STEP), F.col("step") + 1) * (8 / BLOCK_BYTES)  # the share of a block that a set of the step takes
+    rows = rows.join(sizes, ["word", "step", "top"]).withColumn("place", F.struct("step", "top", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") * F.greatest(F.lit(1 / BLOCK), each)).cast("long")).alias("block")))
     rows = rows.join(details.select("node", "band", "sketch", "next_sketch"), "node")
     blocks = rows.groupBy("word", "place").agg(F.min("n").alias("least"), F.max("most").alias("most"),
                                                F.collect_list(F.struct("node", "part", "n", "most", "band", "sketch", "next_sketch")).alias("a_rows"))
@@ -317,11 +363,13 @@ def classes_and_links(docs: DataFrame, words: int = 3, percent: int = 90) -> tup
     rest = placed.join(mixed_words, "word")
     rest = cut(rest.join(rest.groupBy("word").agg(F.count("*").alias("size")), "word"))
     few, many = rest.where(F.col("size") <= FEW), rest.where(F.col("size") > FEW)
+    close = cut(block_links(block_pairs(many, details, percent), details, percent))
+    if not close.isEmpty():  # pairs are listed only where blocks have not joined them
+        few = few.drop("part").join(cut(_parts(links.unionByName(close), shared)), "node")
     other = few.select("word", F.col("node").alias("b"), F.col("part").alias("b_part"))
     listed = few.join(other, "word").where("node < b and part <> b_part").select(F.col("node").alias("a"), "b")
-    close = block_pairs(many, details, percent).mapInArrow(_close(percent), "a long, b long")
-    cross = listed.unionByName(close).distinct().join(tested, ["a", "b"], "left_anti")
-    return rows, classes.select("node", "name", "n", "least"), cut(links.unionByName(verified(cross, details, percent)))
+    cross = listed.distinct().join(tested, ["a", "b"], "left_anti")
+    return rows, classes.select("node", "name", "n", "least"), cut(links.unionByName(close).unionByName(verified(cross, details, percent)))
 
 
 def _parts(links: DataFrame, nodes: DataFrame) -> DataFrame:

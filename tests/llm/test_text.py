@@ -124,6 +124,25 @@ def test_texts_of_one_template_hardly_meet(spark, monkeypatch):
     assert 0 < len(met) < len(rows) ** 2 / 20
 
 
+def test_near_copies_do_not_become_all_their_pairs(spark, monkeypatch):
+    """500 texts of one template with twelve places of two choices: thousands of links, of which few times as many go out as there are texts."""
+    rnd = random.Random(5)
+    base = [f"t{i}" for i in range(150)]
+    rows = []
+    for k in range(500):
+        w = list(base)
+        for at in range(5, 149, 12):
+            w[at] += rnd.choice("xy")
+        rows.append((k, " ".join(w)))
+    out, made, verify = [], parity_join.block_links, parity_join.verified
+    monkeypatch.setattr(parity_join, "block_links", lambda *args: (out.append((x := made(*args).cache()).count()), x)[1])
+    monkeypatch.setattr(parity_join, "verified", lambda pairs, *args: (out.append((x := pairs.cache()).count()), verify(x, *args))[1])
+    got = parity_join.components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = [(r[0], *x) for r, x in zip(rows, brute_components(rows, 3, 90), strict=True)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(out) < 4 * len(rows)
+
+
 def test_sketches_bound_the_difference():
     rng, bands = np.random.default_rng(3), parity_join.Bands(80)
     for _ in range(200):
