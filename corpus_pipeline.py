@@ -19,8 +19,8 @@ from dataweft.session import work_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples don't call toxic; labels of a fifth of the ids are never learnt from."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod(5) != 0)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return toxicity.score(rows, model, ["row"]).where("predicted = 0").select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return toxicity.score(rows, model, ["row"], "row.text").where("predicted = 0").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,14 +213,19 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column, per_class: int =
 
 
 def score(docs: DataFrame, model: Model, keep: Iterable[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` columns, ``score``, ``predicted`` and ``evidence`` (nearest examples, their cosines and labels)."""
+    """``keep`` columns, ``score``, ``predicted`` and ``evidence`` (nearest examples, their cosines and labels).
+
+    ``text`` may be a field of a kept struct ("row.text"): such a text travels once.
+    """
     keep = list(keep)
+    first, *fields = text.split(".")
+    at = keep.index(first) if fields and first in keep else -1
     bc = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bc.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(batch.num_columns - 1) if at < 0 else pc.struct_field(batch.column(at), fields)
             for a, b in slices(lengths(texts)):
                 scores, evidence = [], []
                 for t in texts.slice(a, b - a).to_pylist():
@@ -231,5 +237,5 @@ def score(docs: DataFrame, model: Model, keep: Iterable[str] = ("doc_id",), text
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind)],
                                                  names=[*keep, "score", "predicted", "evidence"])
 
-    src = docs.select(*keep, docs[text].alias("__text"))
+    src = docs.select(*keep, docs[text].alias("__text")) if at < 0 else docs.select(*keep)
     return src.mapInArrow(work, schema(docs, keep, "score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>"))

@@ -228,6 +228,16 @@ def test_toxicity_on_held_out_rows(spark, docs, no_docs):
     assert {round(r.score, 9) for r in toxicity.score(frame, unlearnt).collect()} == {round(unlearnt.probability(0.0), 9)}
 
 
+def test_a_text_inside_a_kept_row_travels_once(spark, docs):
+    frame = spark.createDataFrame(labelled(), "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(frame, frame.select("doc_id", "toxic"), F.lit(True), per_class=100)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    out = toxicity.score(rows, model, ["row"], "row.text")
+    assert "__text" not in plan(out)
+    got = sorted((r.row.doc_id is not None, r.row.doc_id or 0, r.row.text or "", round(r.score, 9)) for r in out.collect())
+    assert got == sorted((r.doc_id is not None, r.doc_id or 0, r.text or "", round(r.score, 9)) for r in toxicity.score(docs, model, ["doc_id", "text"]).collect())
+
+
 def test_nearest_examples_are_exact(spark):
     rng = np.random.default_rng(2)
     n, v = 300, 40
