@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from dataweft.llm.classes import Splitter, differences, tiktoken_characters
-from dataweft.llm.common import lengths, schema, slices
+from dataweft.llm.common import lengths, remembering, schema, slices
 
 #: Distinct pre-tokens after which a worker's memo starts anew (the last one is kept beside it), and characters of a text taken at a time.
 MEMO, SLICE = 200_000, 1 << 20
@@ -185,13 +185,14 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks.value[0], pattern, ranks.value[1])
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for a, b in slices(lengths(texts)):
-                n, x, y, ids = zip(*own.digests(texts.slice(a, b - a).to_pylist()), strict=True)
-                made = [pa.array(n, pa.int64()), pa.array(x), pa.array(y)] + [pa.array(ids, pa.list_(pa.int32()))] * with_ids
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), *made],
-                                                 names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+        with remembering("byte_bpe", _CODECS.clear):
+            for batch in batches:
+                texts = batch.column(batch.num_columns - 1)
+                for a, b in slices(lengths(texts)):
+                    n, x, y, ids = zip(*own.digests(texts.slice(a, b - a).to_pylist()), strict=True)
+                    made = [pa.array(n, pa.int64()), pa.array(x), pa.array(y)] + [pa.array(ids, pa.list_(pa.int32()))] * with_ids
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), *made],
+                                                     names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     src = docs.select(*keep, docs[text].alias("__text"))
     return src.mapInArrow(work, schema(docs, keep, SCHEMA + ", ids array<int>" * with_ids))

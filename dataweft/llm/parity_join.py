@@ -34,8 +34,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dataweft.llm.common import lengths, remembering, slices
 from dataweft.operators.graph import connected_components
-from dataweft.session import cut
+from dataweft.session import cut, setting
 
 #: Ratio of a band's sizes, pieces per allowed difference to choose from, shingles that make a word strong, steps that test one hub per class.
 RATIO, SPARE, STRONG, HUB_STEPS = 1.45, (1.05, 1.2, 1.4), 2, 1
@@ -46,8 +47,9 @@ BLOCK_BYTES = 16 << 20
 MEMO = 300_000
 #: Classes (a hundred bytes each) that are sent to all tasks.
 SENT = 200_000
-#: Bits of a sketch for each piece.
+#: Bits of a sketch for each piece, rows that a task gets at once.
 BITS = 16
+ROWS = 1000
 
 
 class _Words(dict):
@@ -138,19 +140,22 @@ class Bands:
 def _sets(words: int, percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen, none = Bands(percent), set(), np.zeros(0, np.int64)
-        for batch in batches:
-            size, name, keys = [], [], []
-            for t in batch.column("text"):
-                s = shingles(t.as_py(), words)
-                size.append(len(s))
-                name.append(xxhash.xxh3_128_digest(s.tobytes()))
-                new = len(s) and name[-1] not in seen  # a task shows the words of a set once
-                seen.add(name[-1])
-                keys.append(np.concatenate([bands.words(s, b) for b in bands.places(len(s))]) if new else none)
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                                             names=["doc_id", "hash", "n", "name", "keys"])
+        with remembering("parity_join", WORDS.clear):
+            for batch in batches:
+                for a, b in slices(lengths(batch.column("text"))):
+                    part = batch.slice(a, b - a)
+                    size, name, keys = [], [], []
+                    for t in part.column("text"):
+                        s = shingles(t.as_py(), words)
+                        size.append(len(s))
+                        name.append(xxhash.xxh3_128_digest(s.tobytes()))
+                        new = len(s) and name[-1] not in seen  # a task shows the words of a set once
+                        seen.add(name[-1])
+                        keys.append(np.concatenate([bands.words(s, x) for x in bands.places(len(s))]) if new else none)
+                    flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+                    offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                                                     names=["doc_id", "hash", "n", "name", "keys"])
     return work
 
 
@@ -160,15 +165,17 @@ def _details(words: int, percent: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        for batch in batches:
-            rows = []
-            for t, node, name, n in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("node", "set", "n")), strict=True):
-                raw = (s := shingles(t.as_py(), words)).tobytes()
-                if xxhash.xxh3_128_digest(raw) == name:
-                    at = bands.places(max(1, n))[0]
-                    rows.append((node, n, raw, at, bands.sketch(s, at), bands.sketch(s, at + 1)))
-            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["node", "n", "members", "band", "sketch", "next_sketch"])
+        with remembering("parity_join", WORDS.clear):
+            for batch in batches:
+                for a, b in slices(lengths(batch.column("text"))):
+                    part, rows = batch.slice(a, b - a), []
+                    for t, node, name, n in zip(part.column("text"), *(part.column(c).to_pylist() for c in ("node", "set", "n")), strict=True):
+                        raw = (s := shingles(t.as_py(), words)).tobytes()
+                        if xxhash.xxh3_128_digest(raw) == name:
+                            at = bands.places(max(1, n))[0]
+                            rows.append((node, n, raw, at, bands.sketch(s, at), bands.sketch(s, at + 1)))
+                    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["node", "n", "members", "band", "sketch", "next_sketch"])
     return work
 
 
@@ -322,6 +329,11 @@ def verified(pairs: DataFrame, details: DataFrame, percent: int) -> DataFrame:
 def classes_and_links(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``rows`` (doc_id, n, name), ``classes`` (node, name, n, least doc_id) and ``links`` (a, b) that connect the classes
     of every component; a link between two classes that others connect already may be missing."""
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS)):  # a batch of texts stays small on both sides
+        return _classes_and_links(docs, words, percent)
+
+
+def _classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     # Kept by the executors while the join runs; lost parts are made again from the texts, with the same content.
     kept = texts.mapInArrow(_sets(words, percent), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash long, n long, name binary, keys array<long>")

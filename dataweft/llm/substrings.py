@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataweft.llm import induced
-from dataweft.llm.common import lengths, slices
+from dataweft.llm.common import lengths, remembering, slices
 from dataweft.operators.ordering import attach
 from dataweft.session import cut
 
@@ -92,26 +92,27 @@ def _occurrences(length: int, across: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            for i, j in slices(lengths(batch.column(1))):
-                rows: list[tuple] = []
-                for key, d in zip(batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i), strict=True):
-                    raw = d.as_buffer()
-                    if raw is None or raw.size < length:
-                        continue
-                    seen[key] = seen.get(key, 0) + 1
-                    if seen[key] > (1 if across else 2):
-                        continue
-                    view, found = memoryview(raw), {}
-                    for a, s, n in zip(*(x.tolist() for x in regions(np.frombuffer(raw, np.uint8), length)), strict=True):
-                        found.setdefault((a, digest(view[s : s + n + length - 1]), n), []).append(s)
-                    rows += [(key, raw.size, a, r, n, at) for (a, r, n), at in found.items()]
-                if rows:
-                    key, size, a, r, n, at = zip(*rows, strict=True)
-                    first, more = [x[0] for x in at], [x[1:] or None for x in at]
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(np.array(r, np.uint64).view(np.int64)),
-                                                      pa.array(n, pa.int16()), pa.array(first, pa.int32()), pa.array(more, pa.list_(pa.int32()))],
-                                                     names=["key", "bytes", "anchor", "region", "starts", "start", "more"])
+        with remembering("substrings", list):
+            for batch in batches:
+                for i, j in slices(lengths(batch.column(1))):
+                    rows: list[tuple] = []
+                    for key, d in zip(batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i), strict=True):
+                        raw = d.as_buffer()
+                        if raw is None or raw.size < length:
+                            continue
+                        seen[key] = seen.get(key, 0) + 1
+                        if seen[key] > (1 if across else 2):
+                            continue
+                        view, found = memoryview(raw), {}
+                        for a, s, n in zip(*(x.tolist() for x in regions(np.frombuffer(raw, np.uint8), length)), strict=True):
+                            found.setdefault((a, digest(view[s : s + n + length - 1]), n), []).append(s)
+                        rows += [(key, raw.size, a, r, n, at) for (a, r, n), at in found.items()]
+                    if rows:
+                        key, size, a, r, n, at = zip(*rows, strict=True)
+                        first, more = [x[0] for x in at], [x[1:] or None for x in at]
+                        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(np.array(r, np.uint64).view(np.int64)),
+                                                          pa.array(n, pa.int16()), pa.array(first, pa.int32()), pa.array(more, pa.list_(pa.int32()))],
+                                                         names=["key", "bytes", "anchor", "region", "starts", "start", "more"])
     return work
 
 
@@ -191,15 +192,16 @@ def _shards(length: int, across: bool):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows = None, {}
-        for batch in batches:
-            for s, a, r, *rest in zip(*(batch.column(c).to_pylist() for c in ("shard", "anchor", "region", "starts", "raw", "owner", "many")), strict=True):
-                if s != shard and rows:
-                    yield solve(rows)
-                    rows = {}
-                shard = s
-                rows[a, r] = rest
-        if rows:
-            yield solve(rows)
+        with remembering("substrings", list):
+            for batch in batches:
+                for s, a, r, *rest in zip(*(batch.column(c).to_pylist() for c in ("shard", "anchor", "region", "starts", "raw", "owner", "many")), strict=True):
+                    if s != shard and rows:
+                        yield solve(rows)
+                        rows = {}
+                    shard = s
+                    rows[a, r] = rest
+            if rows:
+                yield solve(rows)
     return work
 
 
@@ -216,26 +218,28 @@ def _strings(length: int):
 
 def _removed(length: int, names: list[str], texts_too: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, found in zip(batch.column("data"), batch.column("found"), strict=True):
-                raw = text.as_buffer() if text.is_valid else b""
-                raw = b"" if raw is None else raw.to_pybytes() if isinstance(raw, pa.Buffer) else raw
-                edge = np.zeros(len(raw) + 1, np.int64)
-                if found.is_valid:
-                    first, number = (found.values.field(i).to_numpy() for i in (0, 1))
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + number + length - 1, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
-                out.append((len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts_too else None))
-            rest = [batch.column(n) for n in names]
-            made = list(zip(*out, strict=True)) if out else [()] * 5
-            columns = [pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.int64()), pa.array(made[3], pa.string())]
-            if texts_too:
-                columns.append(pa.array(made[4], pa.string()))
-            yield pa.RecordBatch.from_arrays([*rest, *columns], names=[f"c{i}" for i in range(len(rest) + len(columns))])
+        with remembering("substrings", list):
+            for batch in batches:
+                for i, j in slices(lengths(batch.column("data"))):
+                    part, out = batch.slice(i, j - i), []
+                    for text, found in zip(part.column("data"), part.column("found"), strict=True):
+                        raw = text.as_buffer() if text.is_valid else b""
+                        raw = b"" if raw is None else raw.to_pybytes() if isinstance(raw, pa.Buffer) else raw
+                        edge = np.zeros(len(raw) + 1, np.int64)
+                        if found.is_valid:
+                            first, number = (found.values.field(i).to_numpy() for i in (0, 1))
+                            np.add.at(edge, first, 1)
+                            np.add.at(edge, first + number + length - 1, -1)
+                        gone = np.cumsum(edge[:-1]) > 0
+                        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                        spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
+                        out.append((len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts_too else None))
+                    rest = [part.column(n) for n in names]
+                    made = list(zip(*out, strict=True)) if out else [()] * 5
+                    columns = [pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.int64()), pa.array(made[3], pa.string())]
+                    if texts_too:
+                        columns.append(pa.array(made[4], pa.string()))
+                    yield pa.RecordBatch.from_arrays([*rest, *columns], names=[f"c{i}" for i in range(len(rest) + len(columns))])
     return work
 
 

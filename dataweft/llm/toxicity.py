@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataweft.llm.common import id_text, lengths, schema, slices
+from dataweft.llm.common import id_text, lengths, remembering, schema, slices
 from dataweft.session import cut
 
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -224,18 +224,19 @@ def score(docs: DataFrame, model: Model, keep: Iterable[str] = ("doc_id",), text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bc.value
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1) if at < 0 else pc.struct_field(batch.column(at), fields)
-            for a, b in slices(lengths(texts)):
-                scores, evidence = [], []
-                for t in texts.slice(a, b - a).to_pylist():
-                    place, cos = own.nearest(own.rates(t))
-                    scores.append(own.probability(own.vote(place, cos)))
-                    evidence.append([{"doc_id": int(own.example_ids[i]), "cosine": float(c), "toxic": int(own.toxic[i])} for i, c in zip(place, cos, strict=True)])
-                kept = [batch.column(c).slice(a, b - a) for c in range(len(keep))]
-                kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind)],
-                                                 names=[*keep, "score", "predicted", "evidence"])
+        with remembering("toxicity", own.memo.clear):
+            for batch in batches:
+                texts = batch.column(batch.num_columns - 1) if at < 0 else pc.struct_field(batch.column(at), fields)
+                for a, b in slices(lengths(texts)):
+                    scores, evidence = [], []
+                    for t in texts.slice(a, b - a).to_pylist():
+                        place, cos = own.nearest(own.rates(t))
+                        scores.append(own.probability(own.vote(place, cos)))
+                        evidence.append([{"doc_id": int(own.example_ids[i]), "cosine": float(c), "toxic": int(own.toxic[i])} for i, c in zip(place, cos, strict=True)])
+                    kept = [batch.column(c).slice(a, b - a) for c in range(len(keep))]
+                    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind)],
+                                                     names=[*keep, "score", "predicted", "evidence"])
 
     src = docs.select(*keep, docs[text].alias("__text")) if at < 0 else docs.select(*keep)
     return src.mapInArrow(work, schema(docs, keep, "score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>"))

@@ -6,12 +6,14 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from conftest import plan
 from llm_rows import corpus, docs, no_docs  # noqa: F401
 from pyspark.sql import functions as F
 
-from dataweft.llm import html_text, induced, mixing, parity_join, substrings, toxicity
+from dataweft.llm import common, html_text, induced, mixing, parity_join, substrings, toxicity
 
 
 def brute_targets(sizes, weights=(5, 2, 1), cap=3):
@@ -388,3 +390,26 @@ def test_shared_strings_share_an_anchor():
         a, b = (html_text.stream([" ".join(map(str, rng.integers(0, 9, rng.integers(0, 30)))), shared, "end"], 5) for _ in range(2))
         assert set(html_text.anchors(a, 12)) & set(html_text.anchors(b, 12))
     assert len(html_text.anchors(html_text.stream(["a b c"], 1), 12)) == 0
+
+
+def test_batches_of_texts_stay_small_in_both_directions(monkeypatch):
+    texts = [f"{k} " * 40_000 for k in range(30, 50)]  # 2.4 MB
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "text": texts, "hash": list(range(20)), "node": list(range(20)), "n": [1] * 20,
+                                        "set": [xxhash.xxh3_128_digest(parity_join.shingles(t, 5).tobytes()) for t in texts]})
+    for work in (parity_join._sets(5, 80), parity_join._details(5, 80)):
+        got = list(work(iter([batch])))
+        assert len(got) > 1 and pa.Table.from_batches(got).equals(pa.Table.from_batches([b for i in range(20) for b in work(iter([batch.slice(i, 1)]))]).combine_chunks())
+    data = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([t.encode() for t in texts]), pa.nulls(20, pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())])))], names=["row", "data", "found"])
+    got = list(substrings._removed(200, ["row"], True)(iter([data])))
+    assert len(got) > 1 and pa.Table.from_batches(got).column("c5").to_pylist() == texts
+
+
+def test_a_worker_forgets_what_other_operators_remembered():
+    forgot = []
+    for operator in ("one", "one", "two"):
+        with common.remembering(operator, lambda operator=operator: forgot.append(operator)):
+            assert forgot == (["one"] if operator == "two" else [])
+    parity_join.WORDS[b"word"] = 1
+    list(parity_join._sets(5, 80)(iter([])))
+    with common.remembering("three", list):
+        assert not parity_join.WORDS
