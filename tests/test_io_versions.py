@@ -1,11 +1,13 @@
 import os
+import tempfile
+import time
 
 import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from dataweft.session import shared_dir, work_path
+from dataweft.session import cut, shared_dir, work_path
 from dataweft.sources import io, layout, versions
 
 
@@ -125,3 +127,18 @@ def test_interleaved_files_are_skipped_on_both_columns(spark, tmp_path):
 def test_range_numbers_bisect(spark):
     df = spark.createDataFrame([(x,) for x in (None, -5, 1, 2, 3, 99)], "x int")
     assert [r.p for r in df.select(layout._place("x", [1, 2, 3]).alias("p")).collect()] == [0, 0, 1, 2, 3, 3]
+
+
+def test_a_cut_frame_leaves_no_shuffle_files(spark):
+    def files():
+        return {f for d, _, names in os.walk(os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir())) if "blockmgr-" in d for f in names if f.startswith("shuffle_")}
+
+    frame = spark.range(1000).withColumn("k", F.col("id") % 7)
+    joined = frame.groupBy("k").count().join(frame.groupBy("k").agg(F.sum("id").alias("s")), "k")
+    before = files()
+    got = cut(joined)
+    for _ in range(50):  # they are removed in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and sorted(got.collect()) == sorted(joined.collect()) and got.columns == joined.columns
