@@ -191,3 +191,32 @@ def test_scores_equal_a_loop_over_ids():
             start += lm.STRIDE
         want.append(total / np.log(10))
     assert np.allclose(lm.score_sequences(w, tables, seqs), want, rtol=1e-4)
+
+
+def test_words_met_again_have_the_ids_of_whole_texts(corpus, monkeypatch):
+    with open(RANKS, "rb") as f:
+        own = attention_lm.encoder(f.read())
+    plain = own.encoding
+    texts = [attention_lm.words(r[1]) for r in corpus] + [attention_lm.words("naïve Ünï 12,3  x y 'tis")]
+    want = [[*(plain.encode_ordinary(b"".join(b" " + w for w in t).decode()) if t else []), attention_lm.END] for t in texts]
+    for memo in (attention_lm.MEMO, 0):  # with and without room
+        monkeypatch.setattr(attention_lm, "MEMO", memo)
+        assert [attention_lm.ids(own, t).tolist() for t in texts] == want
+    assert own.held < 1 << 20
+
+
+def test_context_alone_is_not_asked():
+    rng = np.random.default_rng(3)
+    lm = attention_lm
+    tables = lm.Tables(rng.integers(0, 9, lm.SUBWORDS**2))
+    flat = (lm.start() + rng.normal(0, 0.1, lm.WEIGHTS)).astype(np.float64)
+    source, target, counted, _ = lm.windows([rng.integers(0, 1000, n).astype(np.int32) for n in (5, 40, 300, 900)])
+    batches = lm.pieces(counted, rng.permutation(len(source)))
+    assert sorted(np.concatenate(batches).tolist()) == list(range(len(source))) and {lm.from_place(counted[b]) for b in batches} == {0, lm.CONTEXT}
+    later = np.flatnonzero(~counted[:, 0])
+    whole = lm.Reader(lm.unpack(flat)).grid(tables, source[later], target[later], 0)
+    assert np.allclose(whole[:, lm.CONTEXT :], lm.Reader(lm.unpack(flat)).grid(tables, source[later], target[later], lm.CONTEXT), atol=1e-4)
+    one = lm.gradient(flat, tables, source[later], target[later], counted[later])
+    both = [lm.gradient(flat, tables, source[b], target[b], counted[b]) for b in (later[:7], later[7:])]
+    share = [np.count_nonzero(counted[b]) / np.count_nonzero(counted[later]) for b in (later[:7], later[7:])]
+    assert one[0] == pytest.approx(sum(x[0] * y for x, y in zip(both, share, strict=True))) and np.allclose(one[1], sum(x[1] * y for x, y in zip(both, share, strict=True)))
