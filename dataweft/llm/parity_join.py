@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from dataweft.llm.common import lengths, remembering, slices
 from dataweft.operators.graph import connected_components
-from dataweft.session import cut, setting
+from dataweft.session import cut, setting, shuffles_go
 
 #: Ratio of a band's sizes, pieces per allowed difference to choose from, shingles that make a word strong, steps that test one hub per class.
 RATIO, SPARE, STRONG, HUB_STEPS = 1.45, (1.05, 1.2, 1.4), 2, 1
@@ -329,7 +329,8 @@ def verified(pairs: DataFrame, details: DataFrame, percent: int) -> DataFrame:
 def classes_and_links(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``rows`` (doc_id, n, name), ``classes`` (node, name, n, least doc_id) and ``links`` (a, b) that connect the classes
     of every component; a link between two classes that others connect already may be missing."""
-    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS)):  # a batch of texts stays small on both sides
+    spark = docs.sparkSession
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS)), shuffles_go(spark):  # a batch of texts stays small on both sides
         return _classes_and_links(docs, words, percent)
 
 
@@ -392,7 +393,8 @@ def _parts(links: DataFrame, nodes: DataFrame) -> DataFrame:
 def components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per document with the least id its links reach."""
     rows, classes, links = classes_and_links(docs, words, percent)
-    linked = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    with shuffles_go(docs.sparkSession):
+        linked = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     placed = classes.join(linked, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = placed.groupBy("part").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "part").select(F.col("name").alias("set"), "component_id")

@@ -7,7 +7,7 @@ from conftest import plan, rows
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from dataweft.session import cut, shared_dir, work_path
+from dataweft.session import cut, shared_dir, shuffles_go, work_path
 from dataweft.sources import io, layout, versions
 
 
@@ -134,9 +134,10 @@ def test_a_cut_frame_leaves_no_shuffle_files(spark):
         return {f for d, _, names in os.walk(os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir())) if "blockmgr-" in d for f in names if f.startswith("shuffle_")}
 
     frame = spark.range(1000).withColumn("k", F.col("id") % 7)
-    joined = frame.groupBy("k").count().join(frame.groupBy("k").agg(F.sum("id").alias("s")), "k")
     before = files()
-    got = cut(joined)
+    with shuffles_go(spark):
+        joined = frame.groupBy("k").count().join(frame.groupBy("k").agg(F.sum("id").alias("s")), "k")
+        got = cut(joined)
     for _ in range(50):  # they are removed in the background
         if not (left := files() - before):
             break
