@@ -207,3 +207,46 @@ def test_both_sets_are_ranked_once(spark, monkeypatch):
         assert np.isclose(row.precision, recsys.precision_at_k(used, truth, 3).first()[0])
         assert np.isclose(row.recall, recsys.recall_at_k(used, truth, 5).first()[0])
         assert np.isclose(row.auc, recsys.auc_per_user(used, truth).agg(F.avg("auc")).first()[0])
+
+
+def test_a_model_is_evaluated_in_one_pass(spark, monkeypatch):
+    """Both sets and the best items come from one product of all with all, as by hand; users with many true items have several rows."""
+    passes, real = [], recsys._all_scored
+    monkeypatch.setattr(recsys, "_all_scored", lambda *a, **k: (passes.append(a), real(*a, **k))[1])
+    monkeypatch.setattr(recsys, "OWN_SLICE", 4)
+    monkeypatch.setattr(recsys, "LEAST_ROWS", 5)
+    rng = np.random.default_rng(4)
+    u, v = rng.integers(-2, 3, (12, 3)).astype(float), rng.integers(-2, 3, (25, 3)).astype(float)
+    users = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(u)], "user bigint, vec array<float>")
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item bigint, vec array<float>")
+    truth = {"train": [(i, int(j)) for i in range(12) for j in rng.permutation(25)[:1 + i]], "test": [(i, int(j)) for i in range(3, 14) for j in rng.permutation(27)[:2]]}
+    got = {r.set: r for r in recsys.evaluate_model(users, items, *[spark.createDataFrame(t, "user bigint, item bigint") for t in truth.values()], 3, 5).collect()}
+    assert len(passes) == 1
+    s = u @ v.T
+    for name, pairs in truth.items():
+        own = {i: [j for a, j in pairs if a == i] for i in {a for a, _ in pairs}}
+        top = {i: sorted(range(25), key=lambda j: (-s[i, j], j)) if i < 12 else [] for i in own}
+        want = [[], [], []]
+        for i, p in own.items():
+            scored = [j for j in p if i < 12 and j < 25]
+            wins = [(s[i, a] > s[i, b]) + 0.5 * (s[i, a] == s[i, b]) for a in scored for b in range(25) if b not in p]
+            auc = np.mean(wins) if wins else 0.5
+            for x, y in zip(want, (len(set(top[i][:3]) & set(p)) / 3, len(set(top[i][:5]) & set(p)) / len(p), (auc * len(scored) + 0.5 * (len(p) - len(scored))) / len(p)), strict=True):
+                x.append(y)
+        assert got[name].n_users == len(own) and np.allclose([got[name].precision, got[name].recall, got[name].auc], [np.mean(x) for x in want])
+
+
+def test_near_scores_are_told_apart():
+    """Scores that are equal in single precision are compared in double; zeros, ties and huge products too."""
+    rng = np.random.default_rng(6)
+    for scale in (1.0, 1e-30, 1e25):
+        v = np.concatenate([rng.normal(0, 1, (40, 2)), [[1, 0]] * 5, [[1 + k * 1e-8, 0] for k in range(1, 6)], [[0, 0]]]) * scale
+        x = np.array([[1.0, 0.0], [0.0, 0.0], [-1.0, 0.5], [1.0, -1.0]]) * scale
+        ids, s = rng.permutation(100)[:len(v)], x @ v.T
+        own = [list(range(38, 51)), [0, 3, 50], [41, 46, 47], list(range(0, 50, 7))]
+        given = recsys.Own(np.array([len(o) for o in own]), np.concatenate([s[i, o] for i, o in enumerate(own)]), ids[np.concatenate(own)])
+        (row, col, _), wins = recsys._survey(recsys.Goods(ids, v), x, 4, None, given)
+        near = lambda a, b: abs(a - b) <= 1e-12 + 1e-9 * abs(a)
+        want = [sum(1 if near(s[i, a], s[i, b]) else 2 * (s[i, a] > s[i, b]) for b in range(len(v)) if b != a) for i, o in enumerate(own) for a in o]
+        assert wins.tolist() == want
+        assert [(i, c) for i, c in zip(row, col, strict=True)] == [(i, j) for i in range(4) for j in sorted(range(len(v)), key=lambda j: (-s[i, j], ids[j]))[:4]]
