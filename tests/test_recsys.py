@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import rows
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
 from dataweft.operators import recsys
@@ -250,3 +251,15 @@ def test_near_scores_are_told_apart():
         want = [sum(1 if near(s[i, a], s[i, b]) else 2 * (s[i, a] > s[i, b]) for b in range(len(v)) if b != a) for i, o in enumerate(own) for a in o]
         assert wins.tolist() == want
         assert [(i, c) for i, c in zip(row, col, strict=True)] == [(i, j) for i in range(4) for j in sorted(range(len(v)), key=lambda j: (-s[i, j], ids[j]))[:4]]
+
+
+def test_fits_leave_nothing_on_disk(spark, monkeypatch):
+    """Every round of a fit is a checkpoint, and after each model of a grid the driver collects its garbage, so that no shuffle files stay."""
+    seen, swept, fit, sweep = [], [], ALS.fit, recsys.sweep
+    monkeypatch.setattr(ALS, "fit", lambda als, df: (seen.append(als.getCheckpointInterval()), fit(als, df))[1])
+    monkeypatch.setattr(recsys, "sweep", lambda s: (swept.append(s), sweep(s))[1])
+    inter = spark.createDataFrame([(u, i, 1) for u in range(6) for i in range(8) if (u + i) % 2], "user_idx int, item_idx int, n int")
+    pairs = inter.selectExpr("CAST(user_idx AS BIGINT) AS user", "CAST(item_idx AS BIGINT) AS item")
+    grid = recsys.factor_grid(inter, pairs, pairs, [{"rank": 2, "iters": 2}, {"rank": 3, "iters": 2}])
+    assert grid.count() == 4 and seen == [1, 1] and len(swept) == 2
+    assert spark.sparkContext.getCheckpointDir() is not None
