@@ -263,3 +263,17 @@ def test_fits_leave_nothing_on_disk(spark, monkeypatch):
     grid = recsys.factor_grid(inter, pairs, pairs, [{"rank": 2, "iters": 2}, {"rank": 3, "iters": 2}])
     assert grid.count() == 4 and seen == [1, 1] and len(swept) == 2
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_blocks_of_a_fit_stay_small(spark, monkeypatch):
+    """A fit has the more blocks the more pairs there are, so that a task's pairs and the vectors that they name keep their size."""
+    for n, users, items, rank in ((1000, 50, 60, 16), (36_000_000, 900_000, 1_200_000, 44), (216_000_000, 5_400_000, 7_200_000, 16), (216_000_000, 5_400_000, 7_200_000, 44)):
+        b = recsys._fit_blocks(n, users, items, rank)
+        assert b >= recsys.FIT_BLOCKS and 60 * n / b + (4 * rank + 24) * min(n / b, items) <= recsys.FIT_BYTES
+    assert recsys._fit_blocks(1000, 50, 60, 16) == recsys.FIT_BLOCKS
+    monkeypatch.setattr(recsys, "FIT_BYTES", 200)
+    seen, fit = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda als, df: (seen.append((als.getNumUserBlocks(), als.getNumItemBlocks())), fit(als, df))[1])
+    inter = spark.createDataFrame([(u, i, 1) for u in range(6) for i in range(8) if (u + i) % 2], "user_idx int, item_idx int, n int")
+    assert recsys.fit_implicit(inter, rank=2, iters=2).userFactors.count() == 6
+    assert seen[0][0] == seen[0][1] > recsys.FIT_BLOCKS
