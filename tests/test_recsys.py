@@ -277,3 +277,21 @@ def test_blocks_of_a_fit_stay_small(spark, monkeypatch):
     inter = spark.createDataFrame([(u, i, 1) for u in range(6) for i in range(8) if (u + i) % 2], "user_idx int, item_idx int, n int")
     assert recsys.fit_implicit(inter, rank=2, iters=2).userFactors.count() == 6
     assert seen[0][0] == seen[0][1] > recsys.FIT_BLOCKS
+
+
+def test_a_cell_reads_its_users_in_batches():
+    """A task holds its items; users leave in the rows that they came in, in tiles."""
+    from itertools import count
+
+    import pyarrow as pa
+    lists = lambda x, kind: pa.array(x, pa.list_(kind))
+    batch = lambda kind, ids, vecs: pa.RecordBatch.from_arrays(
+        [pa.array([kind] * len(ids), pa.int32()), pa.array(ids if kind else [None] * len(ids), pa.int64()), pa.array([None] * len(ids) if kind else ids, pa.int64()),
+         lists(vecs, pa.float32()), lists([[]] * len(ids), pa.int64()), lists([[]] * len(ids), pa.float64()), lists([[]] * len(ids), pa.int32())],
+        names=["kind", "user", "item", "vec", "items", "scores", "sets"])
+    read = count()
+    users = (batch(1, [10 * k, 10 * k + 1], [[1.0, 0.0], [0.0, 1.0]]) for k in range(50) if next(read) >= 0)
+    out = recsys._meet(1, 0)(x for part in ([batch(0, [1, 2], [[1, 0], [0, 1]]), batch(0, [3], [[2, 0]])], users) for x in part)
+    first = next(out)
+    assert first.column("user").to_pylist() == [0, 1] and first.column("items").to_pylist() == [[3], [2]] and next(read) == 1
+    assert sum(b.num_rows for b in out) == 98
