@@ -1,6 +1,6 @@
 """Exact top-k search by integer inner product, vectors grouped by length.
 
-Vectors stand in buckets of like length, longest first; queries in blocks. The first bucket gives every query a first
+Vectors stand in buckets of like length, longest first; a task holds a group of buckets and reads queries in batches. The first bucket gives every query a first
 k-th best score. A later bucket is only met by queries for which length times length can still reach that score,
 and there the score divided by both lengths is the bucket's local cosine threshold. A low threshold prunes by length (a
 sorted bucket's prefix), a high one by coordinates: a vector whose cosine reaches it lies in an interval around each of
@@ -24,8 +24,8 @@ from dataweft.llm.vectors import best, matrix, top_ranks, usable
 from dataweft.operators.ordering import with_row_id
 from dataweft.session import cut
 
-#: Vectors in a bucket, queries in a block; both bound what one task holds.
-BUCKET, BLOCK = 1024, 256
+#: Vectors in a bucket, queries that meet it at once, buckets that one task holds, and tasks that the search is dealt to, about, where fewer groups of buckets are there.
+BUCKET, BLOCK, SPAN, CELLS = 1024, 256, 32, 12
 #: From this local cosine threshold on, coordinates prune better than length, looking at so many of them.
 STEEP, FOCUS = 0.3, 3
 
@@ -55,23 +55,41 @@ def candidates(q: np.ndarray, size: float, theta: float, bucket: np.ndarray, len
 
 
 def _search(k: int, dims: int):
+    """The ``k`` best of a task's vectors for each of its queries; the vectors (kind 0) come first and stay, queries (kind 1) come in batches."""
+    def meet(qid: np.ndarray, qs: np.ndarray, theta: np.ndarray, buckets: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        size, out = np.sqrt((qs * qs).sum(1)), []
+        for vid, vs, length in buckets:
+            for j, q in enumerate(qs):
+                at = candidates(q, float(size[j]), float(theta[j]), vs, length)
+                at = at[vid[at] != qid[j]]
+                score = vs[at] @ q
+                top = best(score, vid[at], k)
+                out.append((np.full(len(top), j), vid[at[top]], score[top].astype(np.int64)))
+        j, vid, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((vid, -score, j))
+        by = j[order]
+        order = order[np.arange(len(by)) - np.searchsorted(by, by) < k]
+        return pa.RecordBatch.from_arrays([pa.array(qid[j[order]]), pa.array(vid[order]), pa.array(score[order])], names=["query_id", "vec_id", "score"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        buckets: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                col = {n: batch.column(n)[i] for n in batch.schema.names}
-                qid, vid = (col[c].values.to_numpy() for c in ("query_ids", "vec_ids"))
-                qs, vs, theta = matrix(col["queries"], dims), matrix(col["vecs"], dims), col["theta"].values.to_numpy(zero_copy_only=False)
-                length = np.sqrt((vs * vs).sum(1))
-                order = np.argsort(-length, kind="stable")
-                vid, vs, length = vid[order], vs[order], length[order]
-                out: list[tuple[np.ndarray, ...]] = []
-                for j, q in enumerate(qs):
-                    at = candidates(q, float(np.sqrt(q @ q)), float(theta[j]), vs, length)
-                    at = at[vid[at] != qid[j]]
-                    score = vs[at] @ q
-                    top = best(score, vid[at], k)
-                    out.append((np.full(len(top), qid[j]), vid[at[top]], score[top].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+            kind = batch.column("kind").to_numpy()
+            ids, vs, theta = batch.column("vec_id").to_numpy(), matrix(batch.column("v"), dims), batch.column("theta").to_numpy(zero_copy_only=False)
+            if (kind == 0).any():
+                held.append((ids[kind == 0], vs[kind == 0], batch.column("bucket").to_numpy(zero_copy_only=False)[kind == 0]))
+            at = np.flatnonzero(kind == 1)
+            if len(at) and held:
+                vid, v, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+                length = np.sqrt((v * v).sum(1))
+                order = np.lexsort((-length, bucket))
+                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+                buckets = [(vid[o], v[o], length[o]) for o in np.split(order, cuts)]
+            for i in range(0, len(at) if buckets else 0, BLOCK):
+                some = at[i:i + BLOCK]
+                yield meet(ids[some], vs[some], theta[some], buckets)
     return work
 
 
@@ -84,27 +102,32 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: float =
     schema = "query_id long, vec_id long, score long"
     n_buckets = max(1, -(-n // BUCKET))
     longest_first = [F.desc("length"), "vec_id"]
-    buckets = cut(with_row_id(rows, longest_first, "row").groupBy(F.floor((F.col("row") - 1) / BUCKET).alias("bucket"))
-                  .agg(F.max("length").alias("longest"), F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-                  .select("bucket", "longest", F.col("rows.vec_id").alias("vec_ids"), F.col("rows.v").alias("vecs")))
-    queries = with_row_id(rows.where(F.col("vec_id") % every == 0), longest_first, "row").withColumn("block", F.floor((F.col("row") - 1) / BLOCK))
-
-    def blocks(queries: DataFrame) -> DataFrame:
-        packed = queries.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v", "theta", "length")).alias("r"),
-                                              F.min(F.when(F.col("length") > 0, F.col("theta") / F.col("length")).otherwise(float("-inf"))).alias("need"))
-        return packed.select(F.col("r.vec_id").alias("query_ids"), F.col("r.v").alias("queries"), F.col("r.theta").alias("theta"), "need")
-
-    def meet(blocks: DataFrame, first: int, last: int) -> DataFrame:
-        """Every block of the stated queries beside the buckets that are long enough for one of its queries."""
-        to = blocks.withColumn("to", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        pairs = to.join(buckets, (F.col("to") == F.col("bucket")) & (F.col("longest") * (1 + 1e-9) >= F.coalesce("need", F.lit(0.0))))
-        return pairs.select("query_ids", "queries", "theta", "vec_ids", "vecs")
-
-    first = meet(blocks(queries.withColumn("theta", F.lit(float("-inf")))), 0, 0)
-    head = cut(first.mapInArrow(_search(k, dims), schema))
-    kth = head.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("theta"))
-    known = queries.join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf"))))
+    placed = cut(with_row_id(rows, longest_first, "row").select("vec_id", "v", "length", F.floor((F.col("row") - 1) / BUCKET).cast("int").alias("bucket")))
+    queries = placed.where(F.col("vec_id") % every == 0).select("vec_id", "v", "length")
+
+    def found(queries: DataFrame, first: int, last: int) -> DataFrame:
+        """The best of the stated buckets for every query, by groups of them that are long enough for it.
+
+        A group and a share of the queries meet in a task. Vectors travel once for each share, a query once for each group, both as rows of one
+        shuffle: nothing that grows with the tables is broadcast but a number for each group.
+        """
+        groups = -(-(last + 1 - first) // SPAN)
+        shares = max(1, min(CELLS, n_buckets) // groups)
+        group = F.floor((F.col("bucket") - first) / SPAN).cast("int").alias("group")
+        mine = placed.where(F.col("bucket").between(first, last))
+        longest = mine.groupBy(group).agg(F.max("length").alias("longest"))
+        need = F.when(F.col("length") > 0, F.col("theta") / F.col("length")).otherwise(float("-inf"))
+        to = queries.join(F.broadcast(longest), F.col("longest") * (1 + 1e-9) >= need)
+        share = F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int")
+        asked = to.select((F.col("group") * shares + share).alias("cell"), F.lit(1).alias("kind"), "vec_id", "v", "theta", F.lit(None).cast("int").alias("bucket"))
+        given = mine.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).select(
+            (group * shares + F.col("share")).alias("cell"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(0.0).alias("theta"), "bucket")
+        met = given.unionByName(asked).repartitionById(groups * shares, F.col("cell").cast("int")).sortWithinPartitions("kind").drop("cell")
+        return met.mapInArrow(_search(k, dims), schema)
+
+    head = cut(found(queries.withColumn("theta", F.lit(float("-inf"))), 0, 0))
     if n_buckets == 1:
         return top_ranks(head, k)
-    rest = meet(blocks(known), 1, n_buckets - 1).mapInArrow(_search(k, dims), schema)
-    return top_ranks(head.unionByName(rest), k)
+    kth = head.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("theta"))
+    known = queries.join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf"))))
+    return top_ranks(head.unionByName(found(known.select("vec_id", "v", "length", "theta"), 1, n_buckets - 1)), k)

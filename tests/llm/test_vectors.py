@@ -89,3 +89,19 @@ def test_few_vectors_are_all_found(spark, n):
         mine = sorted((r.rank, r.vec_id) for r in got if r.query_id == q)
         # A query that found five may have missed a nearer one; with six vectors or fewer there is no choice.
         assert len(mine) == len(want) and (n > 6 or [j for _, j in mine] == want)
+
+
+def test_a_query_travels_once_for_a_group_of_buckets(spark, monkeypatch):
+    """Vectors and queries are rows of one shuffle; no side of a join holds queries repeated for each bucket, which a planner might broadcast."""
+    for name, value in (("BUCKET", 4), ("SPAN", 5), ("CELLS", 9)):
+        monkeypatch.setattr(topk, name, value)
+    frame = spark.createDataFrame([(i, [float(i % 7), 1.0 + i % 11, float(i % 3)]) for i in range(200)], "vec_id bigint, embedding array<float>")
+    seen, real = [], type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda df, *a: (seen.append(df), real(df, *a))[1])
+    topk.top_products(frame, every=10).collect()
+    assert [df.columns for df in seen] == [["kind", "vec_id", "v", "theta", "bucket"]] * 2
+    rest = seen[1].groupBy("kind").count().collect()
+    groups = -(-49 // 5)
+    counts = {r.kind: r["count"] for r in rest}
+    assert counts[0] == 196 and 20 <= counts[1] <= 20 * groups  # 49 buckets after the first in ten groups
+    assert seen[0].where("kind = 1").count() == 20 and seen[0].where("kind = 0").count() == 4 * 9
